@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str], limit: int) -> Itera
         same = np.ones(rows, dtype=bool)
         for k in key:
             column = table.column(k)
-            same &= pa.compute.equal(column, last.column(k)[0]).to_numpy()
+            same &= pc.equal(column, last.column(k)[0]).to_numpy()
         cutoff = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if cutoff:
             yield table.slice(0, cutoff)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -138,7 +139,7 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, text: str, limit: int = 8 << 20):
     """Slices of a batch whose texts hold about ``limit`` bytes at most, one row at least: bounds the kernels' memory."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > limit:
