@@ -11,9 +11,10 @@ a document with a smaller id is a repeat, and all words it covers go.
    stretches of a batch of documents are one row, with its least and greatest
    document.
 3. *Automata.* Stretches are dealt to shards by anchor.  A shard confirms
-   which of its windows recur across documents, word by word, compiles them to
-   an Aho-Corasick automaton (a word is a symbol) valued with their first
-   document, and streams its stretches through it to locate each occurrence.
+   what recurs across documents, word by word: an anchor's only stretch as a
+   whole, windows where an anchor has several.  It compiles that to an
+   Aho-Corasick automaton (a word is a symbol) valued with the first document,
+   and streams its stretches through it to locate each occurrence.
 4. *Documents.* Where an occurrence's first document is smaller than the
    document, its windows' words are removed.
 
@@ -40,8 +41,8 @@ from .textkernel import _BASE, _POWERS, Words, chunks, gram_hashes, mix64, words
 
 WINDOW = 13
 GRAM = 5
-#: Words of a shard's lot, about.
-LOT = 400_000
+#: Words of a shard's lot, about: its automaton stays within a processor's cache.
+LOT = 40_000
 CHUNK = 4 << 20
 
 
@@ -173,25 +174,36 @@ def _locate(window: int):
             wide = 1 if len(numbers) <= 0x100000 else 2
             symbol = [chr(0x10000 + i) if wide == 1 else chr(0x10000 + (i >> 19)) + chr(0x90000 + (i & 0x7FFFF)) for i in range(len(numbers))]
             lines = ["".join(map(symbol.__getitem__, text)) for text in texts]
+            anchor = lot.column("anchor").to_numpy()
+            least, most = lot.column("least").to_pylist(), lot.column("most").to_pylist()
+            other = np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            step = wide * window
+            for row in np.flatnonzero(other[:-1] & other[1:]).tolist():
+                if least[row] < most[row]:
+                    automaton.add_word(lines[row], (len(lines[row]) // wide - window, least[row]))
             seen: dict[str, tuple[int, int]] = {}
-            for line, least, most in zip(lines, lot.column("least").to_pylist(), lot.column("most").to_pylist(), strict=True):
-                for k in range(0, len(line) - wide * window + 1, wide):
-                    phrase = line[k : k + wide * window]
+            for row in np.flatnonzero(~(other[:-1] & other[1:])).tolist():
+                line, lo, hi = lines[row], least[row], most[row]
+                for k in range(0, len(line) - step + 1, wide):
+                    phrase = line[k : k + step]
                     known = seen.get(phrase)
-                    seen[phrase] = (least, most) if known is None else (min(least, known[0]), max(most, known[1]))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-            for phrase, (least, most) in seen.items():
-                if least < most:
-                    automaton.add_word(phrase, least)
+                    seen[phrase] = (lo, hi) if known is None else (min(lo, known[0]), max(hi, known[1]))
+            for phrase, (lo, hi) in seen.items():
+                if lo < hi:
+                    automaton.add_word(phrase, (0, lo))
             if not len(automaton):
                 continue
             automaton.make_automaton()
             rows, owners = [], []
             for row, line in enumerate(lines):
-                own = [None] * (len(line) // wide - window + 1)
-                for end, owner in automaton.iter(line):
-                    own[(end + 1) // wide - window] = owner
-                if any(o is not None for o in own):
+                own = None
+                for end, (more, owner) in automaton.iter(line):
+                    if own is None:
+                        own = [None] * (len(line) // wide - window + 1)
+                    last = (end + 1) // wide - window
+                    own[last - more : last + 1] = [owner] * (more + 1)
+                if own is not None:
                     rows.append(row)
                     owners.append(own)
             picked = lot.select(["anchor", "print"]).take(pa.array(rows, pa.int64())).combine_chunks()
