@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +104,9 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _recurring(some: pa.RecordBatch, window: int, gram: int) -> tuple[Words, Stretches, np.ndarray]:
-    """The words and stretches of a batch with each row's recurring anchors, and which of the stretches recur."""
+def _recurring(some: pa.RecordBatch, window: int, gram: int) -> tuple[np.ndarray, Words, Stretches, np.ndarray]:
+    """The ids, words and stretches of a batch's named rows, and which of the stretches have a recurring anchor of their row."""
+    some = some.filter(some.column(0).is_valid())
     words = words_of(some.column(1))
     found = Stretches(words, window, gram)
     lists = some.column("anchors")
@@ -112,7 +114,7 @@ def _recurring(some: pa.RecordBatch, window: int, gram: int) -> tuple[Words, Str
     owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
     # (row, anchor) pairs as one sorted key; a hash of the pair is enough, for shards confirm by words
     pair = lambda row, anchor: mix64(anchor ^ (row.astype(np.uint64) * _BASE))
-    return words, found, np.flatnonzero(np.isin(pair(found.row, found.anchor), pair(owner, values)))
+    return some.column(0).to_numpy(), words, found, np.flatnonzero(np.isin(pair(found.row, found.anchor), pair(owner, values)))
 
 
 def _passages(window: int, gram: int):
@@ -121,10 +123,10 @@ def _passages(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", CHUNK):
-                words, found, kept = _recurring(some, window, gram)
+                ids, words, found, kept = _recurring(some, window, gram)
                 if not len(kept):
                     continue
-                ids = some.column(0).to_numpy()[found.row[kept]]
+                ids = ids[found.row[kept]]
                 order = np.lexsort((ids, found.print[kept], found.anchor[kept]))
                 at, ids = kept[order], ids[order]
                 new = np.ones(len(at), dtype=bool)
@@ -145,8 +147,8 @@ def _places(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", CHUNK):
-                _, found, kept = _recurring(some, window, gram)
-                ids = some.column(0).to_numpy()[found.row[kept]]
+                ids, _, found, kept = _recurring(some, window, gram)
+                ids = ids[found.row[kept]]
                 order = np.lexsort((ids, found.print[kept], found.anchor[kept]))
                 at, ids = kept[order], ids[order]
                 other = np.ones(len(at), dtype=bool)
@@ -222,7 +224,7 @@ def _remove(window: int, gram: int, keep: tuple[str, ...]):
                 words = words_of(some.column(1))
                 cover = np.zeros(len(words) + 1, dtype=np.int32)
                 marks = some.column("marks")
-                marked = np.flatnonzero(np.asarray(marks.is_valid()))
+                marked = np.flatnonzero(np.asarray(pc.and_(marks.is_valid(), some.column(0).is_valid())))
                 if len(marked):
                     found = Stretches(words, window, gram)
                     flat = marks.flatten()
@@ -236,7 +238,7 @@ def _remove(window: int, gram: int, keep: tuple[str, ...]):
                     theirs, bits = theirs[order], bits[order]
                     ours = pair(found.row, found.anchor, found.print)
                     at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
-                    hit = np.flatnonzero(theirs[at] == ours)
+                    hit = np.flatnonzero((theirs[at] == ours) & np.asarray(some.column(0).is_valid())[found.row])
                     for k in range(window - gram + 1):
                         begin = found.begin[hit[(bits[at[hit]] >> np.uint64(k)) & np.uint64(1) == 1]] + k
                         np.add.at(cover, begin, 1)
@@ -270,15 +272,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     spark = docs.sparkSession
     n = partitions(spark)
     carried = [f"keep_{i}" for i in range(len(keep))]
-    rows = pick(docs, doc_id=id_col, text=text_col, **dict(zip(carried, keep, strict=True))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
-    named, nameless = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    rows = pick(docs, doc_id=id_col, text=text_col, **dict(zip(carried, keep, strict=True)))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
+    # rows without an id are dealt by their text; the column is never null, so that all uses of the exchange are alike
+    dealt = rows.withColumn("home", F.coalesce("doc_id", F.xxhash64("text"))).repartition(n, "home")
 
-    anchors = named.select("doc_id", "text").mapInArrow(_anchors(window, gram), "anchor long, doc_id long").repartition(n, "anchor")
+    named = rows.where("doc_id is not null").select("doc_id", "text")
+    anchors = named.mapInArrow(_anchors(window, gram), "anchor long, doc_id long").repartition(n, "anchor")
     often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    lists = cut(anchors.join(often, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
+    lists = cut(anchors.join(often, "anchor").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("anchor").alias("anchors")))
 
-    dealt = named.repartition(n, "doc_id")
-    candidates = dealt.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors", *carried)
+    candidates = dealt.join(lists.hint("shuffle_hash"), F.col("home") == F.col("of")).select("doc_id", "text", "anchors", *carried)
     passages = candidates.mapInArrow(_passages(window, gram), "anchor long, print long, words binary, least long, most long")
     passages = passages.repartition(n, "anchor").groupBy("anchor", "print", "words").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     owners = passages.sortWithinPartitions("anchor").mapInArrow(_locate(window), "anchor long, print long, owners array<long>")
@@ -289,9 +293,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         F.lit(0).cast("long"),
         lambda a, b: a.bitwiseOR(b),
     )
-    marks = hits.select("doc_id", "anchor", "print", bits.alias("bits")).where("bits <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "print", "bits")).alias("marks"))
-    joined = dealt.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *carried)
-    alone = nameless.withColumn("marks", F.lit(None).cast(joined.schema["marks"].dataType))
+    marks = hits.select(F.col("doc_id").alias("of"), "anchor", "print", bits.alias("bits")).where("bits <> 0").groupBy("of").agg(F.collect_list(F.struct("anchor", "print", "bits")).alias("marks"))
+    joined = dealt.join(marks, F.col("home") == F.col("of"), "left").select("doc_id", "text", "marks", *carried)
     extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    done = joined.unionByName(alone).mapInArrow(_remove(window, gram, tuple(carried)), "doc_id long, n_words long, n_removed long, kept binary" + extra)
+    done = joined.mapInArrow(_remove(window, gram, tuple(carried)), "doc_id long, n_words long, n_removed long, kept binary" + extra)
     return done.select("doc_id", "n_words", "n_removed", "kept", *[F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)])
