@@ -38,9 +38,9 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of words' ids."""
+    """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of words' ids (about 200 bytes each)."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 1_000_000) -> None:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,6 +56,16 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, encoded as one text: a space keeps words apart."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = 4 * (np.flatnonzero(np.diff(found.word_ids)) + 1)
+        if len(ends) != len(words) - 1:
+            return self._ids(words)
+        data = np.array(found.ids, dtype="<u4").tobytes()
+        cuts = [0, *ends.tolist(), len(data)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
@@ -67,7 +77,7 @@ class Encoder:
                 if len(self.known) + len(missing) > self.limit:
                     self.known.clear()
                     missing = list(set(words))
-                self.known.update(zip(missing, self._ids(missing), strict=True))
+                self.known.update(zip(missing, self._words(missing), strict=True))
             out.append(b"".join(map(self.known.__getitem__, words)) + self.end)
         return out
 
@@ -77,9 +87,13 @@ def cut_lengths(tokens: int, window: int) -> list[tuple[int, int]]:
     return [(s, min(window, tokens - s)) for s in range(0, tokens, window)]
 
 
+#: A Python worker's encoders, kept for its later tasks.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
 def _pieces(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
+        encoder = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 some = batch.slice(part, 256)
