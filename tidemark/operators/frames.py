@@ -93,7 +93,7 @@ def frames(aligned: DataFrame, spec: Frame = Frame()) -> DataFrame:
     if spec.boundary_policy == "truncate":
         ends = F.col("w") * spec.hop + spec.size >= F.col("len")
         reached = F.min(F.when(ends, F.col("w"))).over(Window.partitionBy("stream_id"))
-        out = out.where(~ends | (F.col("w") == reached))
+        out = out.withColumns({"ends": ends, "reached": reached}).where(~F.col("ends") | (F.col("w") == F.col("reached"))).drop("ends", "reached")
     short = F.col("held") < spec.size
     known = F.filter("raw", lambda x: x.isNotNull())
     clipped = short if spec.boundary_policy == "truncate" else F.lit(False)

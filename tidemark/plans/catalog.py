@@ -1,10 +1,371 @@
-"""Registered queries of the signal engine and their SQL."""
+"""Registered queries of the signal engine over the driver's tables, with their SQL.
+
+Streams are event types on an hourly grid.  Results are flat scalars, rounded
+to ``PLACES`` so that sums of different order agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import numbers, vectors
+from ..operators import align, frames, graph, ingest, merge, neighborhoods, novelty, reduce, replay, runs, spectrum, trajectory
+from ..operators import query as q
+from ..operators.components import written
+from ..sources import sampler, signals
+from . import sql
+from .policies import Anomaly, Compression, Frame, Grid, Ingest, Merge, Neighborhood, Query, Thresholds, Transform
+
+Made = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Made] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLACES = 6
+
+GRID = Grid(1.0, gap_policy="interpolate_small", small_gap_multiplier=sql.MULTIPLIER)
+FRAME = Frame(1.0, sql.SIZE, sql.HOP, gap_policy="interpolate_small", max_missing_ratio=sql.MISSING)
+COMPRESSION = Compression("catalog", budget=sql.BUDGET, band_edges=sql.EDGES, thresholds=Thresholds(1e6, 0.9, 1.9))
+ANOMALY = Anomaly("catalog", threshold_value=sql.THRESHOLD)
+
+
+def query(text: str | None = None, name: str | None = None) -> Callable[[Made], Made]:
+    """Registers a query under its function's name, with SQL if there is any."""
+
+    def add(make: Made) -> Made:
+        key = name or make.__name__
+        QUERIES[key] = make
+        if text is not None:
+            ORACLE_SQL[key] = text
+        return make
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.events_as_samples(table(spark, sf_dir, "events"))
+
+
+def rounded(*names: str) -> list[Column]:
+    """Columns as they are, or rounded where the name ends with ``~``."""
+    return [(F.round(F.col(n[:-1]), PLACES) + F.lit(0.0)).alias(n[:-1]) if n.endswith("~") else F.col(n) for n in names]
+
+
+def r(expression: str, name: str | None = None) -> str:
+    return f"round({expression}, {PLACES}) + 0.0 AS {name or expression}"
+
+
+# --- sources -------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH src AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '  given ' || s_name || ' ' END AS given, CASE WHEN s_suppkey % 5 <> 1 THEN ' ' || s_name || ' unit ' END AS source, CASE WHEN s_suppkey % 2 = 0 THEN 'ch 1' END AS channel, CASE WHEN s_suppkey % 7 <> 2 THEN 'acc bal' END AS modality FROM supplier),
+tok AS (SELECT *, nullif(trim(given), '') AS g, nullif(regexp_replace(trim(source), '\\s+', '_', 'g'), '') AS so, coalesce(nullif(regexp_replace(trim(channel), '\\s+', '_', 'g'), ''), 'ch0') AS ch, nullif(regexp_replace(trim(modality), '\\s+', '_', 'g'), '') AS mo FROM src)
+SELECT s_suppkey, CASE WHEN g IS NOT NULL THEN g WHEN so IS NOT NULL AND mo IS NOT NULL THEN 'STR:' || so || ':' || ch || ':' || mo || ':usd:na' END AS stream_id,
+  CASE WHEN g IS NOT NULL THEN 'provided' WHEN so IS NOT NULL AND mo IS NOT NULL THEN 'derived' END AS resolution,
+  CASE WHEN g IS NULL AND (so IS NULL OR mo IS NULL) THEN 'UNRESOLVABLE_STREAM_ID' END AS error FROM tok""")
+def stream_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    given = F.when(key % 3 == 0, F.concat(F.lit("  given "), F.col("s_name"), F.lit(" ")))
+    source = F.when(key % 5 != 1, F.concat(F.lit(" "), F.col("s_name"), F.lit(" unit ")))
+    found = signals.stream_id_of(given, source, F.when(key % 2 == 0, F.lit("ch 1")), F.when(key % 7 != 2, F.lit("acc bal")), F.lit("usd"), F.lit(None).cast("string"))
+    return s.select("s_suppkey", found.alias("f")).select("s_suppkey", "f.stream_id", "f.resolution", "f.error")
+
+
+_LATE = "late AS (SELECT event_type AS stream_id, event_id AS seq, value AS t, value AS v FROM events)"
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("seq"), F.col("value").alias("t"), F.col("value").alias("v"))
+
+
+@query(f"WITH {_LATE}, b AS (SELECT *, max(t) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM late) SELECT stream_id, seq, t FROM b WHERE last IS NULL OR t > last")
+def sampler_monotonic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampler.accepted(_late(spark, sf_dir)).select("stream_id", "seq", "t")
+
+
+_CHUNKS = f"{sql.SAMPLES}, placed AS (SELECT *, (row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1) // 50 AS chunk FROM samples), chunked AS (SELECT stream_id, chunk, count(*) AS samples, arg_min(t, seq) AS t_first, arg_max(t, seq) AS t_last, sqrt(avg(v * v)) AS rms FROM placed GROUP BY stream_id, chunk)"
+
+
+@query(f"WITH {_CHUNKS} SELECT stream_id, chunk, samples, {r('t_first')}, {r('t_last')}, {r('rms')} FROM chunked")
+def sampler_flush_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampler.chunk_summaries(samples(spark, sf_dir), 50).select(*rounded("stream_id", "chunk", "samples", "t_first~", "t_last~", "rms~"))
+
+
+@query(f"WITH {_CHUNKS} SELECT 'rms_above' AS rule, stream_id, chunk FROM chunked WHERE rms >= 75 UNION ALL SELECT 'rms_below', stream_id, chunk FROM chunked WHERE rms < 75 UNION ALL SELECT 'min_samples', stream_id, chunk FROM chunked WHERE samples >= 50")
+def sampler_flush_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = sampler.chunk_summaries(samples(spark, sf_dir), 50)
+    rule = lambda name, x: sampler.flushed(chunks, name, x).select(F.lit(name).alias("rule"), "stream_id", "chunk")
+    return rule("rms_above", 75).unionByName(rule("rms_below", 75)).unionByName(rule("min_samples", 50))
+
+
+@query(f"WITH {sql.SAMPLES} SELECT stream_id, least(count(*), 1000) AS buffered, greatest(0, count(*) - 1000) AS overflow, {r('least(count(*), 1000) / 1000.0::DOUBLE', 'fill_ratio')}, {r('max(t)', 'last_t')} FROM samples GROUP BY stream_id")
+def sampler_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampler.status(samples(spark, sf_dir), 1000).select(*rounded("stream_id", "buffered", "overflow", "fill_ratio~", "last_t~"))
+
+
+@query(f"WITH {sql.SAMPLES}, placed AS (SELECT *, (row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1) // 16 AS chunk FROM samples) SELECT 'STR:' || stream_id || ':ch0:rms_envelope:v1:0.0625' AS stream_id, chunk AS seq, {r('arg_min(t, seq) + 7.5', 't')}, {r('sqrt(avg(v * v))', 'v')} FROM placed GROUP BY stream_id, chunk HAVING count(*) = 16")
+def rms_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampler.rms_envelope(samples(spark, sf_dir), 16, 1.0).select(*rounded("stream_id", "seq", "t~", "v~"))
+
+
+@query(f"WITH {sql.SAMPLES} SELECT stream_id, seq, {r('v')}, (row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1) / 4.0::DOUBLE AS t FROM samples")
+def sampler_synthesised_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampler.synthesised(samples(spark, sf_dir), 4.0).select(*rounded("stream_id", "seq", "v~", "t"))
+
+
+@query()
+def synthetic_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.samples_of(spark, "synthetic", *signals.synthetic("baseline", 42, 0.03))
+
+
+# --- receipts ------------------------------------------------------------------------------------------------------------
+
+_RECEIPT = f"""WITH {sql.DIFFS},
+agg AS (SELECT stream_id, count(*) AS total_samples, arg_min(t, seq) AS t_first, arg_max(t, seq) AS t_last, any_value(nominal) AS dt_nominal_guess, any_value(dts) AS dts, sqrt(avg((dt - nominal) * (dt - nominal))) AS jitter_rms,
+  count(*) FILTER (dt > nominal * 3) AS gap_count, coalesce(sum(dt - nominal) FILTER (dt > nominal * 3), 0) AS gap_total_duration, CAST(coalesce(sum(greatest(0, floor(dt / nominal + 0.5) - 1)) FILTER (dt > nominal * 3), 0) AS BIGINT) AS missing_estimated_samples,
+  count(*) FILTER (dt = 0) AS duplicate_timestamps, count(*) FILTER (dt <= 0) AS monotonicity_violations, min(v) AS value_min, max(v) AS value_max, avg(v) AS value_mean, sqrt(avg(v * v)) AS value_rms
+  FROM diffs JOIN steps USING (stream_id) GROUP BY stream_id)"""
+
+
+def _rank(p: float) -> str:
+    return f"dts[CAST(floor({p} * (len(dts) - 1)) AS BIGINT) + 1]"
+
+
+@query(f"{_RECEIPT} SELECT stream_id, {r('dt_nominal_guess')}, {r(_rank(0.5), 'dt_p50')}, {r(_rank(0.95), 'dt_p95')}, {r(_rank(0.99), 'dt_p99')}, {r('jitter_rms')}, gap_count, {r('gap_total_duration')}, monotonicity_violations, {r('value_min')}, {r('value_max')}, {r('value_mean')}, {r('value_rms')} FROM agg")
+def ingest_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.receipts(samples(spark, sf_dir), Ingest("catalog")).select(*rounded("stream_id", "dt_nominal_guess~", "dt_p50~", "dt_p95~", "dt_p99~", "jitter_rms~", "gap_count", "gap_total_duration~", "monotonicity_violations", "value_min~", "value_max~", "value_mean~", "value_rms~"))
+
+
+@query(f"{_RECEIPT} SELECT stream_id, total_samples, duplicate_timestamps, missing_estimated_samples, CAST(CASE WHEN monotonicity_violations > 0 THEN monotonicity_violations + 1 ELSE 1 END AS BIGINT) AS segment_count, {r('t_first')}, {r('t_last')} FROM agg")
+def sequence_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.receipts(samples(spark, sf_dir)).select(*rounded("stream_id", "total_samples", "duplicate_timestamps", "missing_estimated_samples", "segment_count", "t_first~", "t_last~"))
+
+
+@query(f"{_RECEIPT} SELECT stream_id, {r('greatest(0, least(1, 1 - CASE WHEN monotonicity_violations > 0 THEN 0.5 ELSE 0 END - CASE WHEN duplicate_timestamps > 0 THEN least(0.2, duplicate_timestamps / total_samples) ELSE 0 END - CASE WHEN gap_count > 0 THEN least(0.2, gap_count / total_samples) ELSE 0 END - least(0.2, abs(jitter_rms / dt_nominal_guess))))', 'ingest_confidence')} FROM agg")
+def ingest_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.receipts(samples(spark, sf_dir)).select(*rounded("stream_id", "ingest_confidence~"))
+
+
+@query(f"WITH {_LATE}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY stream_id ORDER BY seq) AS dt FROM late) SELECT stream_id, count(*) FILTER (dt <= 0) AS monotonicity_violations, CASE WHEN count(*) FILTER (dt <= 0) > 0 THEN 'NON_MONOTONIC_TIME' END AS error FROM d GROUP BY stream_id")
+def ingest_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.receipts(_late(spark, sf_dir)).select("stream_id", "monotonicity_violations", "error")
+
+
+# --- grid ----------------------------------------------------------------------------------------------------------------
+
+
+def _aligned(spark: SparkSession, sf_dir: str, grid: Grid = GRID) -> DataFrame:
+    return align.align(samples(spark, sf_dir), grid)
+
+
+_POINTS = f"SELECT stream_id, i, {r('tq')}, {r('v')} FROM aligned"
+
+
+@query(f"WITH {sql.aligned()} {_POINTS}")
+def align_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir).select(*rounded("stream_id", "i", "tq~", "v~"))
+
+
+@query(f"WITH {sql.aligned('v_prev')} {_POINTS}")
+def align_zoh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir, Grid(1.0, interp_method="zoh", small_gap_multiplier=sql.MULTIPLIER)).select(*rounded("stream_id", "i", "tq~", "v~"))
+
+
+@query(f"WITH {sql.aligned(held='v_prev')} {_POINTS}")
+def align_hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir, Grid(1.0, gap_policy="hold_last", small_gap_multiplier=sql.MULTIPLIER)).select(*rounded("stream_id", "i", "tq~", "v~"))
+
+
+@query(f"WITH {sql.GRID} SELECT d.stream_id, {r('any_value(t0)', 't0')}, CAST(floor(any_value(t1) - any_value(t0)) AS BIGINT) + 1 AS grid_size, count(*) FILTER (dt > nominal * {sql.MULTIPLIER}) AS gap_count, {r('sqrt(avg((t - (t0 + floor(t - t0 + 0.5))) * (t - (t0 + floor(t - t0 + 0.5)))))', 'post_align_jitter')}, {r('1 / any_value(nominal)', 'downsample_ratio')} FROM diffs d JOIN steps USING (stream_id) JOIN spans USING (stream_id) GROUP BY d.stream_id")
+def align_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.receipts(samples(spark, sf_dir), GRID).select(*rounded("stream_id", "t0~", "grid_size", "gap_count", "post_align_jitter~", "downsample_ratio~"))
+
+
+@query(f"WITH {sql.DIFFS}, x AS (SELECT stream_id, t, min(t) OVER (PARTITION BY stream_id) + (rn - 1) * nominal AS g FROM diffs JOIN steps USING (stream_id)), f AS (SELECT stream_id, regr_slope(t, g) AS a, regr_intercept(t, g) AS b FROM x GROUP BY stream_id) SELECT stream_id, round((any_value(a) - 1) * 1e6, 2) AS drift_ppm, round(any_value(b) * 1000, 2) AS offset_ms, {r('sqrt(avg((t - (a * g + b)) * (t - (a * g + b))))', 'fit_residual_rms')} FROM x JOIN f USING (stream_id) GROUP BY stream_id")
+def drift_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.drift(samples(spark, sf_dir)).select("stream_id", F.round("drift_ppm", 2).alias("drift_ppm"), F.round("offset_ms", 2).alias("offset_ms"), *rounded("fit_residual_rms~"))
+
+
+# --- frames --------------------------------------------------------------------------------------------------------------
+
+
+def _frames(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
+    from dataclasses import replace
+
+    return frames.frames(_aligned(spark, sf_dir), replace(FRAME, **changes))
+
+
+def _slots(df: DataFrame, column: str = "windowed") -> DataFrame:
+    return df.select("stream_id", "w", F.posexplode(column).alias("n", "x")).select(*rounded("stream_id", "w", "n", "x~"))
+
+
+def _slot_sql(chain: str, column: str = "x") -> str:
+    return f"WITH {chain} SELECT stream_id, w, CAST(n AS INTEGER) AS n, {r(column, 'x')} FROM tapered"
+
+
+for _boundary in ("truncate", "pad", "mirror_pad"):
+    query(_slot_sql(sql.framed(boundary=_boundary)), f"frames_{_boundary}")(lambda spark, sf_dir, b=_boundary: _slots(_frames(spark, sf_dir, boundary_policy=b)))
+for _fill, _policy in (("hold", "hold_last"), ("interpolate", "interpolate_small"), ("cut", "cut")):
+    query(_slot_sql(sql.framed(fill=_fill), "v"), f"fill_{_policy}")(lambda spark, sf_dir, p=_policy: _slots(_frames(spark, sf_dir, gap_policy=p), "raw"))
+for _taper in ("hann", "hamming", "blackman", "rectangular"):
+    query(_slot_sql(sql.framed(taper=_taper)), f"taper_{_taper}")(lambda spark, sf_dir, t=_taper: _slots(_frames(spark, sf_dir, window_function=t)))
+
+
+@query(f"""WITH {sql.framed()}, halves AS (SELECT stream_id, w, size, v, row_number() OVER (PARTITION BY stream_id, w ORDER BY n) AS k, count(*) OVER (PARTITION BY stream_id, w) AS m FROM filled WHERE v IS NOT NULL),
+s AS (SELECT stream_id, w, any_value(m) AS m, avg(v) FILTER (k <= m // 2) AS m1, avg(v) FILTER (k > m // 2) AS m2, var_pop(v) FILTER (k <= m // 2) AS v1, var_pop(v) FILTER (k > m // 2) AS v2, sqrt(avg(v * v)) AS salience FROM halves GROUP BY stream_id, w)
+SELECT stream_id, w, CAST(size AS INTEGER) AS size, {r('t0')}, {r('missing / size::DOUBLE', 'missing_ratio')}, gaps AS gap_count, {r('missing * 1.0::DOUBLE', 'gap_total_duration')}, size < {sql.SIZE} AS clipped, CASE WHEN size < {sql.SIZE} THEN 'boundary_repair' ELSE 'fixed_schedule' END AS selection_reason,
+{r('CASE WHEN m >= 4 THEN greatest(0, least(1, 1 - least(1, (abs(m2 - m1) + abs(v2 - v1)) / (abs(m1) + abs(m2) + v1 + v2 + 1e-9)))) END', 'stationarity_score')}, {r('salience', 'salience_score')} FROM frames LEFT JOIN s USING (stream_id, w)""")
+def frame_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).select(*rounded("stream_id", "w", "size", "t0~", "missing_ratio~", "gap_count", "gap_total_duration~", "clipped", "selection_reason", "stationarity_score~", "salience_score~"))
+
+
+# --- spectra -------------------------------------------------------------------------------------------------------------
+
+
+def _spectra(spark: SparkSession, sf_dir: str, mode: str = "forward_1_over_N") -> DataFrame:
+    return spectrum.spectra(_frames(spark, sf_dir).where(F.col("size") == sql.SIZE), 1.0, Transform(normalization_mode=mode))
+
+
+@query(f"WITH {sql.BINS} SELECT stream_id, w, CAST(k AS INTEGER) AS k, {r('freq_hz')}, {r('re')}, {r('im')}, {r('magnitude')} FROM bins")
+def spectrum_dft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spectra(spark, sf_dir).select("stream_id", "w", F.explode("spectrum").alias("b")).select("stream_id", "w", "b.*").select(*rounded("stream_id", "w", "k", "freq_hz~", "re~", "im~", "magnitude~"))
+
+
+for _mode, _factor in (("forward_raw", "size"), ("unitary", "sqrt(size)")):
+    query(f"WITH {sql.BINS} SELECT stream_id, w, CAST(k AS INTEGER) AS k, round(magnitude * {_factor}, 5) AS magnitude FROM bins", f"spectrum_{_mode}")(
+        lambda spark, sf_dir, m=_mode: _spectra(spark, sf_dir, m).select("stream_id", "w", F.explode("spectrum").alias("b")).select("stream_id", "w", "b.k", F.round("b.magnitude", 5).alias("magnitude"))
+    )
+
+
+@query(f"""WITH {sql.BINS}, t AS (SELECT stream_id, w, sum(x * x) AS time_energy FROM tapered JOIN whole USING (stream_id, w) WHERE size = {sql.SIZE} GROUP BY stream_id, w)
+SELECT stream_id, w, {r('sum(CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END * magnitude * magnitude) * any_value(size)', 'energy_total')}, {r('abs(sum(CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END * magnitude * magnitude) * any_value(size) - any_value(time_energy)) / any_value(time_energy)', 'parseval_error')}, CAST(any_value(size) AS INTEGER) AS padded_length FROM bins JOIN t USING (stream_id, w) GROUP BY stream_id, w""")
+def parseval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spectra(spark, sf_dir).select(*rounded("stream_id", "w", "energy_total~", "parseval_error~", "padded_length"))
+
+
+@query(f"WITH {sql.BINS}, p AS (SELECT stream_id, w, arg_max(k, magnitude) AS peak FROM bins GROUP BY stream_id, w) SELECT stream_id, w, {r('1 - sum(magnitude * magnitude) FILTER (abs(k - peak) <= 1) / sum(magnitude * magnitude)', 'leakage_estimate')} FROM bins JOIN p USING (stream_id, w) GROUP BY stream_id, w")
+def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spectra(spark, sf_dir).select(*rounded("stream_id", "w", "leakage_estimate~"))
+
+
+@query("WITH " + sql.framed() + " SELECT stream_id, w, 'NON_TRANSFORMABLE_WINDOW' AS error FROM tapered GROUP BY stream_id, w HAVING count(x) < count(*)")
+def spectrum_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum.transformable(_frames(spark, sf_dir))[1].select("stream_id", "w", "error")
+
+
+# --- states --------------------------------------------------------------------------------------------------------------
+
+
+def _states(spark: SparkSession, sf_dir: str, policy: Compression = COMPRESSION) -> DataFrame:
+    return reduce.reduce_spectra(_spectra(spark, sf_dir), 1.0, policy)[0]
+
+
+@query(f"WITH {sql.KEPT} SELECT stream_id, w, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS k, {r('magnitude')} FROM kept")
+def topk_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _states(spark, sf_dir).select("stream_id", "w", F.posexplode("kept_bins").alias("p", "b"))
+    return kept.select("stream_id", "w", (F.col("p") + 1).alias("place"), F.col("b.k").alias("k"), F.col("b.magnitude").alias("magnitude")).select(*rounded("stream_id", "w", "place", "k", "magnitude~"))
+
+
+@query(f"""WITH {sql.KEPT}, others AS (SELECT *, row_number() OVER (PARTITION BY stream_id, w, band ORDER BY magnitude DESC, k) AS inside FROM ranked WHERE k <> 0 AND freq_hz < {sql.EDGES[-1]}),
+quota AS (SELECT stream_id, w, k FROM others WHERE inside <= 1), ordered AS (SELECT r.stream_id, r.w, r.k, row_number() OVER (PARTITION BY r.stream_id, r.w ORDER BY CASE WHEN r.k = 0 THEN 0 WHEN q.k IS NOT NULL THEN 1 ELSE 2 END, CASE WHEN q.k IS NOT NULL THEN r.band END, r.magnitude DESC, r.k) AS place FROM ranked r LEFT JOIN quota q ON q.stream_id = r.stream_id AND q.w = r.w AND q.k = r.k)
+SELECT stream_id, w, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS k FROM ordered WHERE place <= 9""")
+def band_quota_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    kept = _states(spark, sf_dir, replace(COMPRESSION, budget=9, selection_method="band_quota", quota_edges=sql.EDGES, min_bins_per_band=1)).select("stream_id", "w", F.posexplode("kept_bins").alias("p", "b"))
+    return kept.select("stream_id", "w", (F.col("p") + 1).alias("place"), F.col("b.k").alias("k"))
+
+
+@query(f"WITH {sql.STATES} SELECT stream_id, w, CAST(band AS INTEGER) AS band, {r('share')} FROM shares")
+def band_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select("stream_id", "w", F.posexplode("profile").alias("band", "share")).select(*rounded("stream_id", "w", "band", "share~"))
+
+
+@query(f"""WITH {sql.STATES} {sql.profile('ranked', 'full_shares')}, d AS (SELECT stream_id, w, sum(abs(a.share - b.share)) AS divergence FROM shares a JOIN full_shares b USING (stream_id, w, band) GROUP BY stream_id, w)
+SELECT stream_id, w, {r('t_start')}, {r('t_end')}, {r('energy_raw')}, {r('energy_kept / energy_raw', 'energy_norm')}, {r('recon_rmse')}, {r('(energy_raw - energy_kept) / energy_raw', 'energy_residual')}, {r('divergence', 'band_profile_divergence')} FROM states JOIN d USING (stream_id, w)""")
+def reduce_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select(*rounded("stream_id", "w", "t_start~", "t_end~", "energy_raw~", "energy_norm~", "recon_rmse~", "energy_residual~", "band_profile_divergence~"))
+
+
+@query(f"""WITH {sql.KEPT}, e AS (SELECT stream_id, w, place, sum(re * re + im * im) OVER (PARTITION BY stream_id, w ORDER BY place) / sum(re * re + im * im) OVER (PARTITION BY stream_id, w) AS share FROM ranked)
+SELECT stream_id, w, CAST(min(place) AS INTEGER) AS bin_count_kept FROM e WHERE place >= 4 AND place <= 20 AND 1 - share <= 0.02 GROUP BY stream_id, w""")
+def budget_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    return _states(spark, sf_dir, replace(COMPRESSION, budget=4, max_budget=20, thresholds=Thresholds(1e6, 0.02, 2.0))).select("stream_id", "w", "bin_count_kept")
+
+
+@query(f"WITH {sql.KEPT}, c AS (SELECT stream_id, w, b.band, count(*) FILTER (kept.band = b.band) AS n, avg(cos(phase)) FILTER (kept.band = b.band) AS c, avg(sin(phase)) FILTER (kept.band = b.band) AS s FROM kept CROSS JOIN (SELECT unnest(range({len(sql.EDGES) - 1})) AS band) b GROUP BY stream_id, w, b.band) SELECT stream_id, w, CAST(band AS INTEGER) AS band, CASE WHEN n = 0 THEN 0 WHEN n = 1 THEN 0 WHEN sqrt(c * c + s * s) <= 1e-12 THEN round(pi(), 5) ELSE round(sqrt(-2 * ln(least(1, sqrt(c * c + s * s)))), 5) END AS sigma FROM c")
+def circular_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _states(spark, sf_dir).select("stream_id", "w", F.posexplode("sigma_phi").alias("band", "s"))
+    return rows.select("stream_id", "w", "band", F.when(F.col("s") < 1e-6, F.lit(0.0)).otherwise(F.round("s", 5)).alias("sigma"))
+
+
+@query(f"WITH {sql.STATES} {sql.profile('ranked', 'full_shares')}, d AS (SELECT stream_id, w, sum(abs(a.share - b.share)) AS divergence FROM shares a JOIN full_shares b USING (stream_id, w, band) GROUP BY stream_id, w), c AS (SELECT stream_id, w, 1 - recon_rmse / 1e6 AS i, 1 - (energy_raw - energy_kept) / energy_raw / 0.9 AS e, 1 - divergence / 1.9 AS b FROM states JOIN d USING (stream_id, w)) SELECT stream_id, w, {r('least(i, e, b)', 'confidence')}, CASE WHEN least(i, e, b) >= 1 THEN 'none' WHEN least(i, e, b) = i THEN 'low_identity' WHEN least(i, e, b) = e THEN 'low_energy' ELSE 'low_band' END AS blocked_reason, least(i, e, b) >= 0.75 AS eligible_for_archive_tier FROM c")
+def state_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).select(*rounded("stream_id", "w", "confidence~", "blocked_reason", "eligible_for_archive_tier"))
+
+
+# --- novelty and segments ------------------------------------------------------------------------------------------------
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.segments(_states(spark, sf_dir), ANOMALY)
+
+
+@query(f"WITH RECURSIVE {sql.FOLD} SELECT stream_id, w, epoch, segment_id, against AS base_w, {r('divergence')}, novelty FROM segmented")
+def segment_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir).select(*rounded("stream_id", "w", "epoch", "segment_id", "base_w", "divergence~", "novelty"))
+
+
+@query(f"WITH RECURSIVE {sql.FOLD} SELECT stream_id, segment_id AS from_segment_id, 'seg:' || stream_id || ':' || (epoch + 1) AS to_segment_id, {r('t_start', 't_transition')}, {r('divergence', 'divergence_score')}, epoch + 1 AS epoch_counter FROM segmented WHERE novelty")
+def segment_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.transitions(_segmented(spark, sf_dir)).select(*rounded("stream_id", "from_segment_id", "to_segment_id", "t_transition~", "divergence_score~", "epoch_counter"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, policy: Anomaly) -> DataFrame:
+    """Each state against the one before it."""
+    states = _states(spark, sf_dir)
+    order = Window.partitionBy("stream_id").orderBy("w")
+    pair = states.select("stream_id", "w", F.struct(*states.columns).alias("current")).withColumn("base", F.lag("current").over(order)).where("base is not null")
+    return novelty.compare(pair, policy)
+
+
+_PAIRED = ", paired AS (SELECT c.stream_id, c.w, b.w AS bw, c.energy_raw AS ce, b.energy_raw AS be, c.profile AS cp, b.profile AS bp FROM states c JOIN states b ON b.stream_id = c.stream_id AND b.ord = c.ord - 1)"
+_MATCHED = _PAIRED + ", matched AS (SELECT p.stream_id, p.w, coalesce(c.k, b.k) AS k, c.k AS ck, b.k AS bk, c.freq_hz AS cf, b.freq_hz AS bf, c.re AS cre, c.im AS cim, b.re AS bre, b.im AS bim, c.magnitude AS cm, b.magnitude AS bm FROM paired p JOIN kept c ON c.stream_id = p.stream_id AND c.w = p.w LEFT JOIN kept b ON b.stream_id = p.stream_id AND b.w = p.bw AND b.k = c.k UNION ALL SELECT p.stream_id, p.w, b.k, NULL, b.k, NULL, b.freq_hz, NULL, NULL, b.re, b.im, NULL, b.magnitude FROM paired p JOIN kept b ON b.stream_id = p.stream_id AND b.w = p.bw ANTI JOIN kept c ON c.stream_id = p.stream_id AND c.w = p.w AND c.k = b.k)"
+
+
+@query(f"WITH {sql.STATES} {_PAIRED} SELECT stream_id, w, {r(sql.l1('cp', 'bp'), 'divergence_score')}, {sql.l1('cp', 'bp')} > {sql.THRESHOLD} AS novelty_gate_triggered, CASE WHEN {sql.l1('cp', 'bp')} > {sql.THRESHOLD} THEN 'above_threshold | segmentation pressure registered' ELSE 'below_or_equal_threshold | deviation observed without novelty closure' END AS threshold_posture FROM paired")
+def novelty_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, ANOMALY).select(*rounded("stream_id", "w", "divergence_score~", "novelty_gate_triggered", "threshold_posture"))
+
+
+@query(f"WITH {sql.STATES} {_PAIRED} SELECT stream_id, w, {r('abs(ce - be) / greatest(abs(be), 1e-12)', 'divergence_score')} FROM paired")
+def novelty_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, Anomaly(invariance_mode="energy", divergence_metric="energy_delta")).select(*rounded("stream_id", "w", "divergence_score~"))
+
+
+@query(f"WITH {sql.STATES} {_MATCHED} SELECT stream_id, w, {r('CASE WHEN count(*) FILTER (ck = bk) = 0 THEN 1 ELSE sqrt(sum((cre - bre) * (cre - bre) + (cim - bim) * (cim - bim)) FILTER (ck = bk) / greatest(sum(bre * bre + bim * bim) FILTER (ck = bk), 1e-12)) END', 'divergence_score')}, CAST(count(*) FILTER (ck = bk) AS INTEGER) AS bins_compared FROM matched GROUP BY stream_id, w")
+def novelty_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, Anomaly(invariance_mode="structural", divergence_metric="l2_complex")).select(*rounded("stream_id", "w", "divergence_score~", "bins_compared"))
+
+
+@query(f"WITH {sql.STATES} {_MATCHED}, ev AS (SELECT stream_id, w, 'new_frequency' AS type, cf AS freq_hz, cm AS magnitude_delta, NULL::INTEGER AS band_id FROM matched WHERE bk IS NULL AND cm >= 0.5 UNION ALL SELECT stream_id, w, 'vanished_frequency', bf, -bm, NULL FROM matched WHERE ck IS NULL AND bm >= 0.5 UNION ALL SELECT stream_id, w, 'drift', cf, cm - bm, NULL FROM matched WHERE ck = bk AND k NOT IN (0, 32) AND greatest(cm, bm) >= 0.5 UNION ALL SELECT stream_id, w, 'energy_shift', NULL, d, CAST(band AS INTEGER) FROM (SELECT stream_id, w, unnest(range(len(cp))) AS band, unnest(list_transform(list_zip(cp, bp), lambda p: p[1] - p[2])) AS d FROM paired) WHERE abs(d) >= 0.002) SELECT stream_id, w, type, {r('freq_hz')}, {r('magnitude_delta')}, band_id FROM ev")
+def detected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Anomaly(dominant_bin_threshold=0.5, new_frequency_threshold=0.5, vanished_frequency_threshold=0.5, energy_shift_threshold=0.002)
+    rows = _neighbours(spark, sf_dir, policy).select("stream_id", "w", F.explode("detected_events").alias("e")).select("stream_id", "w", "e.*")
+    return rows.where("type <> 'drift' or (freq_hz > 0 and freq_hz < 0.5)").select(*rounded("stream_id", "w", "type", "freq_hz~", "magnitude_delta~", "band_id"))
+
+
+@query()
+def detected_events_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = Anomaly(frequency_tolerance_hz=1 / sql.SIZE, dominant_bin_threshold=0.5, new_frequency_threshold=0.5, vanished_frequency_threshold=0.5, energy_shift_threshold=0.002)
+    return _neighbours(spark, sf_dir, policy).select("stream_id", "w", F.explode("detected_events").alias("e")).select("stream_id", "w", "e.*")
