@@ -369,3 +369,333 @@ def detected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detected_events_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = Anomaly(frequency_tolerance_hz=1 / sql.SIZE, dominant_bin_threshold=0.5, new_frequency_threshold=0.5, vanished_frequency_threshold=0.5, energy_shift_threshold=0.002)
     return _neighbours(spark, sf_dir, policy).select("stream_id", "w", F.explode("detected_events").alias("e")).select("stream_id", "w", "e.*")
+
+
+# --- merges and replay ---------------------------------------------------------------------------------------------------
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    paired = merge.pairs(_segmented(spark, sf_dir))
+    groups = paired.groupBy("stream_id", "segment_id", "pair").agg(F.collect_list(F.struct(*paired.columns)).alias("states"))
+    return merge.merge(groups, 1.0, Merge("catalog"), COMPRESSION)
+
+
+_MERGE = f"""WITH RECURSIVE {sql.FOLD},
+placed AS (SELECT *, (row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY w) - 1) // 2 AS pair, (row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY w) - 1) % 2 AS side FROM segmented),
+pairs AS (SELECT stream_id, segment_id, pair, any_value(t_start) FILTER (side = 0) AS t1, any_value(t_end) FILTER (side = 0) AS e1, any_value(t_start) FILTER (side = 1) AS t2, any_value(t_end) FILTER (side = 1) AS e2, avg(energy_raw) AS expected FROM placed GROUP BY stream_id, segment_id, pair HAVING count(*) = 2),
+turned AS (SELECT p.stream_id, p.segment_id, p.pair, k.k, k.freq_hz, k.band, k.re * cos(a) - k.im * sin(a) AS re, k.re * sin(a) + k.im * cos(a) AS im FROM (SELECT placed.*, -2 * pi() * (placed.t_start - pairs.t1) AS shift FROM placed JOIN pairs USING (stream_id, segment_id, pair) WHERE t2 <= e1) p JOIN kept k ON k.stream_id = p.stream_id AND k.w = p.w, LATERAL (SELECT p.shift * k.freq_hz AS a)),
+merged AS (SELECT *, re * re + im * im AS power, row_number() OVER (PARTITION BY stream_id, segment_id, pair ORDER BY CASE WHEN k = 0 THEN 0 ELSE 1 END, re * re + im * im DESC, k) AS place FROM (SELECT stream_id, segment_id, pair, k, any_value(freq_hz) AS freq_hz, any_value(band) AS band, avg(re) AS re, avg(im) AS im FROM turned GROUP BY stream_id, segment_id, pair, k))"""
+
+
+@query(f"{_MERGE} SELECT m.stream_id, m.segment_id, m.pair, {r('any_value(t1)', 't_start')}, {r('any_value(e2)', 't_end')}, {r('sum(power)', 'energy_raw')}, CAST(count(*) AS INTEGER) AS bin_count_full, CAST(count(*) FILTER (place <= {sql.BUDGET}) AS INTEGER) AS bin_count_kept, {r('sum(power) FILTER (place <= ' + str(sql.BUDGET) + ') / sum(power)', 'energy_norm')}, {r('abs(sum(power) - any_value(expected)) / any_value(expected)', 'energy_residual')} FROM merged m JOIN pairs USING (stream_id, segment_id, pair) GROUP BY m.stream_id, m.segment_id, m.pair")
+def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].select(*rounded("stream_id", "segment_id", "pair", "t_start~", "t_end~", "energy_raw~", "bin_count_full", "bin_count_kept", "energy_norm~", "energy_residual~"))
+
+
+@query(f"{_MERGE} SELECT stream_id, segment_id, pair, 'MERGE_INELIGIBLE' AS error FROM pairs WHERE t2 > e1")
+def merge_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[1].select("stream_id", "segment_id", "pair", "error")
+
+
+@query(f"{_MERGE} SELECT stream_id, segment_id, pair, CAST(place AS INTEGER) AS place, CAST(k AS INTEGER) AS k, {r('re')}, {r('im')} FROM merged WHERE place <= {sql.BUDGET}")
+def phase_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _merged(spark, sf_dir)[0].select("stream_id", "segment_id", "pair", F.posexplode("kept_bins").alias("p", "b"))
+    return rows.select("stream_id", "segment_id", "pair", (F.col("p") + 1).alias("place"), F.col("b.k").alias("k"), F.col("b.re").alias("re"), F.col("b.im").alias("im")).select(*rounded("stream_id", "segment_id", "pair", "place", "k", "re~", "im~"))
+
+
+@query(f"{_MERGE}, mass AS (SELECT stream_id, segment_id, pair, band, sum(power) AS e FROM merged GROUP BY stream_id, segment_id, pair, band), shared AS (SELECT p.stream_id, p.segment_id, p.pair, b.band, coalesce(m.e, 0) / sum(coalesce(m.e, 0)) OVER (PARTITION BY p.stream_id, p.segment_id, p.pair) AS share FROM (SELECT * FROM pairs WHERE t2 <= e1) p CROSS JOIN (SELECT unnest(range({len(sql.EDGES) - 1})) AS band) b LEFT JOIN mass m ON m.stream_id = p.stream_id AND m.segment_id = p.segment_id AND m.pair = p.pair AND m.band = b.band), wanted AS (SELECT p.stream_id, p.segment_id, p.pair, s.band, avg(s.share) AS share FROM placed p JOIN shares s USING (stream_id, w) GROUP BY p.stream_id, p.segment_id, p.pair, s.band), d AS (SELECT stream_id, segment_id, pair, sum(abs(a.share - b.share)) AS divergence FROM shared a JOIN wanted b USING (stream_id, segment_id, pair, band) GROUP BY stream_id, segment_id, pair), e AS (SELECT stream_id, segment_id, pair, abs(sum(power) - any_value(expected)) / any_value(expected) AS drift FROM merged JOIN pairs USING (stream_id, segment_id, pair) GROUP BY stream_id, segment_id, pair), g AS (SELECT *, greatest(0, least(1, 1 - drift / 0.9)) AS ce, greatest(0, least(1, 1 - divergence / 1.9)) AS cb FROM d JOIN e USING (stream_id, segment_id, pair)) SELECT stream_id, segment_id, pair, {r('divergence', 'band_profile_divergence')}, {r('least(1, ce, cb)', 'confidence')}, CASE WHEN least(ce, cb) >= 1 THEN 'none' WHEN ce <= cb THEN 'low_energy' ELSE 'low_band' END AS blocked_reason, least(ce, cb) >= 1 AS eligible_for_authoritative_merge, least(ce, cb) >= 0.75 AS eligible_for_archive_tier FROM g")
+def merge_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].select(*rounded("stream_id", "segment_id", "pair", "band_profile_divergence~", "confidence~", "blocked_reason", "eligible_for_authoritative_merge", "eligible_for_archive_tier"))
+
+
+_REPLAYED = f"WITH {sql.KEPT}, picked AS (SELECT stream_id, w, any_value(t0) AS t0 FROM kept WHERE w % 4 = 0 GROUP BY stream_id, w), grid AS (SELECT stream_id, w, t0, unnest(range({sql.SIZE})) AS n FROM picked)"
+
+
+def _value(bins: str, at: str = "g") -> str:
+    return f"sum(CASE WHEN {bins}.k = 0 OR 2 * {bins}.k >= {sql.SIZE} THEN 1 ELSE 2 END * ({bins}.re * cos(2 * pi() * {bins}.k * {at}.n / {sql.SIZE}) - {bins}.im * sin(2 * pi() * {bins}.k * {at}.n / {sql.SIZE})))"
+
+
+@query(f"{_REPLAYED} SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, {r('any_value(g.t0) + g.n', 't')}, {r(_value('k'), 'v')} FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w GROUP BY g.stream_id, g.w, g.n")
+def replay_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(_states(spark, sf_dir).where("w % 4 = 0")).select(*rounded("stream_id", "w", "n", "t~", "v~"))
+
+
+@query(f"{_REPLAYED}, floors AS (SELECT stream_id, w, list_sort(list(magnitude))[CAST(floor(0.1 * (count(*) - 1)) AS BIGINT) + 1] AS floor FROM kept GROUP BY stream_id, w), every AS (SELECT s.stream_id, s.w, b.k, coalesce(k.re, floor) AS re, coalesce(k.im, 0) AS im FROM picked s CROSS JOIN (SELECT unnest(range({sql.SIZE // 2 + 1})) AS k) b LEFT JOIN kept k ON k.stream_id = s.stream_id AND k.w = s.w AND k.k = b.k JOIN floors f ON f.stream_id = s.stream_id AND f.w = s.w) SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, {r(_value('e'), 'v')} FROM grid g JOIN every e ON e.stream_id = g.stream_id AND e.w = g.w GROUP BY g.stream_id, g.w, g.n")
+def replay_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .policies import Replay
+
+    return replay.replay(_states(spark, sf_dir).where("w % 4 = 0"), Replay(fill_missing_bins="NOISE_FLOOR")).select(*rounded("stream_id", "w", "n", "v~"))
+
+
+@query(f"{_REPLAYED} SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, round(({_value('k')}) / greatest(0.5 * (1 - cos(2 * pi() * g.n / {sql.SIZE - 1})), 1e-6), 3) + 0.0 AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w WHERE g.n BETWEEN 2 AND {sql.SIZE - 3} GROUP BY g.stream_id, g.w, g.n")
+def hann_compensate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .policies import Replay
+
+    rows = replay.replay(_states(spark, sf_dir).where("w % 4 = 0"), Replay(window_compensation="HANN_COMPENSATE")).where(F.col("n").between(2, sql.SIZE - 3))
+    return rows.select("stream_id", "w", "n", (F.round("v", 3) + F.lit(0.0)).alias("v"))
+
+
+@query(f"{_REPLAYED}, vals AS (SELECT g.stream_id, g.w, g.n, {_value('k')} AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w GROUP BY g.stream_id, g.w, g.n) SELECT stream_id, w, count(*) AS samples, round(sum(v * v), 4) AS reconstructed_energy, 'window_direct' AS replay_mode FROM vals GROUP BY stream_id, w")
+def replay_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = replay.receipts(_states(spark, sf_dir).where("w % 4 = 0"))
+    return rows.select("stream_id", "w", "samples", F.round("reconstructed_energy", 4).alias("reconstructed_energy"), "replay_mode")
+
+
+# --- queries over states -------------------------------------------------------------------------------------------------
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir).withColumns({"state_id": F.concat_ws(":", "stream_id", F.format_string("%03d", F.col("w"))), "segment_id": F.concat(F.lit("seg:"), F.col("stream_id")), "artifact_class": F.lit("H1")})
+
+
+_CORPUS = f"WITH {sql.STATES}, corpus AS (SELECT *, stream_id || ':' || lpad(w::VARCHAR, 3, '0') AS state_id FROM states), one AS (SELECT * FROM corpus WHERE state_id = 'click:002')"
+_CROSS = "cur AS (SELECT c.stream_id, c.w, c.state_id, coalesce(a.k, b.k) AS k, coalesce(a.re, 0) AS ar, coalesce(a.im, 0) AS ai, coalesce(b.re, 0) AS br, coalesce(b.im, 0) AS bi FROM (SELECT c.stream_id, c.w, c.state_id, u.k FROM corpus c CROSS JOIN (SELECT unnest(range(33)) AS k) u) c LEFT JOIN (SELECT * FROM kept WHERE stream_id = 'click' AND w = 2) a ON a.k = c.k LEFT JOIN kept b ON b.stream_id = c.stream_id AND b.w = c.w AND b.k = c.k)"
+
+
+def _top(score: str, chain: str = "scored AS (SELECT c.state_id, {score} AS score FROM corpus c, one o)") -> str:
+    return f"{_CORPUS}, {chain.format(score=score)}, ranked_states AS (SELECT state_id AS ref, score, CAST(row_number() OVER (ORDER BY score DESC, state_id) AS INTEGER) AS rank FROM scored) SELECT ref, {r('score')}, rank FROM ranked_states WHERE rank <= 10"
+
+
+_IDENTITY = _CROSS + ", scored AS (SELECT state_id, {score} AS score FROM cur GROUP BY state_id)"
+_SIMILAR = {
+    "cosine": ("IDENTITY", "cosine", _top("sum(ar * br + ai * bi) / sqrt(sum(ar * ar + ai * ai) * sum(br * br + bi * bi))", _IDENTITY)),
+    "l2": ("IDENTITY", "l2_complex", _top("1 / (1 + sqrt(sum((ar - br) * (ar - br) + (ai - bi) * (ai - bi))))", _IDENTITY)),
+    "energy": ("ENERGY", "energy_delta", _top("1 - least(1, abs(c.energy_raw - o.energy_raw) / greatest(abs(c.energy_raw), abs(o.energy_raw), 1e-12))")),
+    "band_l1": ("BAND_PROFILE", "band_l1", _top(f"1 / (1 + {sql.l1('c.profile', 'o.profile')})")),
+    "band_cosine": ("BAND_PROFILE", "cosine", _top("list_cosine_similarity(c.profile, o.profile)")),
+}
+for _name, (_kind, _scoring, _text) in _SIMILAR.items():
+
+    def _similar(spark: SparkSession, sf_dir: str, kind: str = _kind, scoring: str = _scoring) -> DataFrame:
+        corpus = written(_corpus(spark, sf_dir))
+        found = q.similarity(corpus, corpus.where("state_id = 'click:002'"), q.Scope(allow_cross_segment=True), kind, Query(scoring=scoring))
+        return found.select(*rounded("ref", "score~", "rank"))
+
+    query(_text, f"query_similarity_{_name}")(_similar)
+
+
+@query(f"{_CORPUS}, scored AS (SELECT c.state_id, coalesce(sum(k.re * k.re + k.im * k.im) FILTER (k.freq_hz >= 0.05 AND k.freq_hz < 0.2), 0) AS score FROM corpus c JOIN kept k ON k.stream_id = c.stream_id AND k.w = c.w GROUP BY c.state_id), rk AS (SELECT state_id AS ref, score, CAST(row_number() OVER (ORDER BY score DESC, state_id) AS INTEGER) AS rank FROM scored) SELECT ref, {r('score')}, rank FROM rk WHERE rank <= 10")
+def query_band_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.band_lookup(_corpus(spark, sf_dir), "0.2:0.05", q.Scope(allow_cross_segment=True), Query()).select(*rounded("ref", "score~", "rank"))
+
+
+@query(f"{_CORPUS} SELECT state_id AS ref, {r('energy_raw', 'score')}, CAST(row_number() OVER (ORDER BY t_start, state_id) AS INTEGER) AS rank FROM corpus WHERE stream_id IN ('click', 'view') AND t_end > 100 AND t_start < 400")
+def query_energy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.energy_trend(_corpus(spark, sf_dir), q.Scope(stream_group=("click", "view"), time_range=(100.0, 400.0), allow_cross_segment=True)).select(*rounded("ref", "score~", "rank"))
+
+
+@query(f"{_CORPUS} SELECT c.state_id AS ref, {r('1 / (1 + ' + sql.l1('c.profile', 'o.profile') + ')', 'score')}, 1 AS rank FROM corpus c, one o WHERE c.state_id = 'click:004'")
+def query_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.compare(written(_corpus(spark, sf_dir)), "click:002", "click:004", q.Scope(stream_id="click"), "BAND_PROFILE", Query(scoring="band_l1")).select(*rounded("ref", "score~", "rank"))
+
+
+@query(f"{_CORPUS} SELECT 'energy_trend' AS kind, 'Q0_observation' AS query_class, 'L0_descriptive_only' AS claim_ceiling, CASE WHEN count(*) > 0 THEN 'descriptive_match_set' ELSE 'descriptive_no_match' END AS answer_posture, count(*) AS result_count FROM corpus WHERE stream_id = 'click'")
+def query_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = q.Scope(stream_id="click")
+    return q.envelope(q.energy_trend(_corpus(spark, sf_dir), scope), "energy_trend", "ENERGY", scope, Query()).select("kind", "query_class", "claim_ceiling", "answer_posture", "result_count")
+
+
+# --- neighborhoods -------------------------------------------------------------------------------------------------------
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(_corpus(spark, sf_dir).withColumn("node", F.col("w").cast("long")))
+
+
+_LINKED = f"""WITH RECURSIVE {sql.STATES},
+close AS (SELECT a.stream_id, a.w AS a, b.w AS b FROM states a JOIN states b ON a.stream_id = b.stream_id AND a.w <> b.w WHERE {sql.l1('a.profile', 'b.profile')} < {sql.NEAR}),
+reach AS (SELECT stream_id, w AS node, w AS label FROM states UNION SELECT r.stream_id, c.b, r.label FROM reach r JOIN close c ON c.stream_id = r.stream_id AND c.a = r.node),
+linked AS (SELECT stream_id, node, min(label) AS label FROM reach GROUP BY stream_id, node)"""
+
+
+@query(f"{_LINKED} SELECT stream_id, node, label FROM linked")
+def neighborhoods_single_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhoods.single_link(_nodes(spark, sf_dir), sql.NEAR, "stream_id")
+
+
+@query()
+def neighborhoods_complete_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighborhoods.complete_link(_nodes(spark, sf_dir), sql.NEAR, "stream_id")
+
+
+_CENTRES = f"""{_LINKED},
+centres AS (SELECT stream_id, label, list(share ORDER BY band) AS centroid FROM (SELECT l.stream_id, l.label, s.band, avg(s.share) AS share FROM linked l JOIN shares s ON s.stream_id = l.stream_id AND s.w = l.node GROUP BY l.stream_id, l.label, s.band) GROUP BY stream_id, label)"""
+
+
+@query(f"{_CENTRES} SELECT l.stream_id, l.label, count(*) AS member_count, {r('avg(s.energy_raw)', 'centroid_energy_raw')}, {r('max(' + sql.l1('s.profile', 'c.centroid') + ')', 'radius')}, {r('avg(' + sql.l1('s.profile', 'c.centroid') + ')', 'mean_distance')}, {r('sum(s.t_end - s.t_start)', 'total_duration_sec')}, {r('min(s.t_start)', 't_start')}, {r('max(s.t_end)', 't_end')} FROM linked l JOIN states s ON s.stream_id = l.stream_id AND s.w = l.node JOIN centres c ON c.stream_id = l.stream_id AND c.label = l.label GROUP BY l.stream_id, l.label HAVING count(*) >= 2")
+def neighborhood_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    labels = neighborhoods.single_link(nodes, sql.NEAR, "stream_id")
+    return neighborhoods.summaries(nodes, labels, Neighborhood(min_member_count=2), "stream_id").select(*rounded("stream_id", "label", "member_count", "centroid_energy_raw~", "radius~", "mean_distance~", "total_duration_sec~", "t_start~", "t_end~"))
+
+
+@query(f"{_CENTRES}, d AS (SELECT s.stream_id, s.w AS node, c.label AS nearest, {sql.l1('s.profile', 'c.centroid')} AS distance FROM states s JOIN centres c ON c.stream_id = s.stream_id), b AS (SELECT *, row_number() OVER (PARTITION BY stream_id, node ORDER BY distance, nearest) AS n FROM d) SELECT stream_id, node, CASE WHEN distance <= 0.003 THEN nearest END AS nearest, {r('CASE WHEN distance <= 0.003 THEN distance END', 'distance')} FROM b WHERE n = 1")
+def nearest_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    clusters = neighborhoods.summaries(nodes, neighborhoods.single_link(nodes, sql.NEAR, "stream_id"), Neighborhood(), "stream_id")
+    return neighborhoods.nearest(nodes.select("stream_id", "node", "profile"), clusters.select("stream_id", "label", "centroid"), 0.003, "stream_id").select(*rounded("stream_id", "node", "nearest", "distance~"))
+
+
+# --- trajectory ----------------------------------------------------------------------------------------------------------
+
+_PATH = f"""path AS (SELECT user_id::VARCHAR AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index, (epoch_us(ts) - {signals.EPOCH_US})::DOUBLE / 3.6e9 AS t_start, (epoch_us(ts) - {signals.EPOCH_US})::DOUBLE / 3.6e9 + 1 AS t_end, 'seg' || (event_id % 2) AS segment_id,
+  CASE WHEN event_id % 7 <> 0 THEN 'B' || CAST(floor(least(value, 119) / 40) AS INTEGER) END AS basin_id, CASE WHEN event_id % 7 <> 0 THEN value / 100 END AS distance, [value / 500, 1 - value / 500] AS profile, value AS energy_raw, event_id % 11 = 0 AS novelty, event_id % 5 / 4.0::DOUBLE AS confidence FROM events)"""
+
+
+def _path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = signals.events_as_samples(table(spark, sf_dir, "events"), "user_id")
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) - 1
+    known, v = F.col("seq") % 7 != 0, F.col("v")
+    basin = F.concat(F.lit("B"), F.floor(F.least(v, F.lit(119.0)) / 40).cast("int").cast("string"))
+    return e.select("stream_id", place.cast("long").alias("frame_index"), F.col("t").alias("t_start"), (F.col("t") + 1).alias("t_end"), F.concat(F.lit("seg"), (F.col("seq") % 2).cast("string")).alias("segment_id"), F.when(known, basin).alias("basin_id"), F.when(known, v / 100).alias("distance"), F.array(v / 500, F.lit(1.0) - v / 500).alias("profile"), v.alias("energy_raw"), (F.col("seq") % 11 == 0).alias("novelty"), ((F.col("seq") % 5) / F.lit(4.0)).alias("confidence"))
+
+
+_RUNS = f"WITH {_PATH}, o AS (SELECT *, CASE WHEN basin_id IS NOT DISTINCT FROM lag(basin_id) OVER w AND frame_index > 0 THEN 0 ELSE 1 END AS opens FROM path WINDOW w AS (PARTITION BY stream_id ORDER BY frame_index)), i AS (SELECT *, sum(opens) OVER (PARTITION BY stream_id ORDER BY frame_index) AS run FROM o), runs AS (SELECT stream_id, basin_id, run, count(*) AS frames, arg_max(t_end, frame_index) - arg_min(t_start, frame_index) AS duration, sum(t_end - t_start) AS frame_time, max(frame_index) AS last FROM i WHERE basin_id IS NOT NULL GROUP BY stream_id, basin_id, run)"
+
+
+@query(f'WITH {_PATH}, m AS (SELECT *, lag(basin_id) OVER (PARTITION BY stream_id ORDER BY frame_index) AS "from" FROM path) SELECT stream_id, "from", basin_id AS "to", count(*) AS count FROM m WHERE "from" <> basin_id GROUP BY stream_id, "from", basin_id')
+def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.transition_counts(_path(spark, sf_dir))
+
+
+@query(f'WITH {_PATH}, m AS (SELECT *, lag(basin_id) OVER (PARTITION BY stream_id, segment_id ORDER BY frame_index) AS "from" FROM path) SELECT stream_id, segment_id, "from", basin_id AS "to", count(*) AS count FROM m WHERE "from" <> basin_id GROUP BY stream_id, segment_id, "from", basin_id')
+def transition_counts_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.transition_counts(_path(spark, sf_dir), ("stream_id", "segment_id"))
+
+
+@query(f"{_RUNS} SELECT stream_id, basin_id, count(*) AS dwell_runs, CAST(sum(frames) AS BIGINT) AS total_frames, {r('sum(duration)', 'total_duration_sec')}, {r('avg(duration)', 'mean_duration_sec')} FROM runs GROUP BY stream_id, basin_id")
+def dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.dwell(_path(spark, sf_dir)).select(*rounded("stream_id", "basin_id", "dwell_runs", "total_frames", "total_duration_sec~", "mean_duration_sec~"))
+
+
+@query(f"{_RUNS} SELECT stream_id, basin_id, count(*) AS dwell_runs, count(*) - 1 AS re_entry_count FROM runs GROUP BY stream_id, basin_id")
+def recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.recurrence(_path(spark, sf_dir))
+
+
+@query(f"{_RUNS}, n AS (SELECT stream_id, max(frame_index) AS last, arg_max(coalesce(basin_id, ''), frame_index) AS cur FROM path GROUP BY stream_id) SELECT n.stream_id, nullif(cur, '') AS current_neighborhood_id, coalesce(frames, 0) AS current_dwell_count, {r('coalesce(frame_time, 0)', 'current_dwell_duration_sec')} FROM n LEFT JOIN runs ON runs.stream_id = n.stream_id AND runs.last = n.last")
+def current_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.current(_path(spark, sf_dir)).select(*rounded("stream_id", "current_neighborhood_id", "current_dwell_count", "current_dwell_duration_sec~"))
+
+
+@query(f"WITH {_PATH}, b AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_index DESC) AS back FROM path), s AS (SELECT stream_id, {sql.l1('profile', 'p')} AS step FROM (SELECT *, lag(profile) OVER (PARTITION BY stream_id ORDER BY frame_index) AS p FROM b WHERE back <= 9)) SELECT stream_id, {r('avg(step)', 'mean_l1_delta')}, {r('max(step)', 'max_l1_delta')}, count(*) AS frames_used, count(*) >= 2 AS sufficient_data FROM s GROUP BY stream_id")
+def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.velocity(_path(spark, sf_dir)).select(*rounded("stream_id", "mean_l1_delta~", "max_l1_delta~", "frames_used", "sufficient_data"))
+
+
+@query(f"WITH {_PATH}, b AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_index DESC) AS back FROM path), s AS (SELECT stream_id, distance, row_number() OVER (PARTITION BY stream_id ORDER BY frame_index) - 1 AS x FROM b WHERE back <= 8 AND distance IS NOT NULL) SELECT stream_id, regr_slope(distance, x) < 0 AS is_converging, {r('regr_slope(distance, x)', 'trend_slope')}, count(*) AS frames_used FROM s GROUP BY stream_id")
+def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.convergence(_path(spark, sf_dir)).select(*rounded("stream_id", "is_converging", "trend_slope~", "frames_used"))
+
+
+@query(f"WITH {_PATH} SELECT stream_id, count(*) AS frame_count, {r('arg_min(t_start, frame_index)', 't_start')}, {r('arg_max(t_end, frame_index)', 't_end')}, count(DISTINCT segment_id) AS segment_count, count(DISTINCT basin_id) AS basin_count, count(*) FILTER (novelty) AS novelty_event_count, {r('avg(confidence)', 'mean_confidence')}, {r('avg(energy_raw)', 'mean_energy_raw')} FROM path GROUP BY stream_id")
+def trajectory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.summary(_path(spark, sf_dir)).select(*rounded("stream_id", "frame_count", "t_start~", "t_end~", "segment_count", "basin_count", "novelty_event_count", "mean_confidence~", "mean_energy_raw~"))
+
+
+@query(f"{_RUNS}, m AS (SELECT stream_id, basin_id, lag(basin_id) OVER (PARTITION BY stream_id ORDER BY frame_index) AS f FROM path), t AS (SELECT stream_id, count(*) FILTER (f <> basin_id) AS total_transitions, count(*) AS total_frames_considered, count(DISTINCT basin_id) AS total_neighborhoods_observed FROM m GROUP BY stream_id), a AS (SELECT stream_id, CAST(sum(n - 1) AS BIGINT) AS total_re_entries FROM (SELECT stream_id, basin_id, count(*) AS n FROM runs GROUP BY stream_id, basin_id) GROUP BY stream_id) SELECT * FROM t JOIN a USING (stream_id)")
+def transition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.report(_path(spark, sf_dir)).select("stream_id", "total_transitions", "total_frames_considered", "total_neighborhoods_observed", "total_re_entries")
+
+
+@query(f"WITH {_PATH} SELECT stream_id, frame_index FROM (SELECT *, max(frame_index) OVER (PARTITION BY stream_id) AS last FROM path) WHERE frame_index > last - 10 AND t_start >= 100 AND t_end <= 700")
+def trajectory_retained_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.contained(trajectory.retained(_path(spark, sf_dir), 10), 100.0, 700.0).select("stream_id", "frame_index")
+
+
+@query(f"WITH {_PATH} SELECT stream_id, segment_id, min(frame_index) AS first_frame FROM path GROUP BY stream_id, segment_id")
+def segment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.segment_order(_path(spark, sf_dir))
+
+
+# --- committed states and graph ------------------------------------------------------------------------------------------
+
+_VECS = "vecs AS (SELECT 'E' || vec_id AS state_id, 'S' || (label % 5) AS stream_id, 'G' || (label % 2) AS segment_id, vec_id AS commit_idx, CASE WHEN vec_id % 9 = 8 THEN 'M1' ELSE 'H1' END AS artifact_class, CASE WHEN vec_id % 9 = 8 THEN ['E' || (vec_id - 1), 'E' || (vec_id - 2)] ELSE [] END AS merged_from, list_transform(embedding[1:4], lambda x: round(x::DOUBLE, 4)) AS profile, round(embedding[5]::DOUBLE, 4) AS energy_raw, vec_id / 2.0::DOUBLE AS t_start, vec_id / 2.0::DOUBLE + 1 AS t_end FROM embeddings)"
+
+
+def _vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    name = lambda x: F.concat(F.lit("E"), x.cast("string"))
+    merged = i % 9 == 8
+    return e.select(name(i).alias("state_id"), F.concat(F.lit("S"), (F.col("label") % 5).cast("string")).alias("stream_id"), F.concat(F.lit("G"), (F.col("label") % 2).cast("string")).alias("segment_id"), i.alias("commit_idx"), F.when(merged, F.lit("M1")).otherwise(F.lit("H1")).alias("artifact_class"), F.when(merged, F.array(name(i - 1), name(i - 2))).otherwise(F.array().cast("array<string>")).alias("merged_from"), F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 4)).alias("profile"), F.round(F.element_at("embedding", 5).cast("double"), 4).alias("energy_raw"), (i / 2).alias("t_start"), (i / 2 + 1).alias("t_end"))
+
+
+_DISTANCE = sql.l1("a.profile", "b.profile")
+
+
+@query(f"""WITH {_VECS} SELECT 'MO:' || a.state_id AS "from", 'MO:' || b.state_id AS "to", round({_DISTANCE}, 6) AS spectral_distance, round(abs(a.energy_raw - b.energy_raw), 6) AS amplitude_distance FROM vecs a JOIN vecs b ON a.commit_idx < b.commit_idx WHERE round({_DISTANCE}, 9) <= 0.13 AND a.artifact_class = 'H1' AND b.artifact_class = 'H1'""")
+def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.similarity_edges(_vecs(spark, sf_dir), graph.Similarity(spectral_threshold=0.13, artifact_class="H1"))
+    return found.select("from", "to", *rounded("spectral_distance~", "amplitude_distance~"))
+
+
+@query(f"""WITH {_VECS}, n AS (SELECT *, 'MO:' || state_id AS node, lag('MO:' || state_id) OVER (PARTITION BY stream_id ORDER BY commit_idx) AS prev FROM vecs), e AS (SELECT commit_idx AS event_index, 'payload_ref' AS edge_type, node AS "from", state_id AS "to" FROM n UNION ALL SELECT commit_idx, 'temporal_next', prev, node FROM n WHERE prev IS NOT NULL UNION ALL SELECT commit_idx, 'merge_lineage_ref', node, unnest(merged_from) FROM n) SELECT *, 'GE:' || event_index || ':' || edge_type || ':' || "from" || ':' || "to" AS edge_id FROM e""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(_vecs(spark, sf_dir))
+
+
+@query(f"WITH {_VECS} SELECT commit_idx AS event_index, 'MO:' || state_id AS node_id, state_id, CAST(1 + (CASE WHEN lag(state_id) OVER (PARTITION BY stream_id ORDER BY commit_idx) IS NULL THEN 0 ELSE 1 END) + len(merged_from) AS INTEGER) AS edge_count FROM vecs")
+def graph_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ledger(_vecs(spark, sf_dir)).select("event_index", "node_id", "state_id", F.size("edges_added").alias("edge_count"))
+
+
+@query(f"""WITH {_VECS}, n AS (SELECT *, 'MO:' || state_id AS node, lag('MO:' || state_id) OVER (PARTITION BY stream_id ORDER BY commit_idx) AS prev FROM vecs), last AS (SELECT node FROM n WHERE stream_id = 'S1' ORDER BY commit_idx DESC LIMIT 5), e AS (SELECT 'payload_ref' AS edge_type, node AS "from", state_id AS "to" FROM n UNION ALL SELECT 'temporal_next', prev, node FROM n WHERE prev IS NOT NULL UNION ALL SELECT 'merge_lineage_ref', node, unnest(merged_from) FROM n) SELECT * FROM e WHERE "from" IN (SELECT node FROM last) OR "to" IN (SELECT node FROM last)""")
+def graph_state_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.state_view(_vecs(spark, sf_dir), 5, stream_id="S1")[1].select("edge_type", "from", "to")
+
+
+@query(f"WITH {_VECS} SELECT 'MO:' || state_id AS memory_object_id, CASE WHEN artifact_class = 'M1' THEN 'm1_support' ELSE 'h1_support' END AS payload_kind, CASE WHEN artifact_class = 'M1' THEN 'derived_merge' ELSE 'temporal_stream' END AS admission_mode, CAST(len(merged_from) AS INTEGER) AS lineage FROM vecs")
+def memory_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.objects(_vecs(spark, sf_dir)).select("memory_object_id", "payload_kind", "admission_mode", F.size("relation_slots.merge_lineage").alias("lineage"))
+
+
+@query("WITH new AS (SELECT user_id::VARCHAR AS state_id, event_id AS commit_idx FROM events), stored AS (SELECT DISTINCT user_id::VARCHAR AS state_id FROM events WHERE event_id < 40) SELECT state_id, min(commit_idx) AS commit_idx FROM new ANTI JOIN stored USING (state_id) GROUP BY state_id")
+def commit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("state_id"), F.col("event_id").alias("commit_idx"))
+    return graph.commit(new, new.where("commit_idx < 40"))
+
+
+@query(f"WITH {_VECS} SELECT count(*) AS state_count, count(DISTINCT segment_id) AS segment_count, count(DISTINCT stream_id) AS stream_count, min(t_start) AS t_start, arg_max(t_end, t_start) AS t_end, arg_max(state_id, commit_idx) AS latest_committed_state_id FROM vecs")
+def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(_vecs(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE 'H1' END AS artifact_class, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'seg' END AS segment_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS energy_raw FROM orders)
+SELECT o_orderkey, artifact_class = 'H1' AND segment_id <> '' AND energy_raw IS NOT NULL AS ok, CAST((artifact_class <> 'H1')::INT + (segment_id = '')::INT + (energy_raw IS NULL)::INT AS INTEGER) AS reason_count FROM s""")
+def legitimacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 4 == 0, F.lit("X")).otherwise(F.lit("H1")).alias("artifact_class"), k.cast("string").alias("state_id"), F.lit("s").alias("stream_id"), F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("seg")).alias("segment_id"), F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end"), F.array(F.lit(1.0)).alias("profile"), F.lit("c").alias("compression_policy_id"), F.lit("c").alias("clock_policy_id"), F.array(F.lit("r")).alias("input_refs"), F.lit(1.0).alias("rate"), F.lit(8).alias("size"), F.lit(0.1).alias("df"), F.when(k % 10 == 0, None).otherwise(F.col("o_totalprice")).alias("energy_raw"), F.lit("t").alias("uncertainty_time"), F.array(F.struct(F.lit(1).alias("k"))).alias("kept_bins"), F.lit(1.0).alias("confidence"))
+    return graph.legitimacy(rows).select("o_orderkey", (F.size("reasons") == 0).alias("ok"), F.size("reasons").alias("reason_count"))
+
+
+# --- runs ----------------------------------------------------------------------------------------------------------------
+
+_SIG = "sig AS (SELECT user_id % 12 AS run_idx, 'run_' || (user_id % 12) AS run_label, count(*) FILTER (event_type = 'click') AS h1_count, count(*) FILTER (event_type = 'view') AS m1_count, count(*) FILTER (event_type = 'purchase') AS anomaly_count, count(*) AS state_count, count(DISTINCT event_type) AS segment_count, avg(value) AS dominant_frequency_hz_mean, avg(value) / 100 AS recurrence_mean, [avg(value) / 500, 1 - avg(value) / 500] AS h1_band_profile_mean FROM events GROUP BY user_id % 12)"
+
+
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("run_idx", F.col("user_id") % 12)
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    mean = F.avg("value")
+    return e.groupBy("run_idx").agg(F.concat(F.lit("run_"), F.first("run_idx").cast("string")).alias("run_label"), n("click").alias("h1_count"), n("view").alias("m1_count"), n("purchase").alias("anomaly_count"), F.count(F.lit(1)).alias("state_count"), F.count_distinct("event_type").alias("segment_count"), mean.alias("dominant_frequency_hz_mean"), (mean / 100).alias("recurrence_mean"), F.array(mean / 500, F.lit(1.0) - mean / 500).alias("h1_band_profile_mean"))
+
+
+_RUN_PAIRS = f"WITH {_SIG}, p AS (SELECT a.run_label AS run_a, b.run_label AS run_b, {sql.l1('a.h1_band_profile_mean', 'b.h1_band_profile_mean')} AS pd, abs(a.dominant_frequency_hz_mean - b.dominant_frequency_hz_mean) AS fd, abs(a.recurrence_mean - b.recurrence_mean) AS rd, abs(a.h1_count - b.h1_count) AS hd, abs(a.m1_count - b.m1_count) AS md, abs(a.anomaly_count - b.anomaly_count) AS ad, abs(a.state_count - b.state_count) AS sd, abs(a.segment_count - b.segment_count) AS gd FROM sig a JOIN sig b ON a.run_idx < b.run_idx), q AS (SELECT *, (13 + (pd <= 0.2)::INT + (fd <= 1)::INT + (rd <= 1)::INT + (hd <= 2)::INT + (md <= 2)::INT + (ad <= 1)::INT + (sd <= 2)::INT + (gd <= 0)::INT) / 21.0::DOUBLE AS ratio FROM p)"
+
+
+@query(f"{_RUN_PAIRS} SELECT run_a, run_b, {r('pd', 'h1_band_profile_distance')}, {r('fd', 'dominant_frequency_delta')}, {r('ratio', 'similarity_ratio')}, CASE WHEN ratio >= 0.75 THEN 'high' WHEN ratio >= 0.45 THEN 'medium' ELSE 'low' END AS similarity FROM q")
+def run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.pairs(_signatures(spark, sf_dir)).select(*rounded("run_a", "run_b", "h1_band_profile_distance~", "dominant_frequency_delta~", "similarity_ratio~", "similarity"))
+
+
+@query(f"{_RUN_PAIRS}, m AS (SELECT count(*) AS pair_count, avg(ratio) AS o, avg((1 + (hd <= 2)::INT + (md <= 2)::INT + (ad <= 1)::INT + (sd <= 2)::INT + (gd <= 0)::INT) / 6.0::DOUBLE) AS c FROM q) SELECT pair_count, CASE WHEN o >= 0.75 THEN 'high' WHEN o >= 0.45 THEN 'medium' ELSE 'low' END AS overall_reproducibility, CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.45 THEN 'medium' ELSE 'low' END AS count_reproducibility FROM m")
+def reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.reproducibility(runs.pairs(_signatures(spark, sf_dir))).select("pair_count", "overall_reproducibility", "count_reproducibility")
+
+
+@query(f"WITH {sql.STATES}, m AS (SELECT stream_id, band, avg(share) AS share FROM shares GROUP BY stream_id, band), f AS (SELECT stream_id, w, arg_max(freq_hz, magnitude) FILTER (k <> 0) AS dom FROM kept GROUP BY stream_id, w) SELECT m.stream_id, CAST(m.band AS INTEGER) AS band, {r('m.share', 'share')}, {r('(SELECT avg(dom) FROM f WHERE f.stream_id = m.stream_id)', 'dominant_frequency_hz_mean')} FROM m")
+def run_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = written(_states(spark, sf_dir))
+    profile = runs.mean_profile(states, "stream_id", "profile", "mean")
+    dominant = states.groupBy("stream_id").agg(F.avg(runs.dominant_frequency(F.col("kept_bins"))).alias("dominant_frequency_hz_mean"))
+    return profile.join(dominant, "stream_id").select("stream_id", "dominant_frequency_hz_mean", F.posexplode("mean").alias("band", "share")).select(*rounded("stream_id", "band", "share~", "dominant_frequency_hz_mean~"))
