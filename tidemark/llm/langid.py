@@ -63,7 +63,8 @@ class Model:
     words: np.ndarray  # sorted hashes
     scores: np.ndarray  # words x langs
     unseen: np.ndarray  # score of a word without any known n-gram
-    grams: list[dict[str, tuple[float, ...]]]  # by length
+    grams: list[dict[str, int]]  # by length: rows of gram_scores
+    gram_scores: np.ndarray
 
     def back_off(self, word: str) -> np.ndarray:
         marked = f"<{word}>"
@@ -71,7 +72,7 @@ class Model:
             table = self.grams[n]
             found = [table[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in table]
             if found:
-                return np.array([sum(c) / len(found) for c in zip(*found, strict=True)], dtype=np.float32)
+                return self.gram_scores[found].mean(axis=0)
         return self.unseen
 
 
@@ -82,7 +83,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bound = rows.select("lang", "doc_id", "__at").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).groupBy("lang").agg(F.max("__at").alias("__last"))
     limits = {r["lang"]: r["__last"] for r in bound.collect()}  # a row a language
     if not limits:
-        return Model([], np.empty(0), np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0), [{}] * (LONGEST + 1))
+        return Model([], np.empty(0), np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0), [{}] * (LONGEST + 1), np.empty((0, 0)))
     spark = docs.sparkSession
     sample = rows.join(F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, __last long")), "lang").where("__at <= __last").select("lang", "text")
 
@@ -125,14 +126,16 @@ def build(rows: list) -> Model:
                 table[marked[j : j + k]][i] += weight
     words = list(counts)
     scores = np.log((np.array([counts[w] for w in words]) + 0.1) / (total + 0.1 * max(1, len(words))))
-    tables: list[dict[str, tuple[float, ...]]] = [{}]
+    tables: list[dict[str, int]] = [{}]
+    kept_scores: list[np.ndarray] = []
     for k in range(1, LONGEST + 1):
         kept = sorted(grams[k].items(), key=lambda x: (-x[1].sum(), x[0]))[: GRAMS * len(langs)]
         mass = np.sum([v for _, v in grams[k].items()], axis=0) + 0.1 * max(1, len(grams[k]))
-        tables.append({g: tuple(np.log((v + 0.1) / mass).tolist()) for g, v in kept})
+        tables.append({g: len(kept_scores) + i for i, (g, _) in enumerate(kept)})
+        kept_scores += [np.log((v + 0.1) / mass) for _, v in kept]
     hashed = words_of(pa.array(words)).hashes() if words else np.empty(0, np.uint64)
     order = np.argsort(hashed)
-    return Model(langs, np.zeros(len(langs)), hashed[order], scores.astype(np.float32)[order], np.zeros(len(langs), np.float32), tables)
+    return Model(langs, np.zeros(len(langs)), hashed[order], scores.astype(np.float32)[order], np.zeros(len(langs), np.float32), tables, np.array(kept_scores, dtype=np.float32))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,14 +147,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = shared.value
         cache: dict[int, np.ndarray] = {}
         for batch in batches:
-            for some in chunks(batch, "text", 4 << 20):
+            for some in chunks(batch, "text", 2 << 20):
                 best, score = judge(model, some.column(1), cache)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def judge(model: Model, texts: pa.Array, cache: dict[int, np.ndarray], limit: int = 300_000) -> tuple[list[str], list[float]]:
+def judge(model: Model, texts: pa.Array, cache: dict[int, np.ndarray], limit: int = 100_000) -> tuple[list[str], list[float]]:
     """Language and score of each text; ``cache`` keeps unseen words' scores between calls."""
     letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     if not model.langs:
@@ -191,7 +194,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
         for batch in batches:
-            for some in chunks(batch, text_col, 4 << 20):
+            for some in chunks(batch, text_col, 2 << 20):
                 best, score = judge(shared.value, some.column(at), cache)
                 yield some.filter(pa.array([b != UNDETERMINED and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
 

@@ -40,7 +40,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of words' ids (about 200 bytes each)."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 300_000) -> None:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
