@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, packing, simhash, substring
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, pick
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,14 +28,14 @@ PASSAGE, ANCHOR = 40, 8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language."""
-    return langid.keep(docs.select(*COLUMNS), langid.train(docs), LEAST_LANGUAGE)
+    return langid.keep(pick(docs, *COLUMNS), langid.train(docs), LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate group."""
     found = simhash.groups(docs, SHINGLE, LANES, RADIUS, AGREE, RECALL)
     extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.select(*COLUMNS).join(extra, F.col("doc_id") == F.col("__extra"), "left_anti")
+    return pick(docs, *COLUMNS).join(extra, F.col("doc_id") == F.col("__extra"), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by target weight; a document served twice is there twice."""
-    return mixing.mixed(docs.select(*COLUMNS))
+    return mixing.mixed(pick(docs, *COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

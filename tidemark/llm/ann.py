@@ -6,9 +6,10 @@ inner product with the rotated vector, ``<x, q> / c`` estimates the vector's
 inner product with a rotated query ``q``, and its error is about
 ``|q| sqrt((1 - c^2) / c^2) / sqrt(D - 1)``.  Queries are rounded to
 ``QUERY_BITS`` bits, so that ``<x, q>`` is a few counts of common bits in packed
-words.  In each block of vectors, those whose upper bound reaches the k-th
-greatest lower bound are reranked with the original vectors in double
-precision, summed in the order of the components.
+words.  In each block of vectors the best by estimate are reranked first; all
+whose upper bound reaches the k-th best inner product found so are reranked
+too.  Reranking takes the original vectors in double precision, and what may
+still be among the best is summed in the order of the components.
 
 Every vector is indexed; nothing is fitted.  Queries and vectors meet in
 blocks of bounded size.
@@ -34,7 +35,9 @@ BLOCK = 4096
 QUERIES = 1024
 QUERY_BITS = 6
 #: Multiples of the error's scale that the bounds allow.
-CONFIDENCE = 4.0
+CONFIDENCE = 3.0
+#: Vectors of a block that are reranked whatever their bounds.
+LEAD = 64
 SEED = 7
 
 
@@ -94,6 +97,13 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
+def kth(scores: np.ndarray, k: int) -> float:
+    """The k-th greatest score, lowered by far more than summing in another order can change it."""
+    if len(scores) < k:
+        return -np.inf
+    return np.partition(scores, -k)[-k] - 1e-9 * np.abs(scores).max()
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
 
@@ -117,9 +127,14 @@ def _search(k: int):
             for query_id, query in zip(queries.column("vec_id").to_numpy().tolist(), _matrix(queries.column("vector"), dim), strict=True):
                 estimate, error = estimates(query, packed, norm, fit)
                 other = ids != query_id
-                lower = np.where(other, estimate - error, -np.inf)
-                bar = np.partition(lower, -k)[-k] if len(ids) > k else -np.inf
-                near = np.flatnonzero(other & (estimate + error >= bar))
+                near = np.flatnonzero(other)
+                if len(near) > max(k, LEAD):
+                    lead = near[np.argpartition(estimate[near], -max(k, LEAD))[-max(k, LEAD) :]]
+                    bar = kth(vectors[lead] @ query, k)
+                    near = np.flatnonzero(other & (estimate + error >= bar))
+                if len(near) > k:
+                    rough = (vectors @ query)[near] if 4 * len(near) > len(ids) else vectors[near] @ query
+                    near = near[rough >= kth(rough, k)]
                 score = exact(vectors[near], query)
                 best = np.lexsort((ids[near], -score))[:k]
                 out.append((np.full(len(best), query_id), ids[near][best], score[best]))
