@@ -141,6 +141,8 @@ def within(different: np.ndarray, radius: int, every: int = 12) -> np.ndarray:
     width = max(2, int(different.shape[1] * 64).bit_length())
     for at in range(0, len(different), BLOCK):
         planes = _planes(different[at : at + BLOCK])
+        n = min(BLOCK, len(different) - at)
+        every_pair = np.packbits(np.ones(n, dtype=bool))
         counter = [np.zeros(planes.shape[1], dtype=np.uint8) for _ in range(width)]
         for k in range(0, len(planes) - 2, 3):
             a, b, c = planes[k : k + 3]
@@ -149,7 +151,7 @@ def within(different: np.ndarray, radius: int, every: int = 12) -> np.ndarray:
                 while level < width and carry.any():
                     counter[level], carry = counter[level] ^ carry, counter[level] & carry
                     level += 1
-            if k % every == 0 and k >= 2 * radius and _above(counter, radius).all():
+            if k % every == 0 and k >= 2 * radius and (_above(counter, radius) & every_pair == every_pair).all():
                 break
         else:
             for plane in planes[len(planes) - len(planes) % 3 :]:
@@ -157,7 +159,6 @@ def within(different: np.ndarray, radius: int, every: int = 12) -> np.ndarray:
                 while level < width and carry.any():
                     counter[level], carry = counter[level] ^ carry, counter[level] & carry
                     level += 1
-            n = min(BLOCK, len(different) - at)
             out[at : at + n] = ~np.unpackbits(_above(counter, radius))[:n].astype(bool)
     return out
 
