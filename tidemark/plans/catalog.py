@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, vectors
-from ..operators import align, frames, graph, ingest, merge, neighborhoods, novelty, reduce, replay, runs, spectrum, trajectory
+from ..functions import language, probes
+from ..functions import receipts as checks
+from ..operators import align, digest, frames, graph, ingest, merge, neighborhoods, novelty, posture, reduce, replay, runs, spectrum, trajectory
 from ..operators import query as q
 from ..operators.components import written
-from ..sources import sampler, signals
-from . import sql
+from ..sources import files, sampler, signals
+from . import sql, workflow
 from .policies import Anomaly, Compression, Frame, Grid, Ingest, Merge, Neighborhood, Query, Thresholds, Transform
 
 Made = Callable[[SparkSession, str], DataFrame]
@@ -699,3 +700,124 @@ def run_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = runs.mean_profile(states, "stream_id", "profile", "mean")
     dominant = states.groupBy("stream_id").agg(F.avg(runs.dominant_frequency(F.col("kept_bins"))).alias("dominant_frequency_hz_mean"))
     return profile.join(dominant, "stream_id").select("stream_id", "dominant_frequency_hz_mean", F.posexplode("mean").alias("band", "share")).select(*rounded("stream_id", "band", "share~", "dominant_frequency_hz_mean~"))
+
+
+# --- digests, postures, receipts, text -----------------------------------------------------------------------------------
+
+_CYCLES = "cycles AS (SELECT user_id::VARCHAR AS session, event_id AS cycle_index, CAST(floor(value / 50) AS BIGINT) AS state_count, CASE WHEN event_type = 'click' THEN 'novelty_observed' ELSE 'novelty_quiet' END AS convergence, CASE WHEN value > 90 THEN 're_entry_observed' WHEN value > 5 THEN 're_entry_absent' END AS recurrence, CASE WHEN event_id % 13 = 0 THEN '' ELSE event_type END AS source_mode, 's' || (event_id % 3) AS stream_id FROM events)"
+
+
+def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, v, kind = F.col("event_id"), F.col("value"), F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session"), i.alias("cycle_index"), F.floor(v / 50).cast("long").alias("state_count"),
+        F.when(kind == "click", F.lit("novelty_observed")).otherwise(F.lit("novelty_quiet")).alias("convergence"),
+        F.when(v > 90, F.lit("re_entry_observed")).when(v > 5, F.lit("re_entry_absent")).alias("recurrence"),
+        F.when(i % 13 == 0, F.lit("")).otherwise(kind).alias("source_mode"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("stream_id"),
+    )
+
+
+@query(f"WITH {_CYCLES}, l AS (SELECT *, lag(cycle_index) OVER w AS p, lag(state_count) OVER w AS ps, lag(recurrence) OVER w AS pr, lag(convergence) OVER w AS pc, lag(stream_id) OVER w AS pt FROM cycles WINDOW w AS (PARTITION BY session ORDER BY cycle_index)) SELECT session, count(*) FILTER (p IS NOT NULL AND state_count IS DISTINCT FROM ps) AS state_count_changed_count, count(*) FILTER (p IS NOT NULL AND recurrence IS DISTINCT FROM pr) AS recurrence_changed_count, count(*) FILTER (p IS NOT NULL AND convergence IS DISTINCT FROM pc) AS convergence_changed_count, count(*) FILTER (p IS NOT NULL AND stream_id IS DISTINCT FROM pt) AS stream_switch_count FROM l GROUP BY session")
+def digest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.changes(_cycles(spark, sf_dir), "session")
+
+
+@query(f"WITH {_CYCLES}, m AS (SELECT session, 'recurrence' AS marker, coalesce(nullif(recurrence, ''), 'unknown') AS value FROM cycles UNION ALL SELECT session, 'convergence', convergence FROM cycles UNION ALL SELECT session, 'source_mode', coalesce(nullif(source_mode, ''), 'unknown') FROM cycles) SELECT session, marker, value, count(*) AS count FROM m GROUP BY session, marker, value")
+def digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.counts(_cycles(spark, sf_dir), "session", ("recurrence", "convergence", "source_mode"))
+
+
+@query(f"WITH {_CYCLES} SELECT session, count(*) AS receipt_count, min(cycle_index) AS cycle_index_min, max(cycle_index) AS cycle_index_max, CAST(count(DISTINCT stream_id) AS INTEGER) AS streams FROM cycles GROUP BY session")
+def digest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.scope(_cycles(spark, sf_dir), "session").select("session", "receipt_count", "cycle_index_min", "cycle_index_max", F.size("stream_ids").alias("streams"))
+
+
+@query(f"WITH {_CYCLES}, l AS (SELECT *, lag(cycle_index) OVER w AS p, lag(state_count) OVER w AS ps, lag(recurrence) OVER w AS pr, lag(convergence) OVER w AS pc FROM cycles WINDOW w AS (PARTITION BY session ORDER BY cycle_index)) SELECT session, cycle_index, CASE WHEN p IS NULL THEN 'n/a' WHEN state_count IS NOT DISTINCT FROM ps THEN 'no_change' ELSE 'changed' END AS state_count_changed, CASE WHEN p IS NULL THEN 'n/a' WHEN convergence IS NOT DISTINCT FROM pc THEN 'no_change' ELSE 'changed' END AS convergence_changed, CASE WHEN p IS NULL THEN 'n/a' WHEN recurrence IS NOT DISTINCT FROM pr THEN 'no_change' ELSE 'changed' END AS recurrence_changed FROM l")
+def cycle_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.deltas(_cycles(spark, sf_dir), "session")
+
+
+@query(f"WITH {_CYCLES} SELECT session, cycle_index, row_number() OVER (PARTITION BY session ORDER BY cycle_index DESC) > 20 AS pruned, 'receipt_cycle_' || lpad(cycle_index::VARCHAR, 4, '0') || '_run_' || session || '.json' AS file_name FROM cycles WHERE cycle_index < 10000")
+def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = digest.retained(_cycles(spark, sf_dir), "session", 20).where("cycle_index < 10000")
+    return rows.select("session", "cycle_index", "pruned", files.receipt_name(F.col("cycle_index"), F.concat(F.lit("run "), F.col("session"))).alias("file_name"))
+
+
+@query(f"{_RUNS}, m AS (SELECT stream_id, basin_id, novelty, segment_id, lag(basin_id) OVER (PARTITION BY stream_id ORDER BY frame_index) AS f FROM path), t AS (SELECT stream_id, count(*) FILTER (novelty) AS nov, count(*) FILTER (f <> basin_id) AS moves, count(DISTINCT basin_id) AS basins, count(DISTINCT segment_id) AS segs FROM m GROUP BY stream_id), a AS (SELECT stream_id, sum(n - 1) AS again FROM (SELECT stream_id, basin_id, count(*) AS n FROM runs GROUP BY stream_id, basin_id) GROUP BY stream_id) SELECT stream_id, CASE WHEN nov > 0 THEN 'novelty_observed' ELSE 'novelty_quiet' END AS convergence, CASE WHEN moves > 0 THEN 'transitions_observed' ELSE 'transition_quiet' END AS motion, CASE WHEN basins > 1 THEN 'multi_basin_observed' WHEN basins = 1 THEN 'single_basin_observed' ELSE 'basin_absent' END AS occupancy, CASE WHEN again > 0 THEN 're_entry_observed' ELSE 're_entry_absent' END AS recurrence, CASE WHEN segs > 1 THEN 'multi_segment_observed' ELSE 'single_segment_observed' END AS continuity FROM t LEFT JOIN a USING (stream_id)")
+def structural_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _path(spark, sf_dir)
+    both = trajectory.report(path).join(trajectory.summary(path).select("stream_id", "novelty_event_count", "segment_count"), "stream_id")
+    found = digest.markers(F.col("novelty_event_count"), F.col("total_transitions"), F.col("total_neighborhoods_observed"), F.col("total_re_entries"), F.col("segment_count"))
+    return both.select("stream_id", *[c.alias(n) for n, c in found.items()])
+
+
+_REQUESTS = "req AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'failed' ELSE 'prepared' END AS request_status, o_orderkey % 2 = 0 AS is_request, o_orderkey % 4 <> 0 AS context, o_orderkey % 11 <> 0 AS known, o_orderkey % 5 AS tier, o_orderkey % 3 <> 0 AS runtime, o_orderkey % 7 <> 0 AS receipts FROM orders)"
+
+
+@query(f"WITH {_REQUESTS}, f AS (SELECT *, request_status = 'failed' OR NOT known OR (tier = 0 AND NOT runtime) OR (tier = 1 AND NOT receipts) AS failed FROM req), d AS (SELECT *, CASE WHEN failed THEN 'reconstruction_not_justified' WHEN is_request AND NOT context THEN 'support_degraded' WHEN tier >= 2 THEN 'retained_tier_insufficient' END AS downgrade_output FROM f) SELECT o_orderkey, CASE WHEN failed THEN 'failed' WHEN downgrade_output IS NOT NULL THEN 'downgraded' ELSE 'completed' END AS reconstruction_status, downgrade_output, CASE WHEN failed THEN 'failed' WHEN downgrade_output = 'support_degraded' THEN 'degraded' WHEN downgrade_output = 'retained_tier_insufficient' THEN 'insufficient' ELSE 'supported' END AS threshold_class, CASE WHEN failed THEN 'failed' WHEN downgrade_output IS NOT NULL OR tier > 1 THEN 'partially_mechanized' ELSE 'mechanized' END AS mechanization_status FROM d")
+def replay_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    request = k % 2 == 0
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 17 == 0, F.lit("failed")).otherwise(F.lit("prepared")).alias("request_status"), F.when(request, F.lit("request_support_replay")).otherwise(F.lit("runtime_reconstruction")).alias("replay_type"),
+        F.when(k % 11 != 0, F.lit("state")).alias("target_type"), F.lit("ref").alias("target_ref"), F.when(k % 4 != 0, F.lit("request")).alias("target_request_type"), (k % 5).cast("int").alias("tier"),
+        F.lit(True).alias("run_ok"), F.lit(True).alias("has_workbench"), (k % 3 != 0).alias("has_runtime_support"), F.when(k % 7 != 0, F.array(F.lit("r"))).alias("receipt_refs"), F.lit(True).alias("provenance_complete"), F.lit(True).alias("replayable_support"),
+    )
+    return posture.trace(posture.evaluate(rows)).select("o_orderkey", "reconstruction_status", "downgrade_output", "threshold_class", "mechanization_status")
+
+
+@query("""SELECT event_id, CAST((event_type NOT IN ('click', 'view'))::INT + (value < 10)::INT + (length(props) < 2)::INT AS INTEGER) AS error_count FROM events""")
+def receipt_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"event_type must be known": F.col("event_type").isin("click", "view"), "value is below 10": F.col("value") >= 10, "props is too short": F.length("props") >= 2}
+    return table(spark, sf_dir, "events").select("event_id", F.size(checks.errors(rules)).alias("error_count"))
+
+
+@query("SELECT event_id, CAST(len(list_filter(json_keys(props), lambda k: k NOT IN ('ref'))) AS INTEGER) AS extra_keys FROM events")
+def receipt_unexpected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.size(checks.unexpected_keys(F.col("props"), ["ref"])).alias("extra_keys"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\.'), lambda s: lower(trim(s, ' '))), lambda s: s <> '') AS s, len(list_filter(list_transform(regexp_split_to_array(text, '\\.'), lambda s: trim(s, ' ')), lambda s: s = '')) AS empties FROM documents) SELECT doc_id, CAST(len(s) - len(list_distinct(s)) AS INTEGER) AS duplicates, CAST(empties AS INTEGER) AS useless FROM w""")
+def duplicate_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split(F.col("text"), r"\.", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", language.duplicates(parts).alias("duplicates"), language.useless(parts).alias("useless"))
+
+
+@query()
+def json_extract_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("text"), F.lit(' {"turn": '), F.col("turn").cast("string"), F.lit(', "s": "a}b"} end'))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", language.extract_object(text).alias("x"))
+    return found.select("conv_id", "turn", F.get_json_object("x.json", "$.turn").alias("inner"), F.length("x.leading").alias("leading"), "x.trailing")
+
+
+@query(f"WITH {sql.STATES}, o AS (SELECT stream_id, w, profile, list_reverse_sort(profile) AS d FROM states) SELECT stream_id, w, round(CASE WHEN d[2] > 0 THEN d[1] / d[2] END, 2) AS top_ratio, CAST(list_position(profile, list_max(profile)) - 1 AS INTEGER) AS dominant, CAST(len(list_filter(profile, lambda x: x >= 0.001)) AS INTEGER) AS nontrivial, {r('list_sum(list_transform(profile, lambda x: CASE WHEN x > 0 THEN -x * ln(x) ELSE 0 END))', 'entropy')} FROM o")
+def probe_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _states(spark, sf_dir).select("stream_id", "w", probes.concentration(F.col("profile"), 0.001).alias("c")).select("stream_id", "w", "c.*")
+    return rows.select("stream_id", "w", F.round("top_ratio", 2).alias("top_ratio"), "dominant", "nontrivial", *rounded("entropy~"))
+
+
+@query(f"WITH {sql.SAMPLES}, p AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1 AS i FROM samples), e AS (SELECT stream_id, s, avg(rms) AS mean, stddev_pop(rms) AS std FROM (SELECT stream_id, s, i // s AS c, sqrt(avg(v * v)) AS rms FROM p CROSS JOIN (VALUES (8), (16), (32)) x(s) GROUP BY stream_id, s, i // s) GROUP BY stream_id, s) SELECT stream_id, {r('avg(mean)', 'mean')}, {r('stddev_pop(mean)', 'std')}, {r('regr_slope(mean, s)', 'slope')}, CAST(arg_min(s, std) AS INTEGER) AS steadiest FROM e GROUP BY stream_id")
+def probe_multiscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir)
+    scales = [sampler.chunk_summaries(s, n).groupBy("stream_id").agg(F.lit(n).alias("s"), F.avg("rms").alias("mean"), F.stddev_pop("rms").alias("std")) for n in (8, 16, 32)]
+    rows = scales[0].unionByName(scales[1]).unionByName(scales[2])
+    return rows.groupBy("stream_id").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("d"), F.regr_slope("mean", "s").alias("slope"), F.min_by("s", "std").alias("steadiest")).select("stream_id", F.col("m").alias("mean"), F.col("d").alias("std"), "slope", "steadiest").select(*rounded("stream_id", "mean~", "std~", "slope~", "steadiest"))
+
+
+@query("""WITH t(role, a, b) AS (VALUES ('constructor', 'seeded', 'tension_held'), ('constructor', 'seeded', 'compressed'), ('constructor', 'seeded', 'gate_pending'), ('reflector', 'compressed', 'compressed'), ('reflector', 'compressed', 'gate_pending')),
+s AS (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'constructor' ELSE 'reflector' END AS role, CASE o_orderkey % 3 WHEN 0 THEN 'seeded' ELSE 'compressed' END AS state_before, CASE o_orderkey % 4 WHEN 0 THEN 'gate_pending' WHEN 1 THEN 'compressed' ELSE 'released' END AS state_after FROM orders)
+SELECT * FROM s ANTI JOIN t ON s.role = t.role AND s.state_before = t.a AND s.state_after = t.b""")
+def workflow_illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 2 == 0, F.lit("constructor")).otherwise(F.lit("reflector")).alias("role"), F.when(k % 3 == 0, F.lit("seeded")).otherwise(F.lit("compressed")).alias("state_before"), F.when(k % 4 == 0, F.lit("gate_pending")).when(k % 4 == 1, F.lit("compressed")).otherwise(F.lit("released")).alias("state_after"))
+    return workflow.illegal(rows)
+
+
+@query()
+def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all tables of the end-to-end plan, a row a stream."""
+    from . import pipeline
+    from .policies import Policies
+
+    policies = Policies(grid=GRID, frame=FRAME, compression=COMPRESSION, merged=COMPRESSION, anomaly=ANOMALY, merge=Merge("catalog"), neighborhood=Neighborhood(similarity_threshold=sql.NEAR))
+    return pipeline.run(samples(spark, sf_dir), policies, written).summary
