@@ -228,7 +228,7 @@ def test_mixing_targets_and_totals(spark):
         target = found[0]["target"]
         assert target <= 2 * found[0]["source_size"] and abs(sum(r["taken"] for r in found) - target) <= 1
     assert abs(sum(r["target"] for r in {(r["source_size"], r["target"]): r for r in rows}.values()) - 1.5 * total) <= 0.01 * total
-    assert sorted(rows) == sorted(mixing.shares(docs).collect())
+    assert sorted(rows, key=str) == sorted(mixing.shares(docs).collect(), key=str)
     assert mixing.shares(docs.limit(0)).count() == 0
 
 
