@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import pick
+from .common import lean, pick
 from .textkernel import Words, chunks, utf8
 
 PER_LANG = 4000
@@ -89,7 +89,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in chunks(batch, "text", 4 << 20):
+            for some in chunks(batch, "text", 1 << 20):
                 by_lang = defaultdict(Counter)
                 words = lower_words(some.column(1))
                 data = words.raw.tobytes()
@@ -100,7 +100,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     totals = Window.partitionBy("lang")
     top = counted.withColumn("all", F.sum("n").over(totals)).withColumn("__r", F.row_number().over(totals.orderBy(F.desc("n"), "word"))).where(F.col("__r") <= vocabulary)
     return build(top.select("lang", "word", "n", "all").collect())  # vocabulary x languages rows at most
@@ -147,11 +147,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = shared.value
         cache: dict[int, np.ndarray] = {}
         for batch in batches:
-            for some in chunks(batch, "text", 2 << 20):
+            for some in chunks(batch, "text", 1 << 20):
                 best, score = judge(model, some.column(1), cache)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def judge(model: Model, texts: pa.Array, cache: dict[int, np.ndarray], limit: int = 100_000) -> tuple[list[str], list[float]]:
@@ -194,8 +194,8 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
         for batch in batches:
-            for some in chunks(batch, text_col, 2 << 20):
+            for some in chunks(batch, text_col, 1 << 20):
                 best, score = judge(shared.value, some.column(at), cache)
                 yield some.filter(pa.array([b != UNDETERMINED and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import pick
+from .common import lean, pick
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -150,7 +150,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(pad(t, width), width) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read(media: DataFrame) -> DataFrame:
@@ -175,4 +175,4 @@ def read(media: DataFrame) -> DataFrame:
                         to.append(x)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(payload, pa.binary()), pa.array(hashes, pa.binary()), pa.array(errors, pa.string())], names=[*some.schema.names, "payload", "hash", "error"])
 
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(lean(run), schema)

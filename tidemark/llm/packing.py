@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import lean, pick
 
 WINDOW = 2048
 END_ID = 1
@@ -40,7 +40,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of words' ids (about 200 bytes each)."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 300_000) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = 200_000) -> None:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,6 +171,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.  ``tokenizer`` is the vocabulary file's path on every executor."""
     rows = pick(docs, doc_id=id_col, text=text_col)
     groups = max(1, -(-rows.count() // group_docs))
-    pieces = rows.mapInArrow(_pieces(tokenizer, window, end_id), PIECES)
+    pieces = rows.mapInArrow(lean(_pieces(tokenizer, window, end_id)), PIECES)
     spread = F.xxhash64("doc_id", "start", "ids_crc32")
     return pieces.withColumn("__group", F.pmod(spread, F.lit(groups))).groupBy("__group").applyInArrow(_place(window), PLACED)

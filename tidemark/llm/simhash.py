@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, pick, runs
+from .common import cut, lean, partitions, pick, runs
 from .textkernel import chunks, mix64
 
 SEED = 42
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(p.view(np.int64)) for p in prints)], names=["doc_id", *(f"f{k}" for k in range(lanes))])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("binary")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
 def exact_tables(radius: int, classes: int, bits: int = 64) -> list[Table]:
@@ -213,7 +213,7 @@ def links(classes: DataFrame, lanes: int, radius: int, tables: list[Table]) -> D
     key = F.xxhash64("__t.t", *[F.col(f).bitwiseAND(F.col(f"__t.m{k}")) for k, f in enumerate(prints)])
     placed = placed.select(key.alias("key"), "rep", *prints)
     dealt = placed.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare(lanes, radius), "u long, v long").distinct()
+    return dealt.mapInArrow(lean(_compare(lanes, radius)), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

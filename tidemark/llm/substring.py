@@ -37,14 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, pick, runs
+from .common import cut, lean, partitions, pick, runs
 from .textkernel import _BASE, _POWERS, Words, chunks, gram_hashes, mix64, words_of
 
 WINDOW = 13
 GRAM = 5
 #: Words of a shard's lot, about: its automaton stays within a processor's cache.
 LOT = 40_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class Stretches:
@@ -278,15 +278,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     dealt = rows.withColumn("home", F.coalesce("doc_id", F.xxhash64("text"))).repartition(n, "home")
 
     named = rows.where("doc_id is not null").select("doc_id", "text")
-    anchors = named.mapInArrow(_anchors(window, gram), "anchor long, doc_id long").repartition(n, "anchor")
+    anchors = named.mapInArrow(lean(_anchors(window, gram)), "anchor long, doc_id long").repartition(n, "anchor")
     often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
     lists = cut(anchors.join(often, "anchor").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("anchor").alias("anchors")))
 
     candidates = dealt.join(lists.hint("shuffle_hash"), F.col("home") == F.col("of")).select("doc_id", "text", "anchors", *carried)
-    passages = candidates.mapInArrow(_passages(window, gram), "anchor long, print long, words binary, least long, most long")
+    passages = candidates.mapInArrow(lean(_passages(window, gram)), "anchor long, print long, words binary, least long, most long")
     passages = passages.repartition(n, "anchor").groupBy("anchor", "print", "words").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    owners = passages.sortWithinPartitions("anchor").mapInArrow(_locate(window), "anchor long, print long, owners array<long>")
-    places = candidates.mapInArrow(_places(window, gram), "anchor long, print long, docs array<long>")
+    owners = passages.sortWithinPartitions("anchor").mapInArrow(lean(_locate(window)), "anchor long, print long, owners array<long>")
+    places = candidates.mapInArrow(lean(_places(window, gram)), "anchor long, print long, docs array<long>")
     hits = places.join(owners, ["anchor", "print"]).select("anchor", "print", "owners", F.explode("docs").alias("doc_id"))
     bits = F.aggregate(
         F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
@@ -296,5 +296,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     marks = hits.select(F.col("doc_id").alias("of"), "anchor", "print", bits.alias("bits")).where("bits <> 0").groupBy("of").agg(F.collect_list(F.struct("anchor", "print", "bits")).alias("marks"))
     joined = dealt.join(marks, F.col("home") == F.col("of"), "left").select("doc_id", "text", "marks", *carried)
     extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    done = joined.mapInArrow(_remove(window, gram, tuple(carried)), "doc_id long, n_words long, n_removed long, kept binary" + extra)
+    done = joined.mapInArrow(lean(_remove(window, gram, tuple(carried))), "doc_id long, n_words long, n_removed long, kept binary" + extra)
     return done.select("doc_id", "n_words", "n_removed", "kept", *[F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)])

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import lean, pick
 from .textkernel import _BASE, _BYTE_CODE, _POWERS, Words, chunks, mix64, utf8
 
 LABELLED = 20_000
@@ -178,7 +178,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         table[0x80:] = 27
         counts = np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in batches:
-            for some in chunks(batch, "text", 2 << 20):
+            for some in chunks(batch, "text", 1 << 20):
                 raw, _ = utf8(pc.fill_null(pc.utf8_lower(some.column(0)), ""))
                 code = table[raw[(raw & 0xC0) != 0x80]].astype(np.int32)
                 code = np.concatenate([[0, 0], code, [0]]).astype(np.int32)
@@ -189,7 +189,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["code", "n"])
 
-    rows = pick(docs, text=text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = pick(docs, text=text_col).mapInArrow(lean(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SYMBOLS**3, dtype=np.int64)
     for r in rows:
         out[r["code"]] = r["n"]
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
         for batch in batches:
-            for some in chunks(batch, "text", 4 << 20):
+            for some in chunks(batch, "text", 1 << 20):
                 label = some.column(0).to_numpy()
                 rows, found = features(restored(some.column(1), char_model.value, cache))
                 order = np.lexsort((rows, found))
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     if share in (0.0, 1.0):
         return Model(chars, np.empty(0, np.uint64), np.empty(0), 30.0 if share else -30.0)
-    counted = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(count, "feature long, ones long, alls long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls")).where(F.col("alls") >= LEAST_DOCS)
+    counted = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(lean(count), "feature long, ones long, alls long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls")).where(F.col("alls") >= LEAST_DOCS)
     surplus = (F.col("ones") - F.col("alls") * share) / F.sqrt(F.col("alls") * share * (1 - share))
     top = counted.select("feature", surplus.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(width).collect()
     hashes = np.sort(np.array([r["feature"] for r in top], dtype=np.int64).view(np.uint64))
@@ -275,13 +275,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
         for batch in batches:
-            for some in chunks(batch, "text", 4 << 20):
+            for some in chunks(batch, "text", 1 << 20):
                 rows, at, x = drafted.value.inputs(some.column(1), cache)
                 starts = np.searchsorted(rows, np.arange(some.num_rows + 1))
                 lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(v, kind))
                 yield pa.RecordBatch.from_arrays([some.column(0), lists(at, pa.int32()), lists(x, pa.float32())], names=["label", "at", "x"])
 
-    table = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(vectors, "label long, at array<int>, x array<float>").toArrow().combine_chunks()  # labelled rows x features at most
+    table = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(lean(vectors), "label long, at array<int>, x array<float>").toArrow().combine_chunks()  # labelled rows x features at most
     at, x = table.column("at").combine_chunks(), table.column("x").combine_chunks()
     lengths = pc.list_value_length(at).to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(lengths)), lengths)
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
         for batch in batches:
-            for some in chunks(batch, "text", 4 << 20):
+            for some in chunks(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(shared.value.score(some.column(1), cache))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
