@@ -61,6 +61,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def share_of(column) -> F.Column:
+    """A number in [0, 1) from a column's hash: rows below a rate are a sample of that rate, the same in every run."""
+    return F.shiftrightunsigned(F.xxhash64(column), 11) / F.lit(float(1 << 53))
+
+
 def size_of(text) -> F.Column:
     """Number of words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,8 +7,8 @@ are its words' sums plus the languages' log priors; the reported score is the
 posterior of the best language over at most ``SHARP`` words' worth of
 evidence.
 
-Training reads a bounded sample: at most ``per_lang`` documents a language,
-those with the smallest id hashes, and keeps ``vocabulary`` words a language.
+Training reads a bounded sample: about ``per_lang`` documents a language,
+chosen by the ids' hashes, and keeps ``vocabulary`` words a language.
 
 Inputs: a null text, or one without a letter, is ``und`` with score 0; if
 training has no language at all, everything is ``und``; equal scores go to the
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ship
-from .common import lean, pick
+from .common import lean, pick, share_of
 from .textkernel import Words, chunks, utf8
 
 PER_LANG = 4000
@@ -78,14 +78,12 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, vocabulary: int = VOCABULARY) -> Model:
     """A model from the bounded sample of ``docs`` (texts and languages that are not null)."""
-    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null").withColumn("__at", F.xxhash64("doc_id"))
-    first = Window.partitionBy("lang").orderBy("__at", "doc_id")
-    bound = rows.select("lang", "doc_id", "__at").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).groupBy("lang").agg(F.max("__at").alias("__last"))
-    limits = {r["lang"]: r["__last"] for r in bound.collect()}  # a row a language
-    if not limits:
+    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null")
+    rates = [(r["lang"], min(1.0, per_lang / r["n"])) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row a language
+    if not rates:
         return Model([], np.empty(0), np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0), [{}] * (LONGEST + 1), np.empty((0, 0)))
     spark = docs.sparkSession
-    sample = rows.join(F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, __last long")), "lang").where("__at <= __last").select("lang", "text")
+    sample = rows.join(F.broadcast(spark.createDataFrame(rates, "lang string, rate double")), "lang").where(share_of("doc_id") < F.col("rate")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,8 +9,8 @@ cover all documents.  The restored words take the stretch's place, and a
 logistic regression scores the text by how often selected features occur:
 whole words and word beginnings of 4 to 8 bytes.
 
-Labels are learnt from a bounded sample (``labelled`` rows, those with the
-smallest id hashes) and a bounded number of ``features``; the model is of
+Labels are learnt from a bounded sample (about ``labelled`` rows, chosen by the
+ids' hashes) and a bounded number of features (``width``); the model is of
 bounded size.
 
 Inputs: null and empty texts score as texts without any feature; labels that
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pick
+from .common import lean, pick, share_of
 from .textkernel import _BASE, _BYTE_CODE, _POWERS, Words, chunks, mix64, utf8
 
 LABELLED = 20_000
@@ -241,7 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     chars = CharModel(char_counts(docs if corpus is None else corpus, text_col))
     known = pick(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label in (0, 1)")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(labelled)
+    rate = labelled / max(1, known.count())
+    chosen = known.where(share_of("doc_id") < rate)  # about ``labelled`` rows
     sample = pick(docs, doc_id=id_col, text=text_col).where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "text")
     char_model = spark.sparkContext.broadcast(chars)
 
