@@ -126,6 +126,24 @@ placed AS (SELECT doc_id, source, round, size, source_size, target, words,
 SELECT doc_id, size, source_size, target, CAST(sum(words) AS BIGINT) AS taken, CAST(min(mix_offset) AS BIGINT) AS mix_offset FROM placed GROUP BY doc_id, size, source_size, target
 """
 
+#: Among equal weights the smallest exponential draw is the greatest hash; a new region weighs a quarter of the others.  CRC-32 goes byte by byte over the text's hex digits.
+OP6_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i AS n, i::UBIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, hex(coalesce(text, '')) AS digits, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+sums AS (SELECT doc_id, key, CAST(strlen(text) + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(digits), 2), lambda i: ('0x' || substr(digits, i, 2))::UBIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM docs, crc),
+draws AS (SELECT *, list_transform(['g0', 'g1', 'g2', 'g3', 'x16'], lambda g: ('0x' || substr(md5(key || '/root/' || g), 1, 13))::BIGINT) AS tops FROM sums),
+tops AS (SELECT *, list_position(tops[1:4], list_max(tops[1:4])) - 1 AS region, -ln((tops[5] + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) < -ln((list_max(tops[1:4]) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / 4 AS grown FROM draws),
+racks AS (SELECT *, list_transform([0, 1], lambda k: ('0x' || substr(md5(key || '/g' || region || '/k' || k), 1, 13))::BIGINT) AS ks FROM tops),
+racked AS (SELECT *, CASE WHEN ks[1] >= ks[2] THEN 0 ELSE 1 END AS rack FROM racks),
+leaves AS (SELECT *, list_transform([0, 1], lambda s: ('0x' || substr(md5(key || '/g' || region || '/k' || rack || '/' || s), 1, 13))::BIGINT) AS ss FROM racked),
+placed AS (SELECT *, CAST(4 * region + 2 * rack + CASE WHEN ss[1] >= ss[2] THEN 0 ELSE 1 END AS INTEGER) AS shard FROM leaves)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key), 1, 8))::BIGINT % 1024, doc_id, text_crc32, size) - 1 AS slot,
+    CASE WHEN grown THEN 16 ELSE shard END AS grown_shard FROM placed
+"""
+
 OP9_SQL = r"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -134,4 +152,4 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op9_neighbours": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op6_sharding": OP6_SQL, "op9_neighbours": OP9_SQL}

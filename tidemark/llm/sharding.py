@@ -100,7 +100,7 @@ def assign(docs: DataFrame, shards: int = BASE_SHARDS, buckets: int = 1024, id_c
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key"),
     )
     rows = grow(descend(rows, "__key", tree(shards), "shard"), "__key", "shard", shards, "grown_shard")
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__bucket", F.pmod(F.conv(F.substring(F.md5(F.col("__key").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
