@@ -18,7 +18,7 @@ from tidemark.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Posterior below which a document counts as being in no learnt language.
-LEAST_LANGUAGE = 0.5
+LEAST_LANGUAGE = 0.3
 #: Near-duplicates share 0.8 of their five-word shingles: such a pair agrees on 0.848 of SimHash bits on average, and
 #: on 128 bits differs in 25 or fewer nine times out of ten; unrelated pairs do so once in 10^12.
 SHINGLE, LANES, RADIUS, AGREE, RECALL = 5, 2, 25, 0.848, 0.97

@@ -410,7 +410,7 @@ def test_restoration():
         for a, b, c in zip(code, code[1:], code[2:], strict=False):
             counts[(a * 28 + b) * 28 + c] += 1
     model = toxicity.CharModel(counts)
-    for noisy, plain in [("1d10t", "idiot"), ("i d i o t", "idiot"), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("l.o.s.e.r", "loser"), ("$tup1d", "stupid")]:
+    for noisy, plain in [("1d10t", "idiot"), ("i d i o t", "idiot"), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("l.o.s.e.r", "loser"), ("$tup1d", "stupid"), ("id*ot", "idiot")]:
         assert toxicity.restore(f"you {noisy} there", model, {}).split() == ["you", plain, "there"], noisy
     plain = "an ordinary text, with 12 numbers; a b c and don't!!"
     assert toxicity.restore(plain, model, {}) == plain

@@ -19,6 +19,17 @@ from .. import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts are long: an Arrow batch of Spark's usual 10,000 of them takes far more memory than it saves time.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and sets the batch size for a session that hasn't set its own."""
+    ship(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
 
 def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """The named columns only, found by exact name first and then without regard to case.
@@ -26,7 +37,7 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     Extra columns, also ones whose names differ by case alone or occur twice,
     never reach the operators.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     have = df.columns
     safe = df.toDF(*[f"__c{i}" for i in range(len(have))])
     out = []

@@ -29,8 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import ship
-from .common import lean, pick, share_of
+from .common import lean, pick, prepare, share_of
 from .textkernel import Words, chunks, utf8
 
 PER_LANG = 4000
@@ -185,7 +184,7 @@ def judge(model: Model, texts: pa.Array, cache: dict[int, np.ndarray], limit: in
 
 def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language with a score of ``least`` or more."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

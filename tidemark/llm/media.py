@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import ship
-from .common import lean, pick
+from .common import lean, pick, prepare
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -157,7 +156,7 @@ def read(media: DataFrame) -> DataFrame:
     """Adds ``payload`` (binary), ``hash`` (binary) and ``error`` from column ``media``, read back from the stored bytes."""
     from pyspark.sql import types as T
 
-    ship(media.sparkSession)
+    prepare(media.sparkSession)
     schema = T.StructType([*media.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("hash", T.BinaryType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,9 @@ as the output of a channel: each character comes from one of a few letters, or
 from nothing, and a run of one letter from one or two of it.  Viterbi decoding
 finds the likeliest letters under a character trigram model, whose counts
 cover all documents.  The restored words take the stretch's place, and a
-logistic regression scores the text by how often selected features occur:
-whole words and word beginnings of 4 to 8 bytes.
+logistic regression scores the text by how often selected features occur -
+whole words and word beginnings of 4 to 8 bytes - and by whether any feature of
+the *lexicon* does: those that are toxic in nearly every labelled document.
 
 Labels are learnt from a bounded sample (about ``labelled`` rows, chosen by the
 ids' hashes) and a bounded number of features (``width``); the model is of
@@ -39,13 +40,15 @@ LABELLED = 20_000
 FEATURES = 1500
 LEAST_DOCS = 5
 PREFIXES = (4, 5, 6, 7, 8)
+#: The lexicon: features whose share of toxic documents is this at least (lower end of Wilson's 95 % interval), and the size of its input.
+SURE, SURE_INPUT = 0.9, 4.0
 
 GAP = np.ones(256, dtype=bool)
 GAP[0x61:0x7B] = False
 GAP[0x80:] = False
 
 #: What a character may have been (fixed values).
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
 DROPPED = " .-_*'~^"
 #: Log probabilities of the channel.
 COST_LEET, COST_DROP, COST_REPEAT = -0.7, -0.1, -0.5
@@ -59,7 +62,7 @@ BETWEEN = np.zeros(256, dtype=bool)
 BETWEEN[[ord(c) for c in DROPPED]] = True
 
 _SPACED = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*'~^][a-z](?![^\W_])){3,}")
-_LEETED = re.compile(r"(?<!\S)\S*(?:[^\W\d_][0-9@$!|+(]+[^\W\d_]|(?<!\S)[0-9@$!|+(]+[^\W\d_]{2})\S*")
+_LEETED = re.compile(r"(?<!\S)\S*(?:[^\W\d_][0-9@$!|+(*]+[^\W\d_]|(?<!\S)[0-9@$!|+(*]+[^\W\d_]{2})\S*")
 _REPEATED = re.compile(r"[^\W\d_]*?([a-z])\1\1[^\W\d_]*")
 
 SYMBOLS = 28  # end of word, a to z, any other letter
@@ -200,18 +203,23 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Model:
     chars: CharModel
     hashes: np.ndarray  # sorted
-    weights: np.ndarray
+    sure: np.ndarray  # which are in the lexicon
+    weights: np.ndarray  # the last is the lexicon's
     bias: float
 
     def inputs(self, texts: pa.Array, cache: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature, log(1 + count)) of the selected features."""
+        """(row, feature, input) of the selected features, log(1 + count), and of the lexicon."""
         rows, found = features(restored(texts, self.chars, cache))
         if not len(self.hashes) or not len(found):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
         hit = self.hashes[at] == found
         pair, n = np.unique(rows[hit] * len(self.hashes) + at[hit], return_counts=True)
-        return pair // len(self.hashes), pair % len(self.hashes), np.log1p(n)
+        row, at = np.divmod(pair, len(self.hashes))
+        marked = np.unique(row[self.sure[at]])
+        rows, at, x = np.append(row, marked), np.append(at, np.full(len(marked), len(self.hashes))), np.append(np.log1p(n), np.full(len(marked), SURE_INPUT))
+        order = np.argsort(rows, kind="stable")
+        return rows[order], at[order], x[order]
 
     def score(self, texts: pa.Array, cache: dict[str, str]) -> np.ndarray:
         rows, at, x = self.inputs(texts, cache)
@@ -236,6 +244,12 @@ def _fit(rows: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, width:
     return w[:width], float(w[width])
 
 
+def wilson(hits: int, n: int, z: float = 1.96) -> float:
+    """The lower end of Wilson's interval for a share."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", corpus: DataFrame | None = None, labelled: int = LABELLED, width: int = FEATURES) -> Model:
     """A model from the labels of ``docs``; ``corpus`` (default: ``docs``) is what the character model counts."""
     spark = docs.sparkSession
@@ -265,12 +279,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     if share in (0.0, 1.0):
-        return Model(chars, np.empty(0, np.uint64), np.empty(0), 30.0 if share else -30.0)
+        return Model(chars, np.empty(0, np.uint64), np.empty(0, bool), np.empty(0), 30.0 if share else -30.0)
     counted = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(lean(count), "feature long, ones long, alls long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls")).where(F.col("alls") >= LEAST_DOCS)
     surplus = (F.col("ones") - F.col("alls") * share) / F.sqrt(F.col("alls") * share * (1 - share))
-    top = counted.select("feature", surplus.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(width).collect()
-    hashes = np.sort(np.array([r["feature"] for r in top], dtype=np.int64).view(np.uint64))
-    draft = Model(chars, hashes, np.zeros(len(hashes)), 0.0)
+    top = counted.select("feature", "ones", "alls", surplus.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(width).collect()
+    found = np.array([r["feature"] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    hashes, sure = found[order], np.array([wilson(r["ones"], r["alls"]) >= SURE for r in top], dtype=bool)[order]
+    draft = Model(chars, hashes, sure, np.zeros(len(hashes) + 1), 0.0)
     drafted = spark.sparkContext.broadcast(draft)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at, x = table.column("at").combine_chunks(), table.column("x").combine_chunks()
     lengths = pc.list_value_length(at).to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(lengths)), lengths)
-    weights, bias = _fit(rows, at.flatten().to_numpy(), x.flatten().to_numpy().astype(float), table.column("label").to_numpy().astype(float), len(hashes))
-    return Model(chars, hashes, weights, bias)
+    weights, bias = _fit(rows, at.flatten().to_numpy(), x.flatten().to_numpy().astype(float), table.column("label").to_numpy().astype(float), len(hashes) + 1)
+    return Model(chars, hashes, sure, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
