@@ -180,9 +180,9 @@ def test_query_errors(spark):
 
 
 def test_replay_tiers(spark):
-    base = {"request_status": "prepared", "replay_type": "runtime_reconstruction", "target_type": "state", "target_ref": "r", "target_request_type": "q", "run_ok": True, "has_workbench": True, "has_runtime_support": True, "receipt_refs": ["a"], "provenance_complete": True, "replayable_support": True}
-    cases = [({"tier": 0}, "supported"), ({"tier": 1}, "supported"), ({"tier": 2}, "insufficient"), ({"tier": 4}, "insufficient"), ({"tier": 0, "run_ok": False}, "failed"), ({"tier": 1, "receipt_refs": []}, "failed"), ({"tier": 0, "replay_type": "request_support_replay", "target_ref": None}, "degraded"), ({"tier": 0, "has_workbench": None}, "unresolved")]
-    schema = "id int, tier int, request_status string, replay_type string, target_type string, target_ref string, target_request_type string, run_ok boolean, has_workbench boolean, has_runtime_support boolean, receipt_refs array<string>, provenance_complete boolean, replayable_support boolean"
+    base = {"request_status": "prepared", "replay_type": "runtime_reconstruction", "target_type": "state", "target_ref": "r", "target_request_type": "q", "run_ok": True, "has_bundle": True, "has_runtime_support": True, "receipt_refs": ["a"], "provenance_complete": True, "replayable_support": True}
+    cases = [({"tier": 0}, "supported"), ({"tier": 1}, "supported"), ({"tier": 2}, "insufficient"), ({"tier": 4}, "insufficient"), ({"tier": 0, "run_ok": False}, "failed"), ({"tier": 1, "receipt_refs": []}, "failed"), ({"tier": 0, "replay_type": "request_support_replay", "target_ref": None}, "degraded"), ({"tier": 0, "has_bundle": None}, "unresolved")]
+    schema = "id int, tier int, request_status string, replay_type string, target_type string, target_ref string, target_request_type string, run_ok boolean, has_bundle boolean, has_runtime_support boolean, receipt_refs array<string>, provenance_complete boolean, replayable_support boolean"
     names = [c.split()[0] for c in schema.split(", ")]
     rows = [tuple({"id": i, "tier": 0, **base, **c}[n] for n in names) for i, (c, _) in enumerate(cases)]
     got = posture.trace(posture.evaluate(spark.createDataFrame(rows, schema))).orderBy("id").collect()

@@ -21,7 +21,7 @@ def evaluate(requests: DataFrame) -> DataFrame:
     """Adds status, threshold outcome, downgrade, tier sufficiency, mechanization and both postures.
 
     Columns read: ``request_status, replay_type, target_type, target_ref,
-    target_request_type, tier`` (null: 0), ``run_ok, has_workbench,
+    target_request_type, tier`` (null: 0), ``run_ok, has_bundle,
     has_runtime_support, receipt_refs`` (array), ``provenance_complete,
     replayable_support``.
     """
@@ -38,7 +38,7 @@ def evaluate(requests: DataFrame) -> DataFrame:
     )
     rows = requests.withColumns({"failure_reason": failure, "receipt_support": receipts, "runtime_support": runtime, "request_context": context})
     failed = F.col("failure_reason").isNotNull()
-    supported = ((tier == 0) & _yes("has_workbench") & runtime) | ((tier == 1) & receipts)
+    supported = ((tier == 0) & _yes("has_bundle") & runtime) | ((tier == 1) & receipts)
     downgrade = F.when(failed, F.lit(UNJUSTIFIED)).when(is_request & ~context, F.lit(DEGRADED)).when(tier >= 2, F.lit(INSUFFICIENT)).when((tier == 1) & ~receipts, F.lit(INSUFFICIENT)).when((tier == 0) & ~runtime, F.lit(UNJUSTIFIED))
     rows = rows.withColumns({"supported": supported & ~failed, "downgrade_output": downgrade})
     outcome = F.coalesce("downgrade_output", F.when(F.col("supported"), F.lit("bounded_supported")).otherwise(F.lit("support_unresolved")))

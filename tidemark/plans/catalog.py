@@ -761,7 +761,7 @@ def replay_posture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.when(k % 17 == 0, F.lit("failed")).otherwise(F.lit("prepared")).alias("request_status"), F.when(request, F.lit("request_support_replay")).otherwise(F.lit("runtime_reconstruction")).alias("replay_type"),
         F.when(k % 11 != 0, F.lit("state")).alias("target_type"), F.lit("ref").alias("target_ref"), F.when(k % 4 != 0, F.lit("request")).alias("target_request_type"), (k % 5).cast("int").alias("tier"),
-        F.lit(True).alias("run_ok"), F.lit(True).alias("has_workbench"), (k % 3 != 0).alias("has_runtime_support"), F.when(k % 7 != 0, F.array(F.lit("r"))).alias("receipt_refs"), F.lit(True).alias("provenance_complete"), F.lit(True).alias("replayable_support"),
+        F.lit(True).alias("run_ok"), F.lit(True).alias("has_bundle"), (k % 3 != 0).alias("has_runtime_support"), F.when(k % 7 != 0, F.array(F.lit("r"))).alias("receipt_refs"), F.lit(True).alias("provenance_complete"), F.lit(True).alias("replayable_support"),
     )
     return posture.trace(posture.evaluate(rows)).select("o_orderkey", "reconstruction_status", "downgrade_output", "threshold_class", "mechanization_status")
 
