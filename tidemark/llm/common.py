@@ -85,13 +85,13 @@ def size_of(text) -> F.Column:
 def runs(batches: Iterator[pa.RecordBatch], key: list[str], limit: int) -> Iterator[pa.Table]:
     """Regroups rows that arrive sorted by ``key`` into tables of about ``limit`` rows that never split a key's run."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, enough = 0, limit
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < limit:
+        if rows < enough:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = table.slice(rows - 1)
@@ -104,6 +104,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str], limit: int) -> Itera
             yield table.slice(0, cutoff)
             table = table.slice(cutoff)
         held, rows = table.to_batches(), table.num_rows
+        # a key with more rows than that: look again once they have doubled
+        enough = limit if cutoff else 2 * rows
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
