@@ -19,6 +19,9 @@ compared with the classes not reached yet, so what a bucket emits is a forest
 with fewer links than classes.  Links are joined into components by stars,
 each round cut to a table.
 
+``similar`` takes fingerprints as candidates only: what it joins has an exact
+Jaccard similarity of shingle sets (up to collisions of 64-bit hashes).
+
 Inputs: null and empty texts have no words and the fingerprint zero; texts
 shorter than a shingle are one shingle; repeated rows share a class; rows that
 repeat a ``doc_id`` are one document; a null ``doc_id`` forms no links; an
@@ -254,6 +257,126 @@ def groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, radius: int = 4, a
     return found.join(labelled, same, "left").select("doc_id", *prints, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each text, in order, and how many each text has."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[first], np.bincount(row[first], minlength=len(counts))
+
+
+def _digests(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each text's set of hashes, as signed longs."""
+    ends = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(hashes))])
+    stops = np.cumsum(counts)
+    return (ends[stops] - ends[stops - counts]).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """``doc_id, f0 .., node``: fingerprints over the different shingles of each text, and what stands for their set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in chunks(batch, "text", 1 << 20):
+                hashes, counts = _distinct(*_shingles([t or b"" for t in some.column(1).to_pylist()], shingle))
+                prints = [majority(hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), counts) for k in range(lanes)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(p.view(np.int64)) for p in prints), pa.array(_digests(hashes, counts))], names=["doc_id", *(f"f{k}" for k in range(lanes)), "node"])
+
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", node long")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles``: the different shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in chunks(batch, "text", 1 << 20):
+                hashes, counts = _distinct(*_shingles([t or b"" for t in some.column(0).to_pylist()], shingle))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, counts)), lists], names=["node", "shingles"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "node long, shingles array<long>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` of nodes whose sets of shingles have this Jaccard similarity at least."""
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    ids = classes.join(wanted, "node").select(F.col("least").alias("__id")).distinct()
+    texts = pick(docs, "doc_id", "text")
+    texts = texts.join(ids, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    sets = cut(shingle_sets(texts, shingle).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"__{n}")) for n in "uv")
+    both = F.size(F.array_intersect("__u", "__v"))
+    return pairs.join(left, "u").join(right, "v").where(both / (F.size("__u") + F.size("__v") - both) >= similarity).select("u", "v")
+
+
+def _apart(lanes: int, radius: int):
+    """All pairs within the radius and of different labels in the buckets of which ``_compare`` shows a forest only."""
+
+    def batch(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, dtype=np.int64)
+        a, b = ids[np.concatenate([none, *left])], ids[np.concatenate([none, *right])]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["key"], 200_000):
+            key, ids, label = (table.column(c).to_numpy() for c in ("key", "rep", "label"))
+            prints = np.stack([table.column(f"f{k}").to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            left, right, held = [], [], 0
+            for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                _, which, count = np.unique(label[at : at + n], return_inverse=True, return_counts=True)
+                common = which == count.argmax()
+                for i in np.flatnonzero(~common).tolist():
+                    others = np.flatnonzero((which != which[i]) & (common | (np.arange(n) > i)))
+                    found = others[within(prints[at + others] ^ prints[at + i], radius)] + at
+                    left.append(np.full(len(found), at + i))
+                    right.append(found)
+                    held += len(found)
+                    if held > 100_000:
+                        yield batch(ids, left, right)
+                        left, right, held = [], [], 0
+            yield batch(ids, left, right)
+
+    return run
+
+
+def similar(docs: DataFrame, shingle: int, lanes: int, radius: int, agree: float, recall: float, similarity: float) -> DataFrame:
+    """``doc_id, component_id`` for every row: documents whose sets of shingles have the Jaccard similarity, directly or over others, share a component.
+
+    Fingerprints find the candidates, each of which is then confirmed by its
+    shingles.  A large bucket first shows a forest; a refused link of it may
+    have stood for others, so its pairs that are still in different components
+    are looked at one by one.
+    """
+    prints = [f"f{k}" for k in range(lanes)]
+    found = cut(sketches(docs, shingle, lanes))
+    classes = cut(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in prints]))
+    tables = sampled_tables(agree, classes.count(), 64 * lanes, recall)
+
+    def placed(rows: DataFrame, *more: str) -> DataFrame:
+        table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(masks)]) for t, masks in enumerate(tables)]))
+        each = rows.select(F.col("node").alias("rep"), *prints, *more, table.alias("__t"))
+        key = F.xxhash64("__t.t", *[F.col(f).bitwiseAND(F.col(f"__t.m{k}")) for k, f in enumerate(prints)])
+        return each.select(key.alias("key"), "rep", *prints, *more).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "rep")
+
+    seen = cut(placed(classes).mapInArrow(lean(_compare(lanes, radius)), "u long, v long").distinct())
+    first = cut(confirmed(seen, docs, classes, shingle, similarity))
+    joined = cut(components(first))
+    label = F.coalesce("component", "node").alias("label")
+    split = classes.join(joined, classes.node == joined.u, "left").select("node", *prints, label)
+    unseen = cut(placed(split, "label").mapInArrow(lean(_apart(lanes, radius)), "u long, v long").distinct().join(seen, ["u", "v"], "left_anti"))
+    if not unseen.isEmpty():
+        joined = cut(components(first.unionByName(confirmed(unseen, docs, classes, shingle, similarity))))
+    labelled = cut(classes.join(joined, classes.node == joined.u, "left").select("node", "least", label))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    return found.join(labelled.join(least, "label").select("node", "component_id"), "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def hexadecimal(lane) -> F.Column:
     """16 lowercase hex digits of a fingerprint's lane."""
     return F.lpad(F.lower(F.hex(lane)), 16, "0")
