@@ -19,11 +19,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Posterior below which a document counts as being in no learnt language.
 LEAST_LANGUAGE = 0.3
-#: Near-duplicates share 0.8 of their five-word shingles: such a pair agrees on 0.848 of SimHash bits on average, and
-#: on 128 bits differs in 25 or fewer nine times out of ten; unrelated pairs do so once in 10^12.
-SHINGLE, LANES, RADIUS, AGREE, RECALL = 5, 2, 25, 0.848, 0.97
-#: Share of five-word shingles in common from which two documents are near-duplicates.
-SIMILARITY = 0.8
+#: Near-duplicates share 0.8 of their five-word shingles: such a pair differs in 19.5 of 128 SimHash bits on average, and
+#: in 36 or fewer with a probability of 0.9999 (binomial); it meets in a table with probability RECALL at least.
+SHINGLE, LANES, RADIUS, RECALL, SIMILARITY = 5, 2, 36, 0.999, 0.8
 #: Passages as long as this many words are removed where they repeat.
 PASSAGE, ANCHOR = 40, 8
 
@@ -35,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate group."""
-    found = simhash.similar(docs, SHINGLE, LANES, RADIUS, AGREE, RECALL, SIMILARITY)
+    found = simhash.similar(docs, SHINGLE, LANES, RADIUS, RECALL, SIMILARITY)
     extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
     return pick(docs, *COLUMNS).join(extra, F.col("doc_id") == F.col("__extra"), "left_anti")
 

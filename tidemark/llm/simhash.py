@@ -46,6 +46,8 @@ from .textkernel import chunks, mix64
 SEED = 42
 BLOCK = 4096
 SMALL = 8
+#: Least hashes in a key of ``similar``.
+ROWS = 6
 
 Table = tuple[int, ...]  # a mask for each 64-bit lane
 
@@ -274,18 +276,42 @@ def _digests(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (ends[stops] - ends[stops - counts]).view(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """``doc_id, f0 .., node``: fingerprints over the different shingles of each text, and what stands for their set."""
+def least_hashes(hashes: np.ndarray, counts: np.ndarray, tables: int) -> np.ndarray:
+    """(texts x tables) keys of ``ROWS`` least hashes each: texts of similarity s share one with probability s ** ROWS, whatever the corpus."""
+    out = np.zeros((len(counts), tables), dtype=np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
+        draw = random.Random(SEED)
+        for t in range(tables):
+            key = np.full(len(some), t, dtype=np.uint64)
+            for _ in range(ROWS):
+                mixed = (hashes ^ np.uint64(draw.getrandbits(64))) * np.uint64(draw.getrandbits(64) | 1)
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts))
+            out[some, t] = key
+    return out
+
+
+def least_tables(similarity: float, recall: float) -> int:
+    """How many tables of least hashes bring a pair of that similarity together with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**ROWS))
+
+
+def sketches(docs: DataFrame, shingle: int, lanes: int, tables: int) -> DataFrame:
+    """``doc_id, f0 .., node, keys``: fingerprints over the different shingles of each text, what stands for their set, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", 1 << 20):
                 hashes, counts = _distinct(*_shingles([t or b"" for t in some.column(1).to_pylist()], shingle))
                 prints = [majority(hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), counts) for k in range(lanes)]
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(p.view(np.int64)) for p in prints), pa.array(_digests(hashes, counts))], names=["doc_id", *(f"f{k}" for k in range(lanes)), "node"])
+                keys = least_hashes(hashes, counts, tables)[counts > 0].view(np.int64)  # no words, no keys
+                ends = np.concatenate([[0], np.cumsum((counts > 0) * tables)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(p.view(np.int64)) for p in prints), pa.array(_digests(hashes, counts)), lists], names=["doc_id", *(f"f{k}" for k in range(lanes)), "node", "keys"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", node long")
+    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", node long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -345,30 +371,28 @@ def _apart(lanes: int, radius: int):
     return run
 
 
-def similar(docs: DataFrame, shingle: int, lanes: int, radius: int, agree: float, recall: float, similarity: float) -> DataFrame:
+def similar(docs: DataFrame, shingle: int, lanes: int, radius: int, recall: float, similarity: float) -> DataFrame:
     """``doc_id, component_id`` for every row: documents whose sets of shingles have the Jaccard similarity, directly or over others, share a component.
 
-    Fingerprints find the candidates, each of which is then confirmed by its
-    shingles.  A large bucket first shows a forest; a refused link of it may
+    Texts meet in tables of least hashes, those within the radius are candidates,
+    and each candidate is confirmed by its shingles.  A large bucket first shows a forest; a refused link of it may
     have stood for others, so its pairs that are still in different components
     are looked at one by one.
     """
     prints = [f"f{k}" for k in range(lanes)]
-    found = cut(sketches(docs, shingle, lanes))
-    classes = cut(found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in prints]))
-    tables = sampled_tables(agree, classes.count(), 64 * lanes, recall)
+    found = cut(sketches(docs, shingle, lanes, least_tables(similarity, recall)))
+    known = found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in [*prints, "keys"]])
+    classes = cut(known)
 
     def placed(rows: DataFrame, *more: str) -> DataFrame:
-        table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(masks)]) for t, masks in enumerate(tables)]))
-        each = rows.select(F.col("node").alias("rep"), *prints, *more, table.alias("__t"))
-        key = F.xxhash64("__t.t", *[F.col(f).bitwiseAND(F.col(f"__t.m{k}")) for k, f in enumerate(prints)])
-        return each.select(key.alias("key"), "rep", *prints, *more).repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "rep")
+        each = rows.select(F.explode("keys").alias("key"), F.col("node").alias("rep"), *prints, *more)
+        return each.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "rep")
 
     seen = cut(placed(classes).mapInArrow(lean(_compare(lanes, radius)), "u long, v long").distinct())
     first = cut(confirmed(seen, docs, classes, shingle, similarity))
     joined = cut(components(first))
     label = F.coalesce("component", "node").alias("label")
-    split = classes.join(joined, classes.node == joined.u, "left").select("node", *prints, label)
+    split = classes.join(joined, classes.node == joined.u, "left").select("node", "keys", *prints, label)
     unseen = cut(placed(split, "label").mapInArrow(lean(_apart(lanes, radius)), "u long, v long").distinct().join(seen, ["u", "v"], "left_anti"))
     if not unseen.isEmpty():
         joined = cut(components(first.unionByName(confirmed(unseen, docs, classes, shingle, similarity))))
