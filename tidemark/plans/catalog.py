@@ -739,7 +739,7 @@ def cycle_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CYCLES} SELECT session, cycle_index, row_number() OVER (PARTITION BY session ORDER BY cycle_index DESC) > 20 AS pruned, 'receipt_cycle_' || lpad(cycle_index::VARCHAR, 4, '0') || '_run_' || session || '.json' AS file_name FROM cycles WHERE cycle_index < 10000")
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = digest.retained(_cycles(spark, sf_dir), "session", 20).where("cycle_index < 10000")
+    rows = digest.retained(_cycles(spark, sf_dir), "session", 20)
     return rows.select("session", "cycle_index", "pruned", files.receipt_name(F.col("cycle_index"), F.concat(F.lit("run "), F.col("session"))).alias("file_name"))
 
 

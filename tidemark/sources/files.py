@@ -10,7 +10,7 @@ RECEIPT = r"receipt_cycle_(\d+)_.*\.json$"
 
 def receipt_name(cycle: Column, label: Column) -> Column:
     """File name of a receipt; characters that may not be in one become ``_``."""
-    number = F.lpad(F.coalesce(cycle, F.lit(0)).cast("string"), 4, "0")
+    number = F.format_string("%04d", F.coalesce(cycle, F.lit(0)).cast("long"))
     safe = F.regexp_replace(F.coalesce(label, F.concat(F.lit("cycle_"), number)), r"[^a-zA-Z0-9._-]", "_")
     return F.concat(F.lit("receipt_cycle_"), number, F.lit("_"), safe, F.lit(".json"))
 
