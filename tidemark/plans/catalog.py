@@ -418,27 +418,27 @@ def _value(bins: str, at: str = "g") -> str:
 
 @query(f"{_REPLAYED} SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, {r('any_value(g.t0) + g.n', 't')}, {r(_value('k'), 'v')} FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w GROUP BY g.stream_id, g.w, g.n")
 def replay_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(_states(spark, sf_dir).where("w % 4 = 0")).select(*rounded("stream_id", "w", "n", "t~", "v~"))
+    return replay.replay(_states(spark, sf_dir)).select(*rounded("stream_id", "w", "n", "t~", "v~"))
 
 
 @query(f"{_REPLAYED}, floors AS (SELECT stream_id, w, list_sort(list(magnitude))[CAST(floor(0.1 * (count(*) - 1)) AS BIGINT) + 1] AS floor FROM kept GROUP BY stream_id, w), every AS (SELECT s.stream_id, s.w, b.k, coalesce(k.re, floor) AS re, coalesce(k.im, 0) AS im FROM picked s CROSS JOIN (SELECT unnest(range({sql.SIZE // 2 + 1})) AS k) b LEFT JOIN kept k ON k.stream_id = s.stream_id AND k.w = s.w AND k.k = b.k JOIN floors f ON f.stream_id = s.stream_id AND f.w = s.w) SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, {r(_value('e'), 'v')} FROM grid g JOIN every e ON e.stream_id = g.stream_id AND e.w = g.w GROUP BY g.stream_id, g.w, g.n")
 def replay_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .policies import Replay
 
-    return replay.replay(_states(spark, sf_dir).where("w % 4 = 0"), Replay(fill_missing_bins="NOISE_FLOOR")).select(*rounded("stream_id", "w", "n", "v~"))
+    return replay.replay(_states(spark, sf_dir), Replay(fill_missing_bins="NOISE_FLOOR")).select(*rounded("stream_id", "w", "n", "v~"))
 
 
 @query(f"{_REPLAYED} SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, round(({_value('k')}) / greatest(0.5 * (1 - cos(2 * pi() * g.n / {sql.SIZE - 1})), 1e-6), 3) + 0.0 AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w WHERE g.n BETWEEN 2 AND {sql.SIZE - 3} GROUP BY g.stream_id, g.w, g.n")
 def hann_compensate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .policies import Replay
 
-    rows = replay.replay(_states(spark, sf_dir).where("w % 4 = 0"), Replay(window_compensation="HANN_COMPENSATE")).where(F.col("n").between(2, sql.SIZE - 3))
+    rows = replay.replay(_states(spark, sf_dir), Replay(window_compensation="HANN_COMPENSATE"))
     return rows.select("stream_id", "w", "n", (F.round("v", 3) + F.lit(0.0)).alias("v"))
 
 
 @query(f"{_REPLAYED}, vals AS (SELECT g.stream_id, g.w, g.n, {_value('k')} AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w GROUP BY g.stream_id, g.w, g.n) SELECT stream_id, w, count(*) AS samples, round(sum(v * v), 4) AS reconstructed_energy, 'window_direct' AS replay_mode FROM vals GROUP BY stream_id, w")
 def replay_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = replay.receipts(_states(spark, sf_dir).where("w % 4 = 0"))
+    rows = replay.receipts(_states(spark, sf_dir))
     return rows.select("stream_id", "w", "samples", F.round("reconstructed_energy", 4).alias("reconstructed_energy"), "replay_mode")
 
 
