@@ -409,7 +409,7 @@ def merge_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir)[0].select(*rounded("stream_id", "segment_id", "pair", "band_profile_divergence~", "confidence~", "blocked_reason", "eligible_for_authoritative_merge", "eligible_for_archive_tier"))
 
 
-_REPLAYED = f"WITH {sql.KEPT}, picked AS (SELECT stream_id, w, any_value(t0) AS t0 FROM kept WHERE w % 4 = 0 GROUP BY stream_id, w), grid AS (SELECT stream_id, w, t0, unnest(range({sql.SIZE})) AS n FROM picked)"
+_REPLAYED = f"WITH {sql.KEPT}, picked AS (SELECT stream_id, w, any_value(t0) AS t0 FROM kept GROUP BY stream_id, w), grid AS (SELECT stream_id, w, t0, unnest(range({sql.SIZE})) AS n FROM picked)"
 
 
 def _value(bins: str, at: str = "g") -> str:
@@ -428,12 +428,14 @@ def replay_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(_states(spark, sf_dir), Replay(fill_missing_bins="NOISE_FLOOR")).select(*rounded("stream_id", "w", "n", "v~"))
 
 
-@query(f"{_REPLAYED} SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, round(({_value('k')}) / greatest(0.5 * (1 - cos(2 * pi() * g.n / {sql.SIZE - 1})), 1e-6), 3) + 0.0 AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w WHERE g.n BETWEEN 2 AND {sql.SIZE - 3} GROUP BY g.stream_id, g.w, g.n")
+@query(f"{_REPLAYED} SELECT g.stream_id, g.w, CAST(g.n AS INTEGER) AS n, CASE WHEN g.n IN (0, {sql.SIZE - 1}) THEN round(({_value('k')}) / 1e-6, 0) + 0.0 ELSE round(({_value('k')}) / (0.5 * (1 - cos(2 * pi() * g.n / {sql.SIZE - 1}))), 3) + 0.0 END AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w GROUP BY g.stream_id, g.w, g.n")
 def hann_compensate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .policies import Replay
 
     rows = replay.replay(_states(spark, sf_dir), Replay(window_compensation="HANN_COMPENSATE"))
-    return rows.select("stream_id", "w", "n", (F.round("v", 3) + F.lit(0.0)).alias("v"))
+    # the window's ends are cut off at 1e-6, which magnifies rounding a million times
+    v = F.when(F.col("n").isin(0, sql.SIZE - 1), F.round("v", 0)).otherwise(F.round("v", 3))
+    return rows.select("stream_id", "w", "n", (v + F.lit(0.0)).alias("v"))
 
 
 @query(f"{_REPLAYED}, vals AS (SELECT g.stream_id, g.w, g.n, {_value('k')} AS v FROM grid g JOIN kept k ON k.stream_id = g.stream_id AND k.w = g.w GROUP BY g.stream_id, g.w, g.n) SELECT stream_id, w, count(*) AS samples, round(sum(v * v), 4) AS reconstructed_energy, 'window_direct' AS replay_mode FROM vals GROUP BY stream_id, w")
@@ -737,7 +739,7 @@ def cycle_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.deltas(_cycles(spark, sf_dir), "session")
 
 
-@query(f"WITH {_CYCLES} SELECT session, cycle_index, row_number() OVER (PARTITION BY session ORDER BY cycle_index DESC) > 20 AS pruned, 'receipt_cycle_' || lpad(cycle_index::VARCHAR, 4, '0') || '_run_' || session || '.json' AS file_name FROM cycles WHERE cycle_index < 10000")
+@query(f"WITH {_CYCLES} SELECT session, cycle_index, row_number() OVER (PARTITION BY session ORDER BY cycle_index DESC) > 20 AS pruned, 'receipt_cycle_' || CASE WHEN cycle_index < 10000 THEN lpad(cycle_index::VARCHAR, 4, '0') ELSE cycle_index::VARCHAR END || '_run_' || session || '.json' AS file_name FROM cycles")
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = digest.retained(_cycles(spark, sf_dir), "session", 20)
     return rows.select("session", "cycle_index", "pruned", files.receipt_name(F.col("cycle_index"), F.concat(F.lit("run "), F.col("session"))).alias("file_name"))
