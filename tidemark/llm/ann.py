@@ -12,12 +12,14 @@ too.  Reranking takes the original vectors in double precision, and what may
 still be among the best is summed in the order of the components.
 
 Every vector is indexed; nothing is fitted.  Queries and vectors meet in
-blocks of bounded size.
+blocks of bounded size, and a block is copied once for each lot of queries.
 
 Inputs: vectors that are null, empty or zero, or hold null or non-finite
-components, are neither queries nor candidates; a query's candidates are the
-vectors of its own dimension with other ids; equal scores go to the smaller
-id; an empty table gives an empty result.
+components, are neither queries nor candidates; a query's candidates are all
+other rows of its own dimension, also rows that repeat its id or have a null
+id (which are candidates, never queries); each row of a repeated query id has
+ranks of its own; equal scores go to the smaller id, a null id last; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import cut, pick
 
 NEIGHBOURS = 20
 EVERY = 20
-BLOCK = 4096
-QUERIES = 1024
+BLOCK = 8192
+QUERIES = 16_384
 QUERY_BITS = 6
 #: Multiples of the error's scale that the bounds allow.
 CONFIDENCE = 3.0
@@ -105,28 +107,31 @@ def kth(scores: np.ndarray, k: int) -> float:
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    return column.combine_chunks().flatten().to_numpy().astype(float, copy=False).reshape(-1, dim)
 
 
 def _encode(table: pa.Table) -> pa.Table:
     """Adds codes and scalars to vectors of one block and dimension."""
     dim = table.column("dim")[0].as_py()
     packed, norm, code = codes(_matrix(table.column("vector"), dim))
-    table = table.select(["vec_id", "dim", "block", "vector"])
+    table = table.select(["at", "vec_id", "dim", "block", "vector"])
     return table.append_column("code", pa.array([row.tobytes() for row in packed], pa.binary())).append_column("norm", pa.array(norm)).append_column("fit", pa.array(code))
 
 
 def _search(k: int):
     def run(queries: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if queries.num_rows and block.num_rows:
             dim = block.column("dim")[0].as_py()
-            ids, vectors = block.column("vec_id").to_numpy(), _matrix(block.column("vector"), dim)
+            at, vectors = block.column("at").to_numpy(), _matrix(block.column("vector"), dim)
+            # null ids come after all others
+            ids = block.column("vec_id").combine_chunks()
+            ids, none = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
             packed = np.frombuffer(b"".join(block.column("code").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
             norm, fit = block.column("norm").to_numpy(), block.column("fit").to_numpy()
-            for query_id, query in zip(queries.column("vec_id").to_numpy().tolist(), _matrix(queries.column("vector"), dim), strict=True):
+            for row, (own, query) in enumerate(zip(queries.column("at").to_numpy().tolist(), _matrix(queries.column("vector"), dim), strict=True)):
                 estimate, error = estimates(query, packed, norm, fit)
-                other = ids != query_id
+                other = at != own
                 near = np.flatnonzero(other)
                 if len(near) > max(k, LEAD):
                     lead = near[np.argpartition(estimate[near], -max(k, LEAD))[-max(k, LEAD) :]]
@@ -136,10 +141,13 @@ def _search(k: int):
                     rough = (vectors @ query)[near] if 4 * len(near) > len(ids) else vectors[near] @ query
                     near = near[rough >= kth(rough, k)]
                 score = exact(vectors[near], query)
-                best = np.lexsort((ids[near], -score))[:k]
-                out.append((np.full(len(best), query_id), ids[near][best], score[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+                best = np.lexsort((ids[near], none[near], -score))[:k]
+                found.append((row, near[best], score[best]))
+        rows = np.concatenate([np.full(len(n), r) for r, n, _ in found]) if found else np.empty(0, np.int64)
+        near = np.concatenate([n for _, n, _ in found]) if found else np.empty(0, np.int64)
+        score = np.concatenate([s for _, _, s in found]) if found else np.empty(0)
+        mine, theirs = queries.select(["at", "vec_id"]).take(pa.array(rows, pa.int64())), block.select(["vec_id"]).take(pa.array(near, pa.int64()))
+        return pa.table([mine.column("at"), mine.column("vec_id"), theirs.column("vec_id"), pa.array(score, pa.float64())], names=["at", "query_id", "vec_id", "score"])
 
     return run
 
@@ -147,16 +155,20 @@ def _search(k: int):
 def search(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each vector whose id is divisible by ``every``."""
     vector = F.col("vector")
-    rows = pick(vectors, vec_id=id_col, vector=vector_col).where("vec_id is not null and vector is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    rows = pick(vectors, vec_id=id_col, vector=vector_col).where("vector is not null").withColumn("vec_id", F.col("vec_id").cast("long"))
+    if rows.schema["vector"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("vector", F.transform(vector, lambda x: x.cast("double")))
+    kind = rows.schema["vector"].dataType.simpleString()
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = rows.where(F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("vector"))
+    # ``at`` tells rows apart; the table keeps the same numbers for all of its readers
+    rows = cut(rows.where(F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("vector")).withColumn("at", F.monotonically_increasing_id()))
     number = rows.count()
     blocks, lots = max(1, -(-number // BLOCK)), max(1, -(-number // every // QUERIES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int"))
-    index = rows.groupBy("dim", "block").applyInArrow(_encode, "vec_id long, dim int, block int, vector array<double>, code binary, norm double, fit double")
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "dim", "vector", F.pmod(F.xxhash64("vec_id", F.lit("lot")), F.lit(lots)).cast("int").alias("lot"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("at", F.lit("block")), F.lit(blocks)).cast("int"))
+    index = rows.groupBy("dim", "block").applyInArrow(_encode, f"at long, vec_id long, dim int, block int, vector {kind}, code binary, norm double, fit double")
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("at", "vec_id", "dim", "vector", F.pmod(F.xxhash64("at", F.lit("lot")), F.lit(lots)).cast("int").alias("lot"))
     left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("dim", "lot", "block")
     right = index.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).groupBy("dim", "lot", "block")
-    found = left.cogroup(right).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.cogroup(right).applyInArrow(_search(k), "at long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("at").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,6 +40,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id",
         "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(tail).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
@@ -145,10 +146,10 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 """
 
 OP9_SQL = r"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS own FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+s AS (SELECT q.vec_id AS query_id, q.own, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.own <> c.own AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id ASC NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
