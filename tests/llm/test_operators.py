@@ -106,14 +106,65 @@ def test_language_odd_rows(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def counted(rows):
+    """Parts of (language, word, n) rows, summed as training does."""
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].encode() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["at", "word", "n"])
+    return pa.Table.from_batches(langid._parts(iter([batch]))).group_by(["k", "hash", "at"]).aggregate([("mass", "sum")]).rename_columns(["k", "hash", "at", "mass"])
+
+
 def test_language_backs_off():
-    model = langid.build([("en", "the", 50, 60), ("en", "thing", 10, 60), ("fr", "le", 50, 60), ("fr", "lequel", 10, 60)])
     import pyarrow as pa
 
-    best, score = langid.judge(model, pa.array(["the", "things", "lequels", "123", None, "ЖЖ"]), {})
+    model = langid.build(["en", "fr"], counted([(0, "the", 50), (0, "thing", 10), (1, "le", 50), (1, "lequel", 10)]))
+    best, score = langid.judge(model, pa.array(["the", "things", "lequels", "123", None, "ЖЖ"]))
     assert best[:5] == ["en", "en", "fr", "und", "und"] and score[3] == 0
 
 
+def test_language_scores_against_brute_force(texts):
+    """Word-first back-off in plain Python, on words of the driver's texts, half of them unseen."""
+    import math
+
+    import pyarrow as pa
+
+    split = {i: re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) for i, t in texts.items()}
+    seen = [Counter(), Counter(), Counter()]
+    for i, w in split.items():
+        if i % 2:
+            seen[i % 3].update(w[:300])
+    rows = [(k, w, n) for k, c in enumerate(seen) for w, n in c.items()]
+    model = langid.build(["a", "b", "c"], counted(rows))
+    grams = [[Counter() for _ in range(3)] for _ in range(6)]
+    for k, w, n in rows:
+        for size in range(1, 6):
+            for j in range(len(w) + 3 - size):
+                grams[size][k][f"<{w}>"[j : j + size]] += 1 + math.log(n)
+
+    def logs(counters, keys, kind):
+        return [[math.log((c[x] + 0.1) / (sum(c.values()) + 0.1 * kind)) for c in counters] for x in keys]
+
+    kinds = [len(set().union(*seen))] + [len(set().union(*grams[size])) for size in range(1, 6)]
+
+    def score(word):
+        if any(word in c for c in seen):
+            return logs(seen, [word], kinds[0])[0]
+        for size in range(5, 0, -1):
+            found = [g for j in range(len(word) + 3 - size) if any((g := f"<{word}>"[j : j + size]) in c for c in grams[size])]
+            if found:
+                return [sum(x) / len(found) for x in zip(*logs(grams[size], found, kinds[size]), strict=True)]
+        return [0.0] * 3
+
+    some = [" ".join(w[:12]) for i, w in sorted(split.items()) if not i % 2][:60]
+    best, got = langid.judge(model, pa.array(some))
+    for text, b, g in zip(some, best, got, strict=True):
+        words = text.split()
+        sums = [sum(x) for x in zip(*map(score, words), strict=True)] if words else [0.0] * 3
+        top = max(range(3), key=lambda k: (sums[k], -k))
+        if words:
+            assert b == "abc"[top] and abs(g - 1 / sum(math.exp(x - sums[top]) for x in sums)) < 1e-4
+
+
 # 3 media
 
 
