@@ -86,6 +86,46 @@ def test_refused_links_stand_for_no_others(spark, monkeypatch):
     assert found == {(None, None), (1, 1), (2, 2), (3, 2)}
 
 
+@pytest.mark.parametrize("large", [2_000_000, 400])
+def test_large_groups_in_parts(spark, monkeypatch, large):
+    """A chain of near copies far longer than a part, half of it with links of 0.7 only."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "LOT", 7)
+    rng = random.Random(3)
+    texts, words = {}, [f"w{rng.randrange(10**9)}" for _ in range(120)]
+    for i in range(60):
+        words = varied(rng, words, 0.9 if i % 4 else 0.7)
+        rng.shuffle(words) if i % 20 == 0 else None
+        texts[i] = " ".join(words)
+    assert kept_of(spark, texts) == brute_kept(texts)
+
+
+def test_sets_joined_as_by_brute_force():
+    rng = np.random.default_rng(5)
+    pool = [rng.choice(60, rng.integers(1, 30), replace=False) for _ in range(12)]
+    sets = [np.unique(np.concatenate([p[rng.random(len(p)) > 0.08], rng.integers(60, 70, rng.integers(0, 3))])) for p in pool for _ in range(9)]
+    counts = np.array([len(x) for x in sets])
+    root = simhash.joined(np.concatenate(sets).astype(np.uint64), counts, 0.8)
+    label = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if x | y and len(x & y) / len(x | y) >= 0.8:
+                    label[a] = label[b] = min(label[a], label[b])
+    same = lambda v: {(i, j) for i in range(len(v)) for j in range(i) if v[i] == v[j]}
+    assert same(root.tolist()) == same(label) and len(set(label)) < len(sets)
+
+
+def test_odd_ids_and_equal_rows(spark):
+    """Null ids, an id with two texts, equal rows: one row of each group of copies stays."""
+    rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "x y z"), (None, "x y z"), (7, "p q"), (7, "r s"), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, "a b c"), (None, "x y z"), (7, "p q"), (7, "r s"), (8, "")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("size", [12, 60, 400])
 @pytest.mark.parametrize("similarity", [0.8, 0.825, 0.85])
 def test_recall_at_the_threshold(size, similarity):

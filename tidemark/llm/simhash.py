@@ -19,13 +19,17 @@ compared with the classes not reached yet, so what a bucket emits is a forest
 with fewer links than classes.  Links are joined into components by stars,
 each round cut to a table.
 
-``similar`` takes fingerprints as candidates only: what it joins has an exact
-Jaccard similarity of shingle sets (up to collisions of 64-bit hashes).
+``similar`` and ``representatives`` take fingerprints as candidates only: what
+they join has an exact Jaccard similarity of shingle sets (up to collisions of
+64-bit hashes), found among the sets that candidates join, without a row for
+each pair.
 
 Inputs: null and empty texts have no words and the fingerprint zero; texts
 shorter than a shingle are one shingle; repeated rows share a class; rows that
-repeat a ``doc_id`` are one document; a null ``doc_id`` forms no links; an
-empty table gives an empty result.
+repeat a ``doc_id`` are one document in ``groups`` and ``similar``, and each a
+row of its own in ``representatives``; a null ``doc_id`` forms no links in
+``groups``, and its text is one of its group's in ``representatives``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +53,9 @@ BLOCK = 4096
 SMALL = 8
 #: Least hashes in a key of ``similar``.
 ROWS = 6
+#: Sets in a lot that is verified at once, and shingles beyond which what candidates join is verified in parts.
+LOT = 500
+LARGE = 2_000_000
 
 Table = tuple[int, ...]  # a mask for each 64-bit lane
 
@@ -297,110 +305,165 @@ def least_tables(similarity: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**ROWS))
 
 
-def sketches(docs: DataFrame, shingle: int, lanes: int, tables: int) -> DataFrame:
-    """``doc_id, f0 .., node, keys``: fingerprints over the different shingles of each text, what stands for their set, and its keys."""
+def sketches(rows: DataFrame, shingle: int, lanes: int, tables: int) -> DataFrame:
+    """Rows ``home, print, doc_id, text`` as ``home, print, doc_id, f0 .., node, size, keys``: fingerprints over the different shingles of each text, what stands for their set, their number, and the set's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", 1 << 20):
-                hashes, counts = _distinct(*_shingles([t or b"" for t in some.column(1).to_pylist()], shingle))
+                hashes, counts = _distinct(*_shingles([t or b"" for t in some.column(3).to_pylist()], shingle))
                 prints = [majority(hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), counts) for k in range(lanes)]
                 keys = least_hashes(hashes, counts, tables)[counts > 0].view(np.int64)  # no words, no keys
                 ends = np.concatenate([[0], np.cumsum((counts > 0) * tables)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(p.view(np.int64)) for p in prints), pa.array(_digests(hashes, counts)), lists], names=["doc_id", *(f"f{k}" for k in range(lanes)), "node", "keys"])
+                made = [*(pa.array(p.view(np.int64)) for p in prints), pa.array(_digests(hashes, counts)), pa.array(counts.astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], *made], names=["home", "print", "doc_id", *(f"f{k}" for k in range(lanes)), "node", "size", "keys"])
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", node long, keys array<long>")
+    return rows.mapInArrow(lean(run), "home long, print long, doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", node long, size long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, shingles``: the different shingle hashes of each text."""
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """Rows ``text, node, group`` as ``group, node, shingles``: the different shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", 1 << 20):
                 hashes, counts = _distinct(*_shingles([t or b"" for t in some.column(0).to_pylist()], shingle))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, counts)), lists], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([some.column(2), some.column(1), lists], names=["group", "node", "shingles"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "node long, shingles array<long>")
+    return rows.select("text", "node", "group").mapInArrow(lean(run), "group long, node long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` of nodes whose sets of shingles have this Jaccard similarity at least."""
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = classes.join(wanted, "node").select(F.col("least").alias("__id")).distinct()
-    texts = pick(docs, "doc_id", "text")
-    texts = texts.join(ids, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    sets = cut(shingle_sets(texts, shingle).groupBy("node").agg(F.first("shingles").alias("shingles")))
-    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"__{n}")) for n in "uv")
-    both = F.size(F.array_intersect("__u", "__v"))
-    return pairs.join(left, "u").join(right, "v").where(both / (F.size("__u") + F.size("__v") - both) >= similarity).select("u", "v")
+def joined(tokens: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """For each set of tokens the first set that it reaches over pairs of this Jaccard similarity.
 
-
-def _apart(lanes: int, radius: int):
-    """All pairs within the radius and of different labels in the buckets of which ``_compare`` shows a forest only."""
-
-    def batch(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-        none = np.zeros(0, dtype=np.int64)
-        a, b = ids[np.concatenate([none, *left])], ids[np.concatenate([none, *right])]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+    Sets of that similarity share one of their rarest tokens (as many as either
+    may lack of the other, and one), so only sets that do are compared.  A set
+    is compared with those not reached yet.
+    """
+    n = len(counts)
+    root = np.arange(n)
+    _, at, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    row, token = np.repeat(np.arange(n), counts), rank[at]
+    token = token[np.lexsort((token, row))]
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    first = counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(token)) - starts[row] < first[row]
+    order = np.argsort(token[early], kind="stable")
+    held = row[early][order]
+    where = np.concatenate([[0], np.cumsum(np.bincount(token[early], minlength=len(often)))])
+    member, left = np.zeros(len(often), dtype=bool), np.ones(n, dtype=bool)
+    shared = np.flatnonzero(np.diff(where) > 1)
+    alone = np.ones(n, dtype=bool)
+    alone[held[np.isin(token[early][order], shared)]] = False
+    left[alone] = False  # no token in common with any other
+    for seed in np.flatnonzero(~alone).tolist():
+        if not left[seed]:
+            continue
+        left[seed] = False
+        reached = [seed]
+        while reached:
+            x = reached.pop()
+            mine = token[starts[x] : starts[x + 1]]
+            near = np.concatenate([held[where[t] : where[t + 1]] for t in mine[: first[x]].tolist()])
+            near = np.unique(near[left[near]])
+            near = near[(counts[near] >= similarity * counts[x] - 1e-9) & (similarity * counts[near] - 1e-9 <= counts[x])]
+            if not len(near):
+                continue
+            member[mine] = True
+            sizes = counts[near]
+            ends = np.cumsum(sizes)
+            flat = np.arange(ends[-1]) + np.repeat(starts[near] - (ends - sizes), sizes)
+            both = np.add.reduceat(member[token[flat]].astype(np.int64), ends - sizes)
+            member[mine] = False
+            found = near[both / (sizes + counts[x] - both) >= similarity]
+            left[found] = False
+            root[found] = seed
+            reached += found.tolist()
+    return root
+
+
+def _verify(similarity: float):
+    """``u, v`` (u > v): what joins the nodes of a group whose sets have the similarity, directly or over others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key"], 200_000):
-            key, ids, label = (table.column(c).to_numpy() for c in ("key", "rep", "label"))
-            prints = np.stack([table.column(f"f{k}").to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            left, right, held = [], [], 0
-            for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                _, which, count = np.unique(label[at : at + n], return_inverse=True, return_counts=True)
-                common = which == count.argmax()
-                for i in np.flatnonzero(~common).tolist():
-                    others = np.flatnonzero((which != which[i]) & (common | (np.arange(n) > i)))
-                    found = others[within(prints[at + others] ^ prints[at + i], radius)] + at
-                    left.append(np.full(len(found), at + i))
-                    right.append(found)
-                    held += len(found)
-                    if held > 100_000:
-                        yield batch(ids, left, right)
-                        left, right, held = [], [], 0
-            yield batch(ids, left, right)
+        for lot in runs(batches, ["group"], LOT):
+            lists = lot.column("shingles").combine_chunks()
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            node, group = lot.column("node").to_numpy(), lot.column("group").to_numpy()
+            # a shingle counts for its own group only
+            tokens = lists.flatten().to_numpy().view(np.uint64) ^ mix64(np.repeat(group, counts).view(np.uint64))
+            root = joined(tokens, counts, similarity)
+            least = np.full(len(node), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, node)
+            u, v = node, least[root]
+            yield pa.RecordBatch.from_arrays([pa.array(u[u > v]), pa.array(v[u > v])], names=["u", "v"])
 
     return run
 
 
-def similar(docs: DataFrame, shingle: int, lanes: int, radius: int, recall: float, similarity: float) -> DataFrame:
-    """``doc_id, component_id`` for every row: documents whose sets of shingles have the Jaccard similarity, directly or over others, share a component.
+def _labels(rows: DataFrame, shingle: int, lanes: int, radius: int, recall: float, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(sketches of the rows, ``node, least, label`` of the different texts' sets): sets of one label are joined by the similarity.
 
-    Texts meet in tables of least hashes, those within the radius are candidates,
-    and each candidate is confirmed by its shingles.  A large bucket first shows a forest; a refused link of it may
-    have stood for others, so its pairs that are still in different components
-    are looked at one by one.
+    Sets meet in tables of least hashes, and those within the radius are
+    candidates.  A bucket shows a forest of them; what the forests join holds
+    every candidate pair, and inside it the similarity is exact.  Of large ones
+    the sets are dealt to parts, each two of which meet in a task.
     """
-    prints = [f"f{k}" for k in range(lanes)]
-    found = cut(sketches(docs, shingle, lanes, least_tables(similarity, recall)))
-    known = found.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f).alias(f) for f in [*prints, "keys"]])
-    classes = cut(known)
+    spark, prints = rows.sparkSession, [f"f{k}" for k in range(lanes)]
+    n = partitions(spark)
+    found = cut(sketches(rows, shingle, lanes, least_tables(similarity, recall)))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "home", "print")
+    classes = cut(found.groupBy("node").agg(F.min(least).alias("least"), *[F.first(c).alias(c) for c in [*prints, "size", "keys"]]))
+    placed = classes.select(F.explode("keys").alias("key"), F.col("node").alias("rep"), *prints).repartition(n, "key").sortWithinPartitions("key", "rep")
+    candidates = components(placed.mapInArrow(lean(_compare(lanes, radius)), "u long, v long").distinct())
+    labels = cut(candidates.unionByName(candidates.select(F.col("component").alias("u"), "component").distinct()))
+    members = cut(classes.select("node", "least", "size").join(labels.withColumnRenamed("component", "label"), F.col("node") == F.col("u")).drop("u"))
+    parts = members.groupBy("label").agg(F.ceil(F.sum("size") / F.lit(LARGE)).cast("int").alias("parts"))
+    some = members.join(parts, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
+    some = some.select(F.col("least.home").alias("__home"), F.col("least.print").alias("__print"), "node", group.alias("group"))
+    texts = rows.join(some, (F.col("home") == F.col("__home")) & (F.col("print") == F.col("__print")))
+    sets = shingle_sets(texts, shingle).dropDuplicates(["group", "node"]) if found.count() > classes.count() else shingle_sets(texts, shingle)
+    links = cut(sets.repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(lean(_verify(similarity)), "u long, v long"))
+    # a label in one part is joined there; over more parts links are joined once more
+    whole = parts.where("parts > 1").isEmpty()
+    joins = links.select("u", F.col("v").alias("component")) if whole else components(links)
+    label = F.coalesce("component", "node").alias("label")
+    return found, cut(classes.join(joins, F.col("node") == F.col("u"), "left").select("node", "least", label))
 
-    def placed(rows: DataFrame, *more: str) -> DataFrame:
-        each = rows.select(F.explode("keys").alias("key"), F.col("node").alias("rep"), *prints, *more)
-        return each.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "rep")
 
-    seen = cut(placed(classes).mapInArrow(lean(_compare(lanes, radius)), "u long, v long").distinct())
-    first = cut(confirmed(seen, docs, classes, shingle, similarity))
-    joined = cut(components(first))
-    label = F.coalesce("component", "node").alias("label")
-    split = classes.join(joined, classes.node == joined.u, "left").select("node", "keys", *prints, label)
-    unseen = cut(placed(split, "label").mapInArrow(lean(_apart(lanes, radius)), "u long, v long").distinct().join(seen, ["u", "v"], "left_anti"))
-    if not unseen.isEmpty():
-        joined = cut(components(first.unionByName(confirmed(unseen, docs, classes, shingle, similarity))))
-    labelled = cut(classes.join(joined, classes.node == joined.u, "left").select("node", "least", label))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+def _rows(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns with ``home, print``, which tell rows apart that are not equal in all of them, and ``doc_id, text`` as operators take them."""
+    rows = pick(docs, *columns)
+    rows = rows.select(*[F.col(c).alias(f"__{c}") for c in columns])
+    number = F.col("__doc_id").cast("long")
+    return rows.withColumns({"home": F.coalesce(number, F.lit(0).cast("long")), "print": F.xxhash64(*[x for c in columns for x in (F.col(f"__{c}").isNull(), F.col(f"__{c}"))]), "doc_id": number, "text": F.col("__text").cast("binary")})
+
+
+def similar(docs: DataFrame, shingle: int, lanes: int, radius: int, recall: float, similarity: float) -> DataFrame:
+    """``doc_id, component_id`` for every row: documents whose sets of shingles have the Jaccard similarity, directly or over others, share a component, the smallest id of it (a null id: null)."""
+    found, labelled = _labels(_rows(docs, ("doc_id", "text")).select("home", "print", "doc_id", "text"), shingle, lanes, radius, recall, similarity)
+    least = labelled.groupBy("label").agg(F.min("least")["doc_id"].alias("component_id"))
     return found.join(labelled.join(least, "label").select("node", "component_id"), "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, columns: tuple[str, ...], shingle: int, lanes: int, radius: int, recall: float, similarity: float) -> DataFrame:
+    """The columns of one row of each group that ``similar`` joins: that with the smallest id (null last; of equal rows any one)."""
+    rows = _rows(docs, columns)
+    found, labelled = _labels(rows.select("home", "print", "doc_id", "text"), shingle, lanes, radius, recall, similarity)
+    best = labelled.groupBy("label").agg(F.min("least").alias("best")).select(F.col("best.home").alias("__h"), F.col("best.print").alias("__p"))
+    again = found.groupBy("home", "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = rows.drop("doc_id", "text").join(best, (F.col("home") == F.col("__h")) & (F.col("print") == F.col("__p"))).drop("__h", "__p")
+    if not again.isEmpty():
+        both = ["home", "print"]
+        kept = kept.join(again.select(*both), both, "left_anti").unionByName(kept.join(again.select(*both), both, "left_semi").dropDuplicates(both))
+    return kept.select(*[F.col(f"__{c}").alias(c) for c in columns])
+
+
 def hexadecimal(lane) -> F.Column:
     """16 lowercase hex digits of a fingerprint's lane."""
     return F.lpad(F.lower(F.hex(lane)), 16, "0")
