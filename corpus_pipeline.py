@@ -27,31 +27,46 @@ PASSAGE, ANCHOR = 40, 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learnt language."""
+    """Documents in a learnt language.
+
+    Null texts and texts without a letter go; ids play no part, and equal rows
+    fare alike; without any language in the table all go.
+    """
     return langid.keep(pick(docs, *COLUMNS), langid.train(docs), LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate group."""
-    found = simhash.similar(docs, SHINGLE, LANES, RADIUS, RECALL, SIMILARITY)
-    extra = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return pick(docs, *COLUMNS).join(extra, F.col("doc_id") == F.col("__extra"), "left_anti")
+    """One document, that with the smallest id, of each near-duplicate group.
+
+    Null ids come after all others, of rows with one id and different texts each
+    counts for itself, and of equal rows one stays; null and empty texts are
+    copies of each other; an empty table stays empty.
+    """
+    return simhash.representatives(docs, COLUMNS, SHINGLE, LANES, RADIUS, RECALL, SIMILARITY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller id has; others unchanged."""
+    """Texts without the passages that a document with a smaller id has; others unchanged.
+
+    Null texts stay null; a row with a null id neither loses words nor makes
+    others lose any; rows that share an id do not count as each other's repeats.
+    """
     kept = substring.remove_repeats(docs, PASSAGE, ANCHOR, keep=("text", "lang", "source", "n_chars"))
     text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     return kept.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by target weight; a document served twice is there twice."""
+    """Sources by target weight; a document served twice is there twice.
+
+    Null texts and texts without a word are not served; a null source is one of
+    its own; equal rows count each for itself.
+    """
     return mixing.mixed(pick(docs, *COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null text counts as empty, and each row is packed for itself."""
     return packing.pack(docs, tokenizer_path())
 
 
