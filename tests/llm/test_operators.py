@@ -267,6 +267,43 @@ def test_substring_odd_rows(spark, window, gram):
     assert substring.remove_repeats(docs.limit(0), window, gram).count() == 0
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    """Words of 2 ** n letters whose polynomial hashes modulo 2 ** 64 agree, whatever the base, once n is 10 or more."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x
+
+
+def removed(spark, rows, window=13, gram=5):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in substring.remove_repeats(df, window, gram).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(got, key=key) == sorted(brute_removed(rows, window), key=key)
+    return got
+
+
+def test_substring_tells_colliding_words_apart(spark):
+    words = [f"v{i}" for i in range(12)]
+    with_word = lambda w: " ".join([*words[:6], w, *words[6:]])
+    for n in (10, 12):
+        got = removed(spark, [(0, with_word("other")), (1, with_word(thue_morse(n, "a", "b"))), (2, with_word(thue_morse(n, "b", "a"))), (3, with_word(thue_morse(n, "a", "b")))])
+        assert {r[0]: r[2] for r in got} == {0: 0, 1: 0, 2: 0, 3: 13}
+
+
+def test_substring_hot_anchors(spark, monkeypatch):
+    """Passages of very many documents, whole and as part of others, and rows that share an id."""
+    import random
+
+    monkeypatch.setattr(substring, "HOT", 3)
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    common = fresh(40)
+    rows = [(i, f"{fresh(i % 5)} {common} {fresh(3)}") for i in range(40)] + [(i, common) for i in range(40, 50)] + [(7, f"{common} {fresh(9)}"), (None, common)]
+    removed(spark, rows)
+    removed(spark, [(i % 6, t) for i, (_, t) in enumerate(rows)])
+
+
 def test_substring_small_lots(spark, texts, monkeypatch):
     import pyarrow as pa
 
@@ -278,7 +315,8 @@ def test_substring_small_lots(spark, texts, monkeypatch):
     for p in pairs:
         docs_of[p["anchor"]].add(p["doc_id"])
     lists = [[p["anchor"] for p in pairs if p["doc_id"] == i and len(docs_of[p["anchor"]]) > 1] for i, _ in rows]
-    some = batch.append_column("anchors", pa.array(lists, pa.list_(pa.int64())))
+    none, tags = pa.array([[]] * len(rows), pa.list_(pa.int64())), pa.array(range(len(rows)), pa.int64())
+    some = batch.append_column("tag", tags).append_column("anchors", pa.array(lists, pa.list_(pa.int64()))).append_column("hot", none)
     found = pa.Table.from_batches(list(substring._passages(13, 5)(iter([some])))).group_by(["anchor", "print", "words"]).aggregate([("least", "min"), ("most", "max")]).rename_columns(["anchor", "print", "words", "least", "most"]).sort_by("anchor")
     owners = [o for b in substring._locate(13)(iter(found.to_batches(max_chunksize=11))) for o in b.to_pylist()]
     assert len(owners) > 10 and all(any(x is not None for x in o["owners"]) for o in owners)
@@ -310,6 +348,20 @@ def test_mixed_rows(spark):
     rows = mixing.mixed(pick(docs, "doc_id", "text", "lang", "source", "n_chars")).collect()
     assert sum(len(WORD.findall(r["text"])) for r in rows) == taken
     assert mixing.mixed(pick(docs, "doc_id", "text", "source").limit(0)).count() == 0
+    assert mixing.mixed(docs.drop("size")).columns == docs.drop("size").columns
+
+
+def test_mixed_reruns_agree(spark):
+    """Rows that share id, source and size but not the text, in any partitioning; equal rows each for itself."""
+    rows = [(1, f"w{i} x y", "s", i) for i in range(12)] + [(2, "a b c", "t", 0)] * 5 + [(None, f"q{i}", "s", 0) for i in range(6)]
+    runs = []
+    for order, n in ((rows, 1), (rows[::-1], 3)):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, __n int").repartition(n)
+        runs.append(sorted((str(r["doc_id"]), r["text"], r["source"], r["__n"]) for r in mixing.mixed(df).collect()))
+        shares = mixing.shares(df).collect()
+        assert sum(len(t.split()) for _, t, _, _ in runs[-1]) == sum(r["taken"] for r in shares)
+        assert sum(r["taken"] for r in shares if r["doc_id"] == 2) == sum(3 for i, *_ in runs[-1] if i == "2")
+    assert runs[0] == runs[1]
 
 
 def test_mixing_offsets_have_no_gaps(spark):
@@ -437,6 +489,38 @@ def test_forest_joins_what_the_radius_joins(n):
     assert len(left) < n and [root(i) for i in range(n)] == [label[i] for i in range(n)]
 
 
+def test_large_buckets_are_cut_without_loss(monkeypatch):
+    """One bucket of 6,000 classes that share half of their bits: its links join what all pairs join, with far fewer comparisons."""
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 2**32, 6000, dtype=np.uint64)
+    for k in range(1, 3000, 2):
+        prints[k] = prints[k - 1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(32, k % 7, replace=False)))
+    compared = []
+    plain = simhash.within
+    monkeypatch.setattr(simhash, "within", lambda x, radius: (compared.append(len(x)), plain(x, radius))[1])
+    a, b = simhash._in_buckets(prints[:, None], np.zeros(6000, np.int64), 4)
+    assert sum(compared) < 6000 * 6000 / 20
+    i, j = np.triu_indices(6000, 1)
+    near = np.bitwise_count(prints[i] ^ prints[j]) <= 4
+    assert (np.bitwise_count(prints[a] ^ prints[b]) <= 4).all()
+
+    def labels(links):
+        mine = list(range(6000))
+
+        def root(x):
+            while mine[x] != x:
+                mine[x] = mine[mine[x]]
+                x = mine[x]
+            return x
+
+        for x, y in links:
+            x, y = root(x), root(y)
+            mine[max(x, y)] = min(x, y)
+        return [root(x) for x in range(6000)]
+
+    assert labels(zip(a.tolist(), b.tolist(), strict=True)) == labels(zip(i[near].tolist(), j[near].tolist(), strict=True))
+
+
 @pytest.mark.parametrize(("lanes", "radius"), [(1, 4), (1, 0), (2, 25), (4, 50)])
 def test_bit_sliced_distances(lanes, radius):
     rng = np.random.default_rng(3)
@@ -488,6 +572,54 @@ def test_restoration():
     assert toxicity.restore(plain, model, {}) == plain
 
 
+def _char_model(seed: int = 0) -> toxicity.CharModel:
+    return toxicity.CharModel(np.random.default_rng(seed).integers(0, 40, 28**3))
+
+
+def test_decoding_against_all_readings():
+    """The likeliest of all readings of short strings, found by trying each."""
+    import itertools
+    import random
+
+    model, rng = _char_model(), random.Random(4)
+
+    def readings(noisy: str):
+        parts = []
+        for c, run in itertools.groupby(noisy):
+            n, options = len(list(run)), []
+            if c.isalpha():
+                options = [(c, 0.0 if n == 1 else toxicity.COST_REPEAT)] + ([(c * 2, 0.0 if n == 2 else toxicity.COST_REPEAT)] if n > 1 else [])
+            else:
+                options = [(x * k, toxicity.COST_LEET * k) for x in toxicity.LEET.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
+                if c in toxicity.DROPPED or not options:
+                    options.append(("", toxicity.COST_DROP if c in toxicity.DROPPED else 2 * toxicity.COST_LEET))
+            parts.append(options)
+        for chosen in itertools.product(*parts):
+            text = "".join(x for x, _ in chosen)
+            code = [0, 0, *map(toxicity.symbol_of, text), 0]
+            yield sum(c for _, c in chosen) + sum(model.log[a][b][c] for a, b, c in zip(code, code[1:], code[2:], strict=False)), text
+
+    for _ in range(300):
+        noisy = "".join(rng.choice("abcdeéz" * 3 + "0113.-_#²") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 9)))
+        scores = {}
+        for s, t in readings(noisy):
+            scores[t] = max(s, scores.get(t, -1e9))
+        assert scores[model.decode(noisy)] >= max(scores.values()) - 1e-9, noisy
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "acgt", "abcdefghijklmnopqrstuvwxyz0123456789+/", "a"])
+def test_restoration_is_linear(alphabet):
+    """A megabyte without a space, as a whole and as one stretch among words."""
+    import random
+    import time
+
+    rng, model = random.Random(1), _char_model()
+    text = "you 1d10t " + "".join(rng.choices(alphabet, k=1 << 20)) + " aaa"
+    began = time.process_time()
+    toxicity.restore(text, model, {})
+    assert time.process_time() - began < 12
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (6, None, 1), (7, 3, 1), (9, 0, 1)], "doc_id long, toxic int, quality int")

@@ -7,29 +7,35 @@ a document with a smaller id is a repeat, and all words it covers go.
    windows have equal anchors, and only about 2 in ``window - gram`` n-grams
    are one.  Anchors in two documents or more are counted; only the stretches
    around those go further.
-2. *Passages.* The windows of one anchor make up a stretch of words.  Equal
-   stretches of a batch of documents are one row, with its least and greatest
-   document.
+2. *Passages.* The windows of one anchor make up a stretch of words, or, where
+   an anchor is in over ``HOT`` documents, are stretches of their own.  A
+   stretch is known by a 128-bit BLAKE2 digest of its words; equal ones of a
+   batch of documents are one row, with its least and greatest document.
 3. *Automata.* Stretches are dealt to shards by anchor.  A shard confirms
    what recurs across documents, word by word: an anchor's only stretch as a
    whole, windows where an anchor has several.  It compiles that to an
    Aho-Corasick automaton (a word is a symbol) valued with the first document,
    and streams its stretches through it to locate each occurrence.
-4. *Documents.* Where an occurrence's first document is smaller than the
-   document, its windows' words are removed.
+4. *Documents.* Each place of a stretch in a document gets the occurrences
+   located in the stretch; where an occurrence's first document is smaller,
+   its windows' words are removed.
 
 A shard works through its anchors in bounded lots.  The documents are
-shuffled once; the three passes over them share that exchange.
+shuffled once; the three passes over them share that exchange.  The automata
+see each different stretch once, not each document: a passage of a million
+documents is streamed once, and its places are joined.
 
 Inputs: null and empty texts have no words; a document of fewer words than a
 window keeps them all; a null ``doc_id`` neither loses words nor makes others
 lose any; rows that repeat a ``doc_id`` aren't repeats of each other; words
-are compared byte by byte; an empty table gives an empty result.
+are told apart by their bytes, whatever their length; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,24 +44,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean, partitions, pick, runs
-from .textkernel import _BASE, _POWERS, Words, chunks, gram_hashes, mix64, words_of
+from .textkernel import _BASE, Words, chunks, gram_hashes, mix64, words_of
 
 WINDOW = 13
 GRAM = 5
 #: Words of a shard's lot, about: its automaton stays within a processor's cache.
 LOT = 40_000
 CHUNK = 2 << 20
+#: Documents beyond which an anchor's windows are dealt each by its own words.
+HOT = 2_000
 
 
 class Stretches:
-    """The stretches of a batch: ``begin``/``windows`` (word index, number of windows), ``anchor`` and ``print`` (64-bit hashes)."""
+    """The stretches of a batch: ``row``, ``begin``/``windows`` (word index, number of windows) and ``anchor`` (a 64-bit hash)."""
 
     def __init__(self, words: Words, window: int, gram: int) -> None:
         hashes = words.hashes()
         n = len(hashes) - window + 1
         empty = np.empty(0, dtype=np.int64)
         self.row = self.begin = self.windows = empty
-        self.anchor = self.print = np.empty(0, dtype=np.uint64)
+        self.anchor = np.empty(0, dtype=np.uint64)
         if n <= 0:
             return
         grams = gram_hashes(hashes, gram)
@@ -76,11 +84,6 @@ class Stretches:
         self.windows = np.diff(np.append(at, len(whole)))
         self.row = rows[self.begin]
         self.anchor = least[self.begin]
-        end = self.begin + self.windows + window - 1
-        up, down = _POWERS.get(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        self.print = mix64((total[end] - total[self.begin]) * down[self.begin] + self.windows.astype(np.uint64) * _BASE)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -104,17 +107,46 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _recurring(some: pa.RecordBatch, window: int, gram: int) -> tuple[np.ndarray, Words, Stretches, np.ndarray]:
-    """The ids, words and stretches of a batch's named rows, and which of the stretches have a recurring anchor of their row."""
-    some = some.filter(some.column(0).is_valid())
-    words = words_of(some.column(1))
-    found = Stretches(words, window, gram)
-    lists = some.column("anchors")
-    values, offsets = lists.flatten().to_numpy().view(np.uint64), np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
-    owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
-    # (row, anchor) pairs as one sorted key; a hash of the pair is enough, for shards confirm by words
-    pair = lambda row, anchor: mix64(anchor ^ (row.astype(np.uint64) * _BASE))
-    return some.column(0).to_numpy(), words, found, np.flatnonzero(np.isin(pair(found.row, found.anchor), pair(owner, values)))
+class Recurring:
+    """The stretches of a batch's named rows with a recurring anchor of their row, in order of anchor, digest and document."""
+
+    def __init__(self, some: pa.RecordBatch, window: int, gram: int) -> None:
+        some = some.filter(some.column(0).is_valid())
+        words = words_of(some.column(1))
+        found = Stretches(words, window, gram)
+        kept = np.flatnonzero(np.isin(self._pair(found.row, found.anchor), self._listed(some.column("anchors"))))
+        row, begin, windows, anchor = (x[kept] for x in (found.row, found.begin, found.windows, found.anchor))
+        hot = np.isin(self._pair(row, anchor), self._listed(some.column("hot")))
+        if hot.any():
+            sizes = windows[hot]
+            ends = np.cumsum(sizes)
+            single = np.arange(ends[-1]) + np.repeat(begin[hot] - (ends - sizes), sizes)
+            own = np.repeat(anchor[hot], sizes) ^ gram_hashes(words.hashes(), window)[single]
+            row, begin = np.append(row[~hot], np.repeat(row[hot], sizes)), np.append(begin[~hot], single)
+            windows, anchor = np.append(windows[~hot], np.ones(len(single), np.int64)), np.append(anchor[~hot], own)
+        data, last = words.raw.tobytes(), begin + windows + window - 2
+        texts = [b" ".join(data[a:b].split()) for a, b in zip(words.start[begin].tolist(), words.end[last].tolist(), strict=True)]
+        digests = b"".join([blake2b(t, digest_size=16).digest() for t in texts])
+        halves = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
+        ids = some.column(0).to_numpy()[row]
+        order = np.lexsort((ids, halves[:, 1], halves[:, 0], anchor))
+        self.anchor, self.ids = anchor[order], ids[order]
+        self.tags, self.begin = some.column("tag").to_numpy()[row][order], (begin - words.first[row])[order]
+        halves = halves[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)
+        self.first = np.flatnonzero(new)
+        self.print = [digests[16 * i : 16 * i + 16] for i in order[self.first].tolist()]
+        self.texts = [texts[i] for i in order[self.first].tolist()]
+
+    @staticmethod
+    def _pair(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        # a hash of the pair is enough, for shards confirm by words
+        return mix64(anchor ^ (row.astype(np.uint64) * _BASE))
+
+    def _listed(self, lists: pa.Array) -> np.ndarray:
+        offsets = np.asarray(lists.offsets)
+        return self._pair(np.repeat(np.arange(len(lists)), np.diff(offsets)), lists.flatten().to_numpy().view(np.uint64))
 
 
 def _passages(window: int, gram: int):
@@ -123,42 +155,25 @@ def _passages(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", CHUNK):
-                ids, words, found, kept = _recurring(some, window, gram)
-                if not len(kept):
-                    continue
-                ids = ids[found.row[kept]]
-                order = np.lexsort((ids, found.print[kept], found.anchor[kept]))
-                at, ids = kept[order], ids[order]
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = (found.print[at][1:] != found.print[at][:-1]) | (found.anchor[at][1:] != found.anchor[at][:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(at)) - 1
-                data, begin = words.raw.tobytes(), found.begin[at[first]]
-                end = begin + found.windows[at[first]] + window - 2
-                texts = [b" ".join(data[a:b].split()) for a, b in zip(words.start[begin].tolist(), words.end[end].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([_signed(found.anchor[at[first]]), _signed(found.print[at[first]]), pa.array(texts, pa.binary()), pa.array(ids[first]), pa.array(ids[last])], names=["anchor", "print", "words", "least", "most"])
+                found = Recurring(some, window, gram)
+                if len(found.first):
+                    last = np.append(found.first[1:], len(found.ids)) - 1
+                    yield pa.RecordBatch.from_arrays([_signed(found.anchor[found.first]), pa.array(found.print, pa.binary()), pa.array(found.texts, pa.binary()), pa.array(found.ids[found.first]), pa.array(found.ids[last])], names=["anchor", "print", "words", "least", "most"])
 
     return run
 
 
 def _places(window: int, gram: int):
-    """(anchor, print, documents) of recurring stretches, equal ones of a batch once."""
+    """(anchor, print, places) of recurring stretches, equal ones of a batch once; a place is a document, its text's tag and a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", CHUNK):
-                ids, _, found, kept = _recurring(some, window, gram)
-                ids = ids[found.row[kept]]
-                order = np.lexsort((ids, found.print[kept], found.anchor[kept]))
-                at, ids = kept[order], ids[order]
-                other = np.ones(len(at), dtype=bool)
-                other[1:] = (found.print[at][1:] != found.print[at][:-1]) | (found.anchor[at][1:] != found.anchor[at][:-1])
-                new = other.copy()
-                new[1:] |= ids[1:] != ids[:-1]
-                at, ids, other = at[new], ids[new], other[new]
-                first = np.flatnonzero(other)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([_signed(found.anchor[at[first]]), _signed(found.print[at[first]]), lists], names=["anchor", "print", "docs"])
+                found = Recurring(some, window, gram)
+                if len(found.first):
+                    places = pa.StructArray.from_arrays([pa.array(found.ids), pa.array(found.tags), pa.array(found.begin.astype(np.int32))], names=["of", "tag", "begin"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(found.first, len(found.ids)), pa.int32()), places)
+                    yield pa.RecordBatch.from_arrays([_signed(found.anchor[found.first]), pa.array(found.print, pa.binary()), lists], names=["anchor", "print", "places"])
 
     return run
 
@@ -224,23 +239,14 @@ def _remove(window: int, gram: int, keep: tuple[str, ...]):
                 words = words_of(some.column(1))
                 cover = np.zeros(len(words) + 1, dtype=np.int32)
                 marks = some.column("marks")
-                marked = np.flatnonzero(np.asarray(pc.and_(marks.is_valid(), some.column(0).is_valid())))
-                if len(marked):
-                    found = Stretches(words, window, gram)
-                    flat = marks.flatten()
-                    lengths = np.diff(np.asarray(marks.offsets))
-                    lengths[np.asarray(marks.is_null())] = 0
+                if marks.null_count < len(marks):
+                    flat, lengths = marks.flatten(), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)
                     owner = np.repeat(np.arange(len(marks)), lengths)
-                    pair = lambda row, anchor, mark: mix64(mix64(anchor ^ (row.astype(np.uint64) * _BASE)) ^ mark)
-                    theirs = pair(owner, flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy().view(np.uint64))
-                    bits = flat.field(2).to_numpy().view(np.uint64)
-                    order = np.argsort(theirs)
-                    theirs, bits = theirs[order], bits[order]
-                    ours = pair(found.row, found.anchor, found.print)
-                    at = np.minimum(np.searchsorted(theirs, ours), len(theirs) - 1)
-                    hit = np.flatnonzero((theirs[at] == ours) & np.asarray(some.column(0).is_valid())[found.row])
+                    # of rows that share an id each has its own marks
+                    mine = flat.field(0).to_numpy() == some.column("tag").to_numpy()[owner]
+                    at, bits = (words.first[owner] + flat.field(1).to_numpy())[mine], flat.field(2).to_numpy().view(np.uint64)[mine]
                     for k in range(window - gram + 1):
-                        begin = found.begin[hit[(bits[at[hit]] >> np.uint64(k)) & np.uint64(1) == 1]] + k
+                        begin = at[(bits >> np.uint64(k)) & np.uint64(1) == 1] + k
                         np.add.at(cover, begin, 1)
                         np.add.at(cover, begin + window, -1)
                 gone = np.cumsum(cover)[:-1] > 0
@@ -275,26 +281,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     rows = pick(docs, doc_id=id_col, text=text_col, **dict(zip(carried, keep, strict=True)))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
     # rows without an id are dealt by their text; the column is never null, so that all uses of the exchange are alike
-    dealt = rows.withColumn("home", F.coalesce("doc_id", F.xxhash64("text"))).repartition(n, "home")
+    tagged = rows.withColumn("tag", F.xxhash64("text"))
+    dealt = tagged.withColumn("home", F.coalesce("doc_id", "tag")).repartition(n, "home")
 
     named = rows.where("doc_id is not null").select("doc_id", "text")
     anchors = named.mapInArrow(lean(_anchors(window, gram)), "anchor long, doc_id long").repartition(n, "anchor")
-    often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    lists = cut(anchors.join(often, "anchor").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("anchor").alias("anchors")))
+    often = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("anchor", (F.col("n") > HOT).alias("hot"))
+    both = anchors.join(often, "anchor").groupBy(F.col("doc_id").alias("of"))
+    lists = cut(both.agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
 
-    candidates = dealt.join(lists.hint("shuffle_hash"), F.col("home") == F.col("of")).select("doc_id", "text", "anchors", *carried)
-    passages = candidates.mapInArrow(lean(_passages(window, gram)), "anchor long, print long, words binary, least long, most long")
+    candidates = dealt.join(lists.hint("shuffle_hash"), F.col("home") == F.col("of")).select("doc_id", "text", "tag", "anchors", "hot", *carried)
+    passages = candidates.mapInArrow(lean(_passages(window, gram)), "anchor long, print binary, words binary, least long, most long")
     passages = passages.repartition(n, "anchor").groupBy("anchor", "print", "words").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    owners = passages.sortWithinPartitions("anchor").mapInArrow(lean(_locate(window)), "anchor long, print long, owners array<long>")
-    places = candidates.mapInArrow(lean(_places(window, gram)), "anchor long, print long, docs array<long>")
-    hits = places.join(owners, ["anchor", "print"]).select("anchor", "print", "owners", F.explode("docs").alias("doc_id"))
+    owners = passages.sortWithinPartitions("anchor").mapInArrow(lean(_locate(window)), "anchor long, print binary, owners array<long>")
+    places = candidates.mapInArrow(lean(_places(window, gram)), "anchor long, print binary, places array<struct<of:long,tag:long,begin:int>>")
+    hits = places.join(owners, ["anchor", "print"]).select("owners", F.explode("places").alias("place")).select("owners", "place.*")
     bits = F.aggregate(
-        F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+        F.transform("owners", lambda o, i: F.when(o < F.col("of"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"),
         lambda a, b: a.bitwiseOR(b),
     )
-    marks = hits.select(F.col("doc_id").alias("of"), "anchor", "print", bits.alias("bits")).where("bits <> 0").groupBy("of").agg(F.collect_list(F.struct("anchor", "print", "bits")).alias("marks"))
-    joined = dealt.join(marks, F.col("home") == F.col("of"), "left").select("doc_id", "text", "marks", *carried)
+    marks = hits.select("of", "tag", "begin", bits.alias("bits")).where("bits <> 0").groupBy("of").agg(F.collect_list(F.struct("tag", "begin", "bits")).alias("marks"))
+    joined = dealt.join(marks, F.col("home") == F.col("of"), "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("marks")).alias("marks"), "tag", *carried)
     extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     done = joined.mapInArrow(lean(_remove(window, gram, tuple(carried))), "doc_id long, n_words long, n_removed long, kept binary" + extra)
     return done.select("doc_id", "n_words", "n_removed", "kept", *[F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)])
