@@ -6,13 +6,13 @@ as the output of a channel: each character comes from one of a few letters, or
 from nothing, and a run of one letter from one or two of it.  Viterbi decoding
 finds the likeliest letters under a character trigram model, whose counts
 cover all documents.  The restored words take the stretch's place, and a
-logistic regression scores the text by how often selected features occur -
-whole words and word beginnings of 4 to 8 bytes - and by whether any feature of
-the *lexicon* does: those that are toxic in nearly every labelled document.
+logistic regression scores the text by how often features occur - whole words
+and word beginnings of 4 to 8 bytes that differ from chance in their share of
+toxic documents - and by whether any feature of the *lexicon* does: those that
+are toxic in nearly every labelled document.
 
 Labels are learnt from a bounded sample (about ``labelled`` rows, chosen by the
-ids' hashes) and a bounded number of features (``width``); the model is of
-bounded size.
+ids' hashes), which bounds the model.
 
 Inputs: null and empty texts score as texts without any feature; labels that
 are null or neither 0 nor 1 are left out; if one class has no labels, all
@@ -37,8 +37,8 @@ from .common import lean, pick, share_of
 from .textkernel import _BASE, _BYTE_CODE, _POWERS, Words, chunks, mix64, utf8
 
 LABELLED = 20_000
-FEATURES = 1500
-LEAST_DOCS = 5
+#: A feature is kept if Wilson's interval of this many standard errors for its share of toxic documents leaves out the share of all.
+KEPT_Z = 3.3
 PREFIXES = (4, 5, 6, 7, 8)
 #: The lexicon: features whose share of toxic documents is this at least (lower end of Wilson's 95 % interval), and the size of its input.
 SURE, SURE_INPUT = 0.9, 4.0
@@ -63,7 +63,10 @@ BETWEEN[[ord(c) for c in DROPPED]] = True
 
 _SPACED = re.compile(r"(?<![^\W_])[a-z](?:[ .\-_*'~^][a-z](?![^\W_])){3,}")
 _LEETED = re.compile(r"(?<!\S)\S*(?:[^\W\d_][0-9@$!|+(*]+[^\W\d_]|(?<!\S)[0-9@$!|+(*]+[^\W\d_]{2})\S*")
-_REPEATED = re.compile(r"[^\W\d_]*?([a-z])\1\1[^\W\d_]*")
+_REPEATED = re.compile(r"([a-z])\1\1+")
+_LETTERS = re.compile(r"[^\W\d_]*")
+#: What the channel may have changed: a repeated character, or anything but a letter.
+_UNCLEAR = re.compile(r"([^\W\d_])\1+|[\W\d_]")
 
 SYMBOLS = 28  # end of word, a to z, any other letter
 
@@ -83,8 +86,32 @@ class CharModel:
         self.log = np.log((cube + 20 * double) / (cube.sum(axis=2, keepdims=True) + 20)).tolist()
 
     def decode(self, noisy: str) -> str:
-        """The likeliest letters behind the noisy characters."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The likeliest letters behind the noisy characters.
+
+        Two plain letters in a row leave the trigram model in one state, so
+        what stands between two such pairs is decoded for itself: the result is
+        that of one pass, and the work grows with the unclear characters.
+        """
+        plain = _UNCLEAR.sub("", noisy)
+        if plain and not plain.isalpha():  # numbers that are neither letters nor digits
+            return self._path(noisy, (0, 0), True)
+        spots = [m.span() for m in _UNCLEAR.finditer(noisy)]
+        out, at, i = [], 0, 0
+        while i < len(spots):
+            start, end = spots[i]
+            while i + 1 < len(spots) and spots[i + 1][0] - end < 2:
+                i += 1
+                end = spots[i][1]
+            i += 1
+            stop = min(len(noisy), end + 2)
+            before = [0, 0, *map(symbol_of, noisy[max(0, start - 2) : start])][-2:]
+            out += [noisy[at:start], self._path(noisy[start:stop], (before[0], before[1]), stop < end + 2)]
+            at = stop
+        return "".join([*out, noisy[at:]])
+
+    def _path(self, noisy: str, state: tuple[int, int], last: bool) -> str:
+        """Viterbi from a known state; ``last``: a word's border follows.  A step keeps a link to the one before."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {state: (0.0, None)}
         i = 0
         while i < len(noisy):
             c, n = noisy[i], 1
@@ -98,8 +125,8 @@ class CharModel:
                     options += [(letter * k, COST_LEET * k) for k in ((1, 2) if n > 1 else (1,))]
                 if c in DROPPED or not options:
                     options.append(("", COST_DROP if c in DROPPED else 2 * COST_LEET))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
                 for letters, cost in options:
                     x, y, s = a, b, score + cost
                     for letter in letters:
@@ -107,9 +134,14 @@ class CharModel:
                         s += self.log[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = s, text + letters
+                        after[x, y] = s, (path, letters)
             best, i = after, i + n
-        return max(((s + self.log[a][b][0], text) for (a, b), (s, text) in best.items()))[1]
+        path = max(((s + (self.log[a][b][0] if last else 0.0), path) for (a, b), (s, path) in best.items()), key=lambda x: x[0])[1]
+        letters = []
+        while path:
+            path, one = path
+            letters.append(one)
+        return "".join(reversed(letters))
 
 
 def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -127,17 +159,30 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(total[offsets]) > 0)
 
 
-def restore(text: str, model: CharModel, cache: dict[str, str]) -> str:
-    """The lower-case text with its obfuscated stretches decoded."""
+def _spell(noisy: str, model: CharModel, cache: dict[str, str]) -> str:
+    if len(noisy) > 64:
+        return model.decode(noisy)
+    found = cache.get(noisy)
+    if found is None:
+        found = cache[noisy] = model.decode(noisy)
+    return found
 
-    def swap(match: re.Match) -> str:
-        noisy = match.group()
-        found = cache.get(noisy)
-        if found is None:
-            found = cache[noisy] = model.decode(noisy)
-        return f" {found} "
 
-    return _REPEATED.sub(swap, _LEETED.sub(swap, _SPACED.sub(swap, text)))
+def restore(text: str, model: CharModel, cache: dict[str, str]) -> str:
+    """The lower-case text with its obfuscated stretches decoded; the work grows with the text's length."""
+    swap = lambda match: f" {_spell(match.group(), model, cache)} "
+    text = _LEETED.sub(swap, _SPACED.sub(swap, text))
+    out, at = [], 0
+    for match in _REPEATED.finditer(text):
+        if match.start() < at:
+            continue  # in the word before
+        start = match.start()
+        while start > at and text[start - 1].isalpha():
+            start -= 1
+        end = _LETTERS.match(text, match.end()).end()
+        out += [text[at:start], " ", _spell(text[start:end], model, cache), " "]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def restored(texts: pa.Array, model: CharModel, cache: dict[str, str]) -> pa.Array:
@@ -250,7 +295,7 @@ def wilson(hits: int, n: int, z: float = 1.96) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", corpus: DataFrame | None = None, labelled: int = LABELLED, width: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", corpus: DataFrame | None = None, labelled: int = LABELLED) -> Model:
     """A model from the labels of ``docs``; ``corpus`` (default: ``docs``) is what the character model counts."""
     spark = docs.sparkSession
     chars = CharModel(char_counts(docs if corpus is None else corpus, text_col))
@@ -280,9 +325,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     if share in (0.0, 1.0):
         return Model(chars, np.empty(0, np.uint64), np.empty(0, bool), np.empty(0), 30.0 if share else -30.0)
-    counted = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(lean(count), "feature long, ones long, alls long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls")).where(F.col("alls") >= LEAST_DOCS)
-    surplus = (F.col("ones") - F.col("alls") * share) / F.sqrt(F.col("alls") * share * (1 - share))
-    top = counted.select("feature", "ones", "alls", surplus.alias("z")).orderBy(F.desc(F.abs("z")), "feature").limit(width).collect()
+    counted = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(lean(count), "feature long, ones long, alls long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("alls").alias("alls"))
+    n, p, z2 = F.col("alls"), F.col("ones") / F.col("alls"), KEPT_Z**2
+    apart = F.abs(p + z2 / (2 * n) - share * (1 + z2 / n)) > KEPT_Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
+    top = counted.where(apart).select("feature", "ones", "alls").collect()  # features of about ``labelled`` documents at most
     found = np.array([r["feature"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
     hashes, sure = found[order], np.array([wilson(r["ones"], r["alls"]) >= SURE for r in top], dtype=bool)[order]
