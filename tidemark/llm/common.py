@@ -31,6 +31,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
+def place(have: list[str], name: str) -> int:
+    """Where a column is: by exact name first, then without regard to case."""
+    where = [i for i, c in enumerate(have) if c == name] or [i for i, c in enumerate(have) if c.lower() == name.lower()]
+    if not where:
+        raise ValueError(f"no column {name!r} among {have}")
+    return where[0]
+
+
 def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """The named columns only, found by exact name first and then without regard to case.
 
@@ -40,13 +48,7 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     prepare(df.sparkSession)
     have = df.columns
     safe = df.toDF(*[f"__c{i}" for i in range(len(have))])
-    out = []
-    for new, old in [*((n, n) for n in names), *renamed.items()]:
-        where = [i for i, c in enumerate(have) if c == old] or [i for i, c in enumerate(have) if c.lower() == old.lower()]
-        if not where:
-            raise ValueError(f"no column {old!r} among {have}")
-        out.append(F.col(f"__c{where[0]}").alias(new))
-    return safe.select(*out)
+    return safe.select(*[F.col(f"__c{place(have, old)}").alias(new) for new, old in [*((n, n) for n in names), *renamed.items()]])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, pick, prepare, share_of
+from .common import cut, lean, pick, place, prepare, share_of
 from .textkernel import _BASE, Words, chunks, mix64, utf8
 
 PER_LANG = 2000
@@ -233,7 +233,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    at = names.index(text_col) if text_col in names else [c.lower() for c in names].index(text_col.lower())
+    at = place(names, text_col)
     safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

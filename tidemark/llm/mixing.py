@@ -2,31 +2,40 @@
 
 A source's documents are shuffled by hash and served one after the other, then
 once more.  A served document's *virtual finish time* is the words its source
-has served by its end, divided by the source's target; every source reaches
-its target at virtual time 1.  The served documents are sorted by that time
-over all sources (in ranges of virtual time, so no task sorts them all), and
-the mix is cut where the total budget is used up: at virtual time 1 a source
-is in the middle of one document at most, of which the words served so far
-are taken.
+has served by its end, divided by the source's target; a source reaches its
+target at virtual time 1, and a document that is being served then is two
+packets, up to that word and from it on.  All packets are sorted by finish
+time over all sources (in ranges of virtual time, so no task sorts them all),
+and the running total of words over the sorted ranges decides what is taken:
+the mix ends where the budget, all targets' whole words, is used up.
 
 Targets share ``budget`` x all words by weight; none exceeds ``repeats`` times
 its source's words, and the excess goes to the others by weight.
 
 Inputs: a null text has size 0 and is never served; a null source is a source
-of its own, last in order; rows with equal ids and texts count each for
-itself; an empty table gives an empty mix.
+of its own, last in order; null ids are shuffled by their texts; rows with
+equal ids and texts count each for itself; which of them is served first makes
+no difference, so reruns agree; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, size_of
+from .common import WORD, cut, pick, place, prepare, size_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 REPEATS = 2
+#: Rows of a shuffle bucket and of a range of virtual time, about: their numbers grow with the table.
+BUCKET_ROWS, RANGE_ROWS, RANGES = 4096, 20_000, 1024
+
+#: What tells a scheduled row apart.
+ROW = ("__s", "__bucket", "__n")
+FIRST = (Window.unboundedPreceding, -1)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -44,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * repeats)
     level = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
     by_level = Window.orderBy(*level)
-    capped_before = F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    capped_before = F.coalesce(F.sum("cap").over(by_level.rowsBetween(*FIRST)), F.lit(0))
     weight_from = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.partitionBy())
     per = per.withColumn("here", (total * F.lit(float(budget)) - capped_before) / weight_from).withColumn("nth", F.row_number().over(by_level))
@@ -52,71 +61,100 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(water, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
-def _order(rows: DataFrame) -> tuple[list[Column], Column]:
-    """Shuffle order inside a source, and its bucket (the first 8 bits of the hash)."""
-    return [F.col("__shuffle"), F.col("doc_id"), F.col("size")], F.substring("__shuffle", 1, 2)
+def _order() -> list[Column]:
+    """Shuffle order inside a source."""
+    return [F.col("__shuffle"), F.col("doc_id"), F.col("size"), F.col("__print")]
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Narrow rows of ``doc_id, text, source, __print``: the texts' sizes and the shuffle's hash (a null id's is its text's)."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce(F.xxhash64("text").cast("string"), F.lit(""))))
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("none"))
+    return cut(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(key.cast("binary")).alias("__shuffle"), "__print", named.alias("__s")))
 
 
-def schedule(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """Each row with ``size, source_size, target, begin``: the words its source serves before it in a round."""
-    rows = pick(docs, *keep, doc_id=id_col, __text=text_col, source=source_col).withColumn("size", size_of(F.col("__text"))).drop(*(() if "text" in keep else ("__text",)))
-    rows = rows.withColumn("__shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
-    order, bucket = _order(rows)
-    rows = rows.withColumn("__bucket", bucket)
-    sums = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("__words"))
+def schedule(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+    """Each row of ``_sized`` with ``source_size, target, begin``: the words its source serves before it in a round."""
+    digits = max(2, math.ceil(math.log(max(1, sized.count() / BUCKET_ROWS), 16)))
+    rows = sized.withColumn("__bucket", F.substring("__shuffle", 1, digits))
+    sums = rows.groupBy("__s", "source", "__bucket").agg(F.sum("size").alias("__words"))
     per = targets(sums.select("source", F.col("__words").alias("size")), weights, budget, repeats)
-    before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = sums.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__first"))
-    lead = first.join(per.withColumnRenamed("source", "__p"), F.col("__s").eqNullSafe(F.col("__p"))).drop("__p")
-    inside = Window.partitionBy("source", "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(lead, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).withColumn("begin", (F.col("__first") + F.col("__inside")).cast("long")).drop("__s", "__b", "__first", "__inside", "__bucket", "__text")
+    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(*FIRST)
+    lead = sums.select("__s", "source", "__bucket", F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__first"))
+    lead = lead.join(per.withColumnRenamed("source", "__p"), F.col("source").eqNullSafe(F.col("__p"))).drop("__p", "source")
+    inside = Window.partitionBy("__s", "__bucket").orderBy(*_order())
+    rows = rows.withColumns({"__inside": F.coalesce(F.sum("size").over(inside.rowsBetween(*FIRST)), F.lit(0)), "__n": F.row_number().over(inside)})
+    return cut(rows.join(lead, ["__s", "__bucket"]).withColumn("begin", (F.col("__first") + F.col("__inside")).cast("long")).drop("__first", "__inside"))
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), ranges: int = 1024, **how) -> DataFrame:
-    """The served documents: ``round`` (from 0), ``words`` taken, ``mix_offset`` (words of the mix before it).
+def _packets(repeats: int) -> Column:
+    """A row's packets: one a round, or two where the source's target ends inside it."""
+    quota, size = F.floor("target"), F.col("size")
 
-    Ranges of virtual time hold about equal shares of the mix; the words of
-    each range (``ranges`` rows, so they may be broadcast) give its offset.
-    """
-    repeats = how.get("repeats", REPEATS)
-    rows = schedule(docs, keep, **how).where("size > 0 and target > 0")
-    quota = F.floor("target")
-    served = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("__at", F.col("begin") + F.col("round") * F.col("source_size"))
-    served = served.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), quota - F.col("__at"))).cast("long")).where("words > 0")
-    served = served.withColumn("finish", F.least(F.lit(1.0), (F.col("__at") + F.col("words")) / F.col("target")))
-    served = served.withColumn("__range", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges)).cast("int"))
-    sums = served.groupBy("__range").agg(F.sum("words").alias("__words"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    first = sums.select("__range", F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("__range").orderBy("finish", F.col("source").asc_nulls_last(), "round", "__shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    served = served.withColumn("__inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(F.broadcast(first), "__range")
-    return served.withColumn("mix_offset", (F.col("__first") + F.col("__inside")).cast("long")).drop("__range", "__first", "__inside", "__at", "__shuffle")
-
-
-def shares(docs: DataFrame, **how) -> DataFrame:
+    def of(k: Column) -> Column:
+        at = F.col("begin") + k * F.col("source_size")
+        packet = lambda start, words: F.struct(k.cast("int").alias("round"), start.cast("long").alias("at"), words.cast("long").alias("words"))
+        return F.when((at < quota) & (at + size > quota), F.array(packet(at, quota - at), packet(quota, at + size - quota))).otherwise(F.array(packet(at, size)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), of))
+
+
+def serve(planned: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """The packets of the mix, of a cut schedule: ``round, words`` taken, ``finish``, ``mix_offset`` (words of the mix before it)."""
+    total = planned.groupBy("__s").agg(F.first("target").alias("target")).agg(F.sum(F.floor("target"))).first()[0] or 0
+    ranges = max(RANGES, planned.count() // RANGE_ROWS)
+    sent = planned.where("size > 0 and target > 0").withColumn("__p", F.explode(_packets(repeats))).select(*planned.columns, "__p.*")
+    sent = sent.withColumn("finish", (F.col("at") + F.col("words")) / F.col("target"))
+    # up to 1 virtual time is cut evenly; what finishes later is in ranges that grow longer
+    late = ranges + F.floor((1 - 1 / F.col("finish")) * ranges)
+    sent = sent.withColumn("__range", F.when(F.col("finish") <= 1, F.floor(F.col("finish") * ranges)).otherwise(late + 1).cast("long"))
+    sums = sent.groupBy("__range").agg(F.sum("words").alias("__words"))
+    first = sums.select("__range", F.coalesce(F.sum("__words").over(Window.orderBy("__range").rowsBetween(*FIRST)), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy("__range").orderBy("finish", F.col("source").asc_nulls_last(), "round", *_order(), "at").rowsBetween(*FIRST)
+    # ranges that begin beyond the budget hold nothing of the mix
+    sent = sent.join(first.where(F.col("__first") < total), "__range").withColumn("__inside", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    sent = sent.withColumn("mix_offset", (F.col("__first") + F.col("__inside")).cast("long"))
+    return sent.withColumn("words", F.least(F.col("words"), total - F.col("mix_offset")).cast("long")).where("words > 0").drop("__range", "__first", "__inside", "at")
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, how: dict) -> DataFrame:
+    rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
+    return schedule(_sized(rows.withColumn("__print", F.xxhash64("text"))), **how)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The packets of the mix with ``doc_id, source, size, round, words, finish, mix_offset``."""
+    return serve(_planned(docs, id_col, text_col, source_col, how), how.get("repeats", REPEATS)).select("doc_id", "source", "size", "round", "words", "finish", "mix_offset")
+
+
+def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken, mix_offset`` for every row of documents; ``mix_offset`` is its first, null if it isn't in the mix."""
-    id_col = how.get("id_col", "doc_id")
-    served = mix(docs, **how).groupBy("doc_id", "source", "begin", "size").agg(F.sum("words").alias("taken"), F.min("mix_offset").alias("mix_offset"))
-    rows = schedule(docs, **how).select("doc_id", "source", "begin", "size", "source_size", "target")
-    s = served.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("begin").alias("__b"), F.col("size").alias("__z"), "taken", "mix_offset")
-    joined = rows.join(s, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("begin") == F.col("__b")) & (F.col("size") == F.col("__z")), "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "mix_offset")
+    planned = _planned(docs, id_col, text_col, source_col, how)
+    taken = serve(planned, how.get("repeats", REPEATS)).groupBy(*ROW).agg(F.sum("words").alias("taken"), F.min("mix_offset").alias("mix_offset"))
+    return planned.join(taken, [*ROW], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "mix_offset")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix as rows of documents, each as often as it is served; the last one of a source is cut after the words taken.
+    """The mix as rows of documents, each as often as it is served; one that the mix takes in part has the words taken.
 
-    Serving is decided on narrow rows; rows that agree in id, source and size
-    are told apart by number, and the texts are shuffled once.
+    Serving is decided on narrow rows, and the texts are shuffled once.  Rows
+    equal in all columns are one row by then that is served for all of them.
     """
-    served = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "begin", "round", F.col("words").alias("__w"))
-    alike = Window.partitionBy("__d", "__s", "__z", "round").orderBy("begin")
-    served = served.withColumn("__k", F.row_number().over(alike)).drop("begin", "round")
-    rows = docs.withColumn("__size", size_of(F.col(text_col)))
-    same = Window.partitionBy(id_col, source_col, "__size").orderBy(F.lit(0))
-    rows = rows.withColumn("__n", F.row_number().over(same))
-    on = F.col(id_col).eqNullSafe(F.col("__d")) & F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__n") == F.col("__k"))
-    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("__w").cast("int")), " ")
-    whole = rows.join(served, on).withColumn(text_col, F.when(F.col("__w") < F.col("__size"), part).otherwise(F.col(text_col)))
-    return whole.select(*docs.columns)
+    prepare(docs.sparkSession)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text, source = (F.col(f"c{place(names, c)}") for c in (id_col, text_col, source_col))
+    rows = rows.withColumn("__row", F.xxhash64(*[x for c in rows.columns for x in (F.col(c).isNull(), F.col(c))]))
+    planned = schedule(_sized(rows.select(doc_id.alias("doc_id"), text.alias("text"), source.alias("source"), F.col("__row").alias("__print"))), **how)
+    both = ["__hash", "__row"]
+    # the shuffle's hash stands for the id beside the row's own
+    served = serve(planned, how.get("repeats", REPEATS)).groupBy(*ROW, "round").agg(F.sum("words").alias("__w"), F.first("size").alias("__z"), F.first("__shuffle").alias("__hash"), F.first("__print").alias("__row")).select(*both, "__w", "__z")
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.coalesce(F.xxhash64(text).cast("string"), F.lit(""))))
+    rows = rows.withColumn("__hash", F.md5(key.cast("binary")))
+    again = cut(planned.select(F.col("__shuffle").alias("__hash"), F.col("__print").alias("__row")).groupBy(*both).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*both))
+    if not again.isEmpty():
+        rows = rows.join(again, both, "left_anti").unionByName(rows.join(again, both, "left_semi").dropDuplicates(both))
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("__w").cast("int")), " ")
+    cast = docs.schema[place(names, text_col)].dataType
+    whole = rows.join(served, both).select(*[F.when(F.col("__w") < F.col("__z"), part).otherwise(text).cast(cast).alias(f"c{i}") if i == place(names, text_col) else F.col(f"c{i}") for i in range(len(names))])
+    return whole.toDF(*names)
