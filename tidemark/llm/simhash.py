@@ -16,8 +16,10 @@ pair), and distances are added up by carry-save bitwise counters; a block of
 pairs is left as soon as all of it is beyond the radius.  A small bucket
 compares its pairs at once; in a larger one each newly reached class is
 compared with the classes not reached yet, so what a bucket emits is a forest
-with fewer links than classes.  Links are joined into components by stars,
-each round cut to a table.
+with fewer links than classes.  For small radii a bucket of over ``SPLIT``
+classes, as a common block of bits makes, is first cut by finer tables over the
+bits that differ in it, which miss no pair of it either.  Links are joined into
+components by stars, each round cut to a table.
 
 ``similar`` and ``representatives`` take fingerprints as candidates only: what
 they join has an exact Jaccard similarity of shingle sets (up to collisions of
@@ -51,6 +53,8 @@ from .textkernel import chunks, mix64
 SEED = 42
 BLOCK = 4096
 SMALL = 8
+#: Classes beyond which a bucket is cut by further bits.
+SPLIT = 2048
 #: Least hashes in a key of ``similar``.
 ROWS = 6
 #: Sets in a lot that is verified at once, and shingles beyond which what candidates join is verified in parts.
@@ -192,28 +196,61 @@ def _forest(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def _finer(prints: np.ndarray, radius: int) -> list[np.ndarray] | None:
+    """Masks of finer tables for a large bucket, over the bits that differ in it: they miss no pair of it within the radius.  None if there is nothing to gain."""
+    spread = np.bitwise_or.reduce(prints ^ prints[0], axis=0)
+    bits = np.flatnonzero(np.unpackbits(spread.view(np.uint8), bitorder="little"))
+    if radius > 8 or len(bits) <= 2 * radius:
+        return None
+    need = math.log2(len(prints) / SMALL)
+    free = next((c for c in (1, 2) if c * len(bits) / (radius + c) >= need), 3)
+    blocks = np.array_split(bits, radius + free)
+    out = []
+    for chosen in itertools.combinations(blocks, free):
+        mask = np.zeros(64 * prints.shape[1], dtype=np.uint8)
+        mask[np.concatenate(chosen)] = 1
+        out.append(np.packbits(mask, bitorder="little").view(np.uint64))
+    return out
+
+
+def _in_buckets(prints: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that join what the radius joins inside each run of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in range(2, SMALL + 1):
+        at = starts[sizes == n]
+        i, j = np.triu_indices(n, 1)
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        near = within(prints[a] ^ prints[b], radius)
+        left.append(a[near])
+        right.append(b[near])
+    for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        here = prints[at : at + n]
+        masks = _finer(here, radius) if n > SPLIT else None
+        if masks is None:
+            a, b = _forest(here, radius)
+            left.append(np.array(a, dtype=np.int64) + at)
+            right.append(np.array(b, dtype=np.int64) + at)
+            continue
+        for mask in masks:
+            finer = np.zeros(n, dtype=np.uint64)
+            for lane in range(here.shape[1]):
+                finer = mix64(finer + (here[:, lane] & mask[lane]))
+            order = np.argsort(finer, kind="stable")
+            a, b = _in_buckets(here[order], finer[order], radius)
+            left.append(order[a] + at)
+            right.append(order[b] + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _compare(lanes: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["key"], 200_000):
-            key = table.column("key").to_numpy()
             ids = table.column("rep").to_numpy()
             prints = np.stack([table.column(f"f{k}").to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(starts, len(key)))
-            left, right = [], []
-            for n in range(2, SMALL + 1):
-                at = starts[sizes == n]
-                i, j = np.triu_indices(n, 1)
-                a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                near = within(prints[a] ^ prints[b], radius)
-                left.append(a[near])
-                right.append(b[near])
-            for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                a, b = _forest(prints[at : at + n], radius)
-                left.append(np.array(a, dtype=np.int64) + at)
-                right.append(np.array(b, dtype=np.int64) + at)
-            a, b = ids[np.concatenate(left)], ids[np.concatenate(right)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+            a, b = _in_buckets(prints, table.column("key").to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], names=["u", "v"])
 
     return run
 
