@@ -1,14 +1,15 @@
 """Packing documents into training sequences by best-fit decreasing.
 
 A document becomes its token ids and an end id.  Whole windows are cut from an
-overlong document first, each a sequence of its own; what is left of it is
-placed, longest first, into the open sequence with the least room that still
-fits it.  Remainders are dealt by hash to groups of about ``group_docs``
-documents (a parameter that bounds a task's memory; a group wastes less than
-about one sequence), so packing needs one shuffle of a few numbers a document.
+overlong document first, each a sequence of its own that needs no placing; what
+is left of it is placed, longest first, into the open sequence with the least
+room that still fits it.  Remainders are dealt by their number to groups of
+about ``group_docs`` (a parameter that bounds a task's memory; a group wastes
+less than about one sequence), so packing shuffles a few numbers a document.
 
 Inputs: a null text counts as empty, a document of the end id alone; repeated
-rows are packed each for itself; an empty table gives no pieces.
+rows, equal ones and ones with null ids too, are dealt and packed each for
+itself; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pick
+from .common import cut, lean, pick
 
 WINDOW = 2048
 END_ID = 1
@@ -93,15 +94,20 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 def _pieces(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 some = batch.slice(part, 256)
                 ids, rows = some.column(0).to_pylist(), []
                 for doc, data in zip(ids, encoder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
                     n = len(data) // 4
-                    rows += [(doc, s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), n) for s, k in cut_lengths(n, window)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    for s, k in cut_lengths(n, window):
+                        rows.append((doc, s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), n, number))
+                        number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"])
 
     return run
 
@@ -170,7 +176,8 @@ def _place(window: int):
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.  ``tokenizer`` is the vocabulary file's path on every executor."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    groups = max(1, -(-rows.count() // group_docs))
-    pieces = rows.mapInArrow(lean(_pieces(tokenizer, window, end_id)), PIECES)
-    spread = F.xxhash64("doc_id", "start", "ids_crc32")
-    return pieces.withColumn("__group", F.pmod(spread, F.lit(groups))).groupBy("__group").applyInArrow(_place(window), PLACED)
+    pieces = cut(rows.mapInArrow(lean(_pieces(tokenizer, window, end_id)), PIECES + ", number long"))
+    full, rest = pieces.where(F.col("length") == window), pieces.where(F.col("length") < window)
+    alone = full.withColumn("sequence_id", F.col("number") + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long")).drop("number")
+    groups = max(1, -(-rest.count() // group_docs))
+    return alone.unionByName(rest.withColumn("__group", F.pmod(F.xxhash64("number"), F.lit(groups))).groupBy("__group").applyInArrow(_place(window), PLACED))
