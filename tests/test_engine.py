@@ -46,9 +46,152 @@ def test_commit_sink_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "store")).collect())) == [("x", 1), ("y", 2)]
 
 
+def test_timeout_gives_the_rest_of_a_buffer():
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+        get = None
+        timeout = None
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+    state, run = State(), stream._accept(8, 4, 1000)
+    first = list(run(("a",), iter([pd.DataFrame({"seq": range(10), "t": np.arange(10.0), "v": np.ones(10)})]), state))[0]
+    assert first["w"].tolist() == [0] and state.timeout == 1000
+    state.hasTimedOut = True
+    rest = list(run(("a",), iter([]), state))[0]
+    assert rest[["w", "t0", "size", "last"]].values.tolist() == [[1, 4.0, 6, True]]
+    state.hasTimedOut = False
+    late = list(run(("a",), iter([pd.DataFrame({"seq": range(9), "t": np.arange(9.0) + 5, "v": np.ones(9)})]), state))[0]
+    assert late.empty and state.get[3] == [10.0, 11.0, 12.0, 13.0]
+
+
+@pytest.mark.parametrize("mode", ["band_profile", "energy", "structural"])
+def test_fold_goes_on_from_what_was_carried(spark, mode):
+    """States in three tables, each going on from the one before, are segmented as in one; a state without a profile changes nothing."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in ("a", "b"):
+        level = 0.0
+        for w in range(30):
+            level += rng.choice([0, 0, 0, 0.4])
+            p = np.abs(np.sin(np.arange(4) + level)) + 0.02 * rng.random(4)
+            bins = [(int(k), float(k), float(x), 0.0) for k, x in enumerate(p)]
+            hole = w in (3, 11)
+            rows.append((s, w, float(w), w + 2.0, None if hole else float(p.sum()), None if hole else (p / p.sum()).tolist(), None if hole else bins))
+    df = spark.createDataFrame(rows, "stream_id string, w long, t_start double, t_end double, energy_raw double, profile array<double>, kept_bins array<struct<k:int,freq_hz:double,re:double,im:double>>")
+    policy = Anomaly(invariance_mode=mode, divergence_metric={"structural": "l2_complex", "energy": "energy_delta"}.get(mode, "band_l1"), threshold_value=0.1)
+    key = ["stream_id", "w", "epoch", "base_w", "novelty"]
+    whole = sorted(map(tuple, novelty.segments(df, policy).select(*key).collect()), key=str)
+    assert max(r[2] for r in whole) > 2 and all(r[3] is None and not r[4] for r in whole if r[1] in (3, 11))
+    carried, parts = None, []
+    for lo, hi in ((0, 9), (9, 10), (10, 30)):
+        got = novelty.segments(df.where(f"w >= {lo} and w < {hi}"), policy, carried)
+        parts += map(tuple, got.select(*key).collect())
+        carried = spark.createDataFrame(novelty.baselines(got, policy, carried).collect(), novelty.baselines(got, policy, carried).schema)
+    assert sorted(parts, key=str) == whole
+    # the same divergence as the batch operator's
+    b = df.alias("x")
+    found = novelty.segments(df, policy).where("base_w is not null").select("stream_id", "w", "base_w", "divergence")
+    base = df.select(F.col("stream_id").alias("s2"), F.col("w").alias("w2"), "energy_raw", "profile", "kept_bins")
+    both = found.join(b, ["stream_id", "w"]).join(base.select("s2", "w2", F.struct("energy_raw", "profile", "kept_bins").alias("base")), (F.col("stream_id") == F.col("s2")) & (F.col("base_w") == F.col("w2")))
+    match = novelty.align_bins(F.col("kept_bins"), F.col("base.kept_bins"), policy.frequency_tolerance_hz)
+    d = novelty.divergence(policy, match["matched"], F.col("energy_raw"), F.col("base.energy_raw"), F.col("profile"), F.col("base.profile"))
+    assert all(abs(r[0] - r[1]) < 1e-9 for r in both.select("divergence", d.alias("d")).collect())
+
+
+def test_lane_is_the_batch_chain(spark, tmp_path):
+    """A stream of samples in files, committed batch by batch, gives the states and segments of one batch; a batch run twice adds nothing."""
+    from tidemark.plans.policies import Compression, Grid, Policies, Thresholds
+    from tidemark.streaming import lane
+
+    policies = Policies(grid=Grid(1.0), frame=Frame(1.0, 16, 8), compression=Compression("c", band_edges=(0.0, 0.1, 0.2, 0.5), thresholds=Thresholds(1e6, 0.9, 1.9)), anomaly=Anomaly(threshold_value=0.2))
+    rng = np.random.default_rng(8)
+    rows = [(s, i, float(i), float(np.sin(i * (0.4 if i < 60 else 1.3)) + 0.05 * rng.normal())) for s in ("a", "b") for i in range(128)]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, t double, v double")
+    for k in range(4):
+        df.where(f"seq >= {32 * k} and seq < {32 * k + 32}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store, sink, seen = str(tmp_path / "lane"), lane.lane(policies, str(tmp_path / "lane")), []
+
+    def twice(batch, batch_id):
+        sink(batch, batch_id)
+        seen.append(batch_id)
+        if batch_id == 1:
+            sink(batch, batch_id)
+
+    stream.framed(live, 16, 8).writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(300)
+    got = lane.read(spark, store, "states")
+    frames_ = [(s, w, float(8 * w), 16, [v for _, i, _, v in rows if _ == s and 8 * w <= i < 8 * w + 16]) for s in ("a", "b") for w in range(15)]
+    frames_ = [(s, w, t, n, [r[3] for r in rows if r[0] == s and 8 * w <= r[1] < 8 * w + 16]) for s, w, t, n, _ in frames_]
+    whole = novelty.segments(lane.states_of_frames(spark.createDataFrame(frames_, "stream_id string, w long, t0 double, size int, raw array<double>"), policies), policies.anomaly)
+    key = ["stream_id", "w", "segment_id", "novelty", F.round("energy_raw", 9)]
+    assert len(seen) > 2 and got.count() == 30
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, whole.select(*key).collect()))
+    assert got.select("segment_id").distinct().count() > 2 and lane.read(spark, store, "refused").count() == 0
+
+
 # --- sources
 
 
+def test_bundles_and_stamps(spark, tmp_path):
+    for case in ("b", "a", "empty"):
+        (tmp_path / "w" / case).mkdir(parents=True)
+    for at in ("workbench.json", "a/workbench.json", "b/workbench.json"):
+        (tmp_path / "w" / at).write_text("{}")
+    root = str(tmp_path / "w")
+    assert [c for c, _ in files.bundles(spark, root)] == ["a", "b", "default"] and [c for c, _ in files.bundles(spark, root, {"b", "x"})] == ["b"]
+    assert files.bundles(spark, str(tmp_path / "none")) == []
+    assert spark.sql("select timestamp '2024-03-05 06:07:08.009' as t").select(files.run_stamp(F.col("t"))).first()[0] == "2024-03-05T06-07-08-009Z"
+
+
+def test_summary_text(spark):
+    from tidemark.operators import digest
+
+    df = spark.createDataFrame([(3, "r", None, 5)], "cycle_index int, run_label string, convergence string, state_count int")
+    text = df.select(digest.summary_text(df.columns)).first()[0]
+    assert text.startswith("\nCycle 3\n  run_label: r\n  stream_id: -\n") and "    states=5  basins=0  segments=0  skipped=0  merge_failures=0\n" in text and "    convergence=-\n" in text and text.endswith("cross_run_count=0\n")
+
+
+def test_formats(spark):
+    from tidemark.functions import schemas
+
+    entry = {"pass_id": "p", "role": "r", "active_subject_id": "s", "state_before": "a", "state_after": "b", "accepted_changes": [], "rejected_changes": ["x"], "live_tensions": [], "recommended_next_role": "q"}
+    response = entry | {"mutated_live_surface": True, "write_payload_notes": [], "cycle_log_entry": entry, "recommended_next_state": "z"}
+    output = {"response_type": "t", "input_stream_id": None, "observations": ["o"], "questions": [], "non_claims": ["n"], "authority_posture": language.POSTURE}
+    report = {"probe_type": "x", "per_cohort_rows": [1, 2], "replay_summary": {"not_canon": True}, "disclaimers": {}, "comparisons": [1]}
+    cases = [
+        ("cycle_log_entry", entry, []),
+        ("cycle_log_entry", entry | {"accepted_changes": [""], "role": 1, "more": 0}, ["role", "accepted_changes", "more"]),
+        ("cycle_log_entry", {}, list(entry)),
+        ("role_response", response, []),
+        ("role_response", response | {"cycle_log_entry": entry | {"x": 1, "role": ""}, "live_surface_patch": {"any": 1}}, ["cycle_log_entry.role", "cycle_log_entry.x"]),
+        ("role_response", response | {"cycle_log_entry": None, "live_surface_patch": 3}, ["live_surface_patch", "cycle_log_entry"]),
+        ("model_output", output, []),
+        ("model_output", output | {"non_claims": [], "authority_posture": language.POSTURE | {"truth_closure": "false"}}, ["non_claims", "authority_posture.truth_closure"]),
+        ("orchestrator_receipt", {"receipt_type": "t", "stream_id": "s", "source_id": None, "query_present": False} | {k: 1 for k in ("state_count", "basin_count", "segment_count", "trajectory_frames", "segment_transition_count", "h1_count", "m1_count", "anomaly_count", "skipped_window_count")} | {"merge_failure_count": 1.5, "free": 1}, ["merge_failure_count"]),
+    ]
+    for name, document, want in cases:
+        df = spark.createDataFrame([(json.dumps(document),)], "d string")
+        assert df.select(schemas.broken(F.col("d"), name, **({"response_type": "t"} if name == "model_output" else {"receipt_type": "t"} if "receipt" in name else {}))).first()[0] == want, name
+    odd = spark.createDataFrame([("[1]",), ("{",), (None,)], "d string").select(schemas.broken(F.col("d"), "cycle_log_entry")).collect()
+    assert [r[0] for r in odd] == [["$"]] * 3
+    made = spark.createDataFrame([(json.dumps(report),), ("{}",)], "d string").select(schemas.probe_receipt(F.col("d")).alias("r")).select(F.to_json("r", {"ignoreNullFields": "false"}).alias("r"))
+    first, second = [json.loads(r[0]) for r in made.collect()]
+    assert first["row_surface"] == {"path": "per_cohort_rows", "row_count": 2} and first["summary_surface"] == {"path": "replay_summary", "available": True} and first["counts"] == {"comparison_count": 1, "family_summary_count": 0}
+    assert first["posture_flags"] == {"has_constitutional_posture": False, "has_disclaimers": True, "not_canon_evidence": True, "not_prediction_evidence": False}
+    assert second["probe_type"] == "unknown_probe_report" and second["row_surface"]["path"] == second["summary_surface"]["path"] == "none"
+    assert made.select(schemas.broken(F.col("r"), "probe_receipt", receipt_type="runtime:probe_report_receipt", receipt_version="0.1.0").alias("b")).where("size(b) > 0").count() == 0
+    with pytest.raises(ValueError, match="needs a value"):
+        schemas.broken(F.col("d"), "model_output")
+
+
+
 def test_receipt_files(spark, tmp_path):
     root = str(tmp_path / "receipts")
     assert files.list_receipts(spark, root) == [] and files.read_receipts(spark, root) is None
@@ -176,7 +319,17 @@ def test_query_errors(spark):
         query.band_lookup(both, "x:1", query.Scope(allow_cross_segment=True), Query())
     with pytest.raises(query.QueryError, match="UNSUPPORTED"):
         query.envelope(both, "other", "ENERGY", query.Scope(), Query())
-    assert query.compare(both, "x", "nowhere", query.Scope(allow_cross_segment=True), "ENERGY", Query()).count() == 0
+    assert query.compare(both, "x", "nowhere", query.Scope(allow_cross_segment=True), "ENERGY", Query(), check=False).count() == 0
+    with pytest.raises(query.QueryError, match="REF_NOT_FOUND"):
+        query.compare(both, "x", "nowhere", query.Scope(allow_cross_segment=True), "ENERGY", Query())
+    with pytest.raises(query.QueryError, match="INVALID_QUERY"):
+        query.compare(both, "x", "", query.Scope(allow_cross_segment=True), "ENERGY", Query())
+    with pytest.raises(query.QueryError, match="INVALID_QUERY"):
+        query.similarity(both, None, query.Scope(allow_cross_segment=True), "ENERGY", Query())
+    with pytest.raises(query.QueryError, match="EMPTY_CORPUS"):
+        query.corpus(both, stream_id="nobody")
+    with pytest.raises(query.QueryError, match="valid segment_id"):
+        query.checked(both.withColumn("segment_id", F.lit("")))
 
 
 def test_replay_tiers(spark):
@@ -194,6 +347,24 @@ def test_replay_tiers(spark):
 # --- text and receipts
 
 
+def test_find_object_against_the_json_parser():
+    """Objects of the json module in any text without braces are found whole."""
+    import random
+
+    rng = random.Random(3)
+
+    def value(depth: int):
+        kind = rng.randrange(5 if depth < 3 else 3)
+        if kind < 3:
+            return rng.choice([1, None, True, 'a"b', "{", "}}", "\\\\", 'x\\\\"{', "é\n"])
+        return [value(depth + 1) for _ in range(3)] if kind == 3 else {rng.choice('ab{}"') + str(i): value(depth + 1) for i in range(rng.randrange(4))}
+
+    for _ in range(300):
+        text, before, after = json.dumps({"k": value(0)}, ensure_ascii=False), rng.choice(["", "say ", 'a "quoted" word: ']), rng.choice(["", " done", " }"])
+        assert language.find_object(before + text + after) == (text, before, after)
+        assert language.find_object(before + text[:-1])[0] is None
+
+
 def test_find_object():
     assert language.find_object('say {"a": "}", "b": {"c": 1}} done') == ('{"a": "}", "b": {"c": 1}}', "say ", " done")
     assert language.find_object('{"a": "\\"}"}')[0] == '{"a": "\\"}"}'

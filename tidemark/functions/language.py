@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,26 +15,23 @@ POSTURE = {"read_side_only": True, "canon_authority": False, "runtime_authority"
 USELESS = ["", "read-side observation only.", "read-side observation only"]
 
 
+#: A whole string (or one that never ends), an escaped character, or a brace.
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)|\\.|[{}]', re.DOTALL)
+_LEVEL = {"{": 1, "}": -1}
+
+
 def find_object(text: str | None) -> tuple[str | None, str, str]:
-    """(the first balanced ``{...}``, the text before it, the text after it); braces in strings don't count."""
-    text = text or ""
-    start = text.find("{")
-    if start < 0:
-        return None, text, ""
-    depth, inside, escaped = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if escaped:
-            escaped = False
-        elif c == "\\" and i > start:
-            escaped = True
-        elif c == '"':
-            inside = not inside
-        elif not inside:
-            depth += (c == "{") - (c == "}")
-            if depth == 0:
-                return text[start : i + 1], text[:start], text[i + 1 :]
-    return None, text, ""
+    """(the first balanced ``{...}``, the text before it, the text after it); braces in strings don't count.
+
+    The running sum of the braces' levels is 0 for the first time where the object ends.
+    """
+    whole = text or ""
+    tokens = list(_TOKEN.finditer(whole, whole.find("{"))) if "{" in whole else []
+    levels = itertools.accumulate(_LEVEL.get(t.group(), 0) for t in tokens)
+    last = next((t for t, level in zip(tokens, levels, strict=False) if not level), None)
+    if last is None:
+        return None, whole, ""
+    return whole[tokens[0].start() : last.end()], whole[: tokens[0].start()], whole[last.end() :]
 
 
 def extract_object(text: Column) -> Column:

@@ -58,3 +58,42 @@ def retained(cycles: DataFrame, by: str, keep: int) -> DataFrame:
     """Adds ``pruned``: true for all but the newest ``keep`` cycles."""
     newest = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cycle_index")))
     return cycles.withColumn("pruned", newest > keep)
+
+
+#: Lines of a cycle's text: label and columns, with what stands for a null (fixed texts).
+SUMMARY = (
+    ("", ()),
+    ("Cycle {0}", (("cycle_index", "-"),)),
+    ("  run_label: {0}", (("run_label", "-"),)),
+    ("  stream_id: {0}", (("stream_id", "-"),)),
+    ("", ()),
+    ("  run_health:", ()),
+    ("    states={0}  basins={1}  segments={2}  skipped={3}  merge_failures={4}", (("state_count", "0"), ("basin_count", "0"), ("segment_count", "0"), ("skipped_windows", "0"), ("merge_failures", "0"))),
+    ("", ()),
+    ("  structure:", ()),
+    ("    convergence={0}", (("convergence", "-"),)),
+    ("    motion={0}", (("motion", "-"),)),
+    ("    occupancy={0}", (("occupancy", "-"),)),
+    ("    recurrence={0}", (("recurrence", "-"),)),
+    ("    continuity={0}", (("continuity", "-"),)),
+    ("", ()),
+    ("  delta_vs_prev:", ()),
+    ("    state_count={0}", (("state_count_changed", "-"),)),
+    ("    convergence={0}", (("convergence_changed", "-"),)),
+    ("    recurrence={0}", (("recurrence_changed", "-"),)),
+    ("    cross_run_count={0}", (("cross_run_count", "0"),)),
+    ("", ()),
+)
+
+
+def summary_text(columns: list[str]) -> Column:
+    """A cycle's row as text; columns that the table lacks count as null."""
+    lines = []
+    for text, parts in SUMMARY:
+        pieces, rest = [], text
+        for i, (name, none) in enumerate(parts):
+            head, rest = rest.split(f"{{{i}}}")
+            value = F.col(name).cast("string") if name in columns else F.lit(None).cast("string")
+            pieces += [F.lit(head), F.coalesce(value, F.lit(none))]
+        lines.append(F.concat(*pieces, F.lit(rest)))
+    return F.array_join(F.array(*lines), "\n")

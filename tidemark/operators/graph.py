@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l1
+from .neighborhoods import around, cells
 
 GROUP = "stream_id"
+#: Edges derived from similarity (fixed values).
+DERIVED, DERIVED_LAYER = "structural_similarity", "L2"
 
 
 def legitimacy(states: DataFrame) -> DataFrame:
@@ -125,18 +128,19 @@ class Similarity:
 def similarity_edges(states: DataFrame, policy: Similarity = Similarity(), known: DataFrame | None = None, order: str = "commit_idx") -> DataFrame:
     """Pairs in commit order whose profiles and energies are close enough, but for those already known under the policy.
 
-    Candidates meet in cells of the profile's first coordinate, whose width is
-    the threshold: no coordinate differs by more than the distance.
+    Candidates meet in cells of the threshold's width.  A state without a
+    profile or an energy is similar to none.
     """
     some = states
     for c in ("stream_id", "segment_id", "artifact_class"):
         if getattr(policy, c) is not None:
             some = some.where(F.col(c) == getattr(policy, c))
-    cell = F.floor(F.coalesce(F.try_element_at("profile", F.lit(1)), F.lit(0.0)) / F.lit(float(policy.spectral_threshold))).cast("long")
+    x, y = cells(F.col("profile"), policy.spectral_threshold)
     node = object_id(F.col("state_id"))
-    left = some.select(node.alias("from"), F.col(order).alias("i"), F.col("profile").alias("p"), F.col("energy_raw").alias("e"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = some.select(node.alias("to"), F.col(order).alias("j"), F.col("profile").alias("q"), F.col("energy_raw").alias("f"), cell.alias("cell"))
-    pairs = left.join(right, "cell").where("i < j and size(p) = size(q) and size(p) > 0")
+    left = some.select(node.alias("from"), F.col(order).alias("i"), F.col("profile").alias("p"), F.col("energy_raw").alias("e"), around(x).alias("x"), y.alias("__y"))
+    left = left.select("from", "i", "p", "e", "x", around(F.col("__y")).alias("y"))
+    right = some.select(node.alias("to"), F.col(order).alias("j"), F.col("profile").alias("q"), F.col("energy_raw").alias("f"), x.alias("x"), y.alias("y"))
+    pairs = left.join(right, ["x", "y"]).where("i < j and size(p) = size(q) and size(p) > 0")
     pairs = pairs.withColumns({"spectral_distance": l1(F.col("p"), F.col("q")), "amplitude_distance": F.abs(F.col("e") - F.col("f"))})
     near = F.col("spectral_distance") <= policy.spectral_threshold
     near = near & (F.col("amplitude_distance").isNotNull() if policy.amplitude_threshold is None else F.col("amplitude_distance") <= policy.amplitude_threshold)
@@ -144,6 +148,36 @@ def similarity_edges(states: DataFrame, policy: Similarity = Similarity(), known
     return out if known is None else out.join(known.select("from", "to", "policy_id"), ["from", "to", "policy_id"], "left_anti")
 
 
+def derived_edges(similar: DataFrame, edge_type: str | None = None, start: str | None = None, end: str | None = None, layer: str | None = None, policy_id: str | None = None, event_index: int = 0) -> DataFrame:
+    """The similarity edges that event ``event_index`` derived as rows of the graph, those that fit all filters given."""
+    rows = similar.select(F.concat_ws(":", F.lit("GDE"), F.lit(str(event_index)), F.lit(DERIVED), "from", "to").alias("edge_id"), F.lit(DERIVED).alias("edge_type"), F.lit(DERIVED_LAYER).alias("layer"), "from", "to", "policy_id", "spectral_distance", "amplitude_distance")
+    for column, wanted in (("edge_type", edge_type), ("from", start), ("to", end), ("layer", layer), ("policy_id", policy_id)):
+        if wanted is not None:
+            rows = rows.where(F.col(column) == wanted)
+    return rows
+
+
+def committed(new: DataFrame, stored: DataFrame | None = None, clusters: DataFrame | None = None, threshold: float | None = None, order: str = "commit_idx", by: str = "segment_id") -> tuple[DataFrame, DataFrame]:
+    """(states to add, each with its object's id and its nearest cluster; what was refused or stored before, with ``outcome`` and ``reasons``).
+
+    The gate comes first, then a choice by ``state_id``; a state that is added
+    gets the closest of its segment's ``clusters`` (``by, label, centroid``)
+    within the threshold.
+    """
+    from .neighborhoods import nearest
+
+    judged = legitimacy(new)
+    lawful = judged.where(F.size("reasons") == 0)
+    added = commit(lawful.drop("reasons"), stored, order).withColumn("memory_object_id", object_id(F.col("state_id")))
+    refused = judged.where(F.size("reasons") > 0).select("state_id", order, F.lit("LEGITIMACY_FAILURE").alias("outcome"), "reasons")
+    again = lawful.join(added.select("state_id", order), ["state_id", order], "left_anti").select("state_id", order, F.lit("DUPLICATE").alias("outcome"), "reasons")
+    if clusters is None:
+        added = added.withColumns({"nearest": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
+    else:
+        added = nearest(added.withColumn("node", F.col("state_id")), clusters, threshold, by).drop("node")
+    return added, refused.unionByName(again)
+
+
 def summary(states: DataFrame) -> DataFrame:
     """Counts of what is committed; the span runs from the first start to the end of the state that starts last."""
     return states.agg(F.count(F.lit(1)).alias("state_count"), F.count_distinct("segment_id").alias("segment_count"), F.count_distinct("stream_id").alias("stream_count"), F.min("t_start").alias("t_start"), F.max_by("t_end", "t_start").alias("t_end"), F.max_by("state_id", "commit_idx").alias("latest_committed_state_id"))

@@ -2,77 +2,113 @@
 
 Single linkage at a threshold is the same as the connected components of the
 pairs closer than it; complete linkage depends on the order of merges and runs
-group by group.
+component by component.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+import math
+from collections import defaultdict
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ship
 from ..functions.numbers import fnv32a
 from ..functions.vectors import l1
 from ..plans.policies import Neighborhood
-from .components import components
+from .components import components, written
 
 KEY = "segment_id"
 
 
+def cells(profile: Column, width: float) -> tuple[Column, Column]:
+    """The cell of a profile in a grid of this width: by its first coordinate, and by its coordinates summed with alternating signs.
+
+    Neither differs by more than the profiles' distance, so profiles that are
+    closer than the width lie in the same or in adjoining cells.
+    """
+    turned = F.aggregate(F.transform(profile, lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, x: s + x)
+    first = F.coalesce(F.try_element_at(profile, F.lit(1)), F.lit(0.0))
+    return tuple(F.floor(F.coalesce(x, F.lit(0.0)) / F.lit(float(width))).cast("long") for x in (first, turned))
+
+
+def around(cell: Column) -> Column:
+    return F.explode(F.array(cell - 1, cell, cell + 1))
+
+
 def close_pairs(states: DataFrame, threshold: float, by: str = KEY, strict: bool = True) -> DataFrame:
     """``by, a, b, distance`` of states (``node``, ``profile``) of one group that are closer than the threshold.
 
-    Profiles are shares, so any coordinate's difference is at most the
-    distance; states are dealt to cells of that width along the first
-    coordinate, and only equal and next cells meet.
+    States are dealt to ``cells`` of the threshold's width, and only equal and
+    adjoining cells meet.  A null profile is close to none.
     """
-    cell = F.floor(F.coalesce(F.try_element_at("profile", F.lit(1)), F.lit(0.0)) / F.lit(float(threshold))).cast("long")
-    left = states.select(by, F.col("node").alias("a"), F.col("profile").alias("pa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    right = states.select(by, F.col("node").alias("b"), F.col("profile").alias("pb"), cell.alias("cell"))
-    pairs = left.join(right, [by, "cell"]).where("a < b").withColumn("distance", l1(F.col("pa"), F.col("pb")))
+    x, y = cells(F.col("profile"), threshold)
+    some = states.where("profile is not null")
+    left = some.select(by, F.col("node").alias("a"), F.col("profile").alias("pa"), around(x).alias("x"), y.alias("__y")).select(by, "a", "pa", "x", around(F.col("__y")).alias("y"))
+    right = some.select(by, F.col("node").alias("b"), F.col("profile").alias("pb"), x.alias("x"), y.alias("y"))
+    pairs = left.join(right, [by, "x", "y"]).where("a < b").withColumn("distance", l1(F.col("pa"), F.col("pb")))
     near = F.col("distance") < threshold if strict else F.col("distance") <= threshold
     return pairs.where(near).select(by, "a", "b", "distance")
 
 
 def single_link(states: DataFrame, threshold: float, by: str = KEY) -> DataFrame:
-    """``by, node, label``: clusters named by their smallest node."""
+    """``by, node, label``: clusters named by their smallest node; a null profile is a cluster of its own."""
     return components(states.select(by, "node"), close_pairs(states, threshold, by), by)
 
 
+def merged_pairs(a: list[int], b: list[int], distance: list[float]) -> dict[int, int]:
+    """Complete linkage over the pairs closer than the threshold: node -> label, the smallest node of its cluster.
+
+    The closest pair of clusters merges first, of equal ones that with the
+    lower names.  Two clusters are as far apart as their farthest members, and
+    can't merge once any two of their members are no pair, so a cluster keeps
+    the neighbours that both of its parts have.
+    """
+    near: dict[int, dict[int, float]] = defaultdict(dict)
+    for i, j, d in zip(a, b, distance, strict=True):
+        near[i][j] = near[j][i] = d
+    label = {i: [i] for i in near}
+    heap = [(d, min(i, j), max(i, j)) for i, j, d in zip(a, b, distance, strict=True)]
+    heapq.heapify(heap)
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if i not in label or j not in label or near[i].get(j) != d:
+            continue
+        mine, theirs = near.pop(i), near.pop(j)
+        near[i] = {}
+        label[i] += label.pop(j)
+        for k in mine.keys() | theirs.keys():
+            if k in (i, j):
+                continue
+            near[k].pop(i, None)
+            near[k].pop(j, None)
+            if k in mine and k in theirs:
+                far = max(mine[k], theirs[k])
+                near[i][k] = near[k][i] = far
+                heapq.heappush(heap, (far, min(i, k), max(i, k)))
+    return {node: i for i, nodes in label.items() for node in nodes}
+
+
 def complete_link(states: DataFrame, threshold: float, by: str = KEY) -> DataFrame:
     """As ``single_link``, a cluster's farthest members being closer than the threshold.
 
-    The closest pair of clusters merges first, of equal ones that with the
-    lower names; a group's distance matrix must fit its task.
+    Only what single linkage joins can merge, so the pairs are dealt by its
+    clusters; those of one must fit its task.
     """
     ship(states.sparkSession)
+    pairs = written(close_pairs(states, threshold, by))
+    joined = written(components(states.select(by, "node"), pairs, by))
+    dealt = pairs.join(joined.select(by, F.col("node").alias("a"), F.col("label").alias("part")), [by, "a"])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        profiles = table.column("profile").to_pylist()
-        width = max(map(len, profiles))
-        x = np.array([[*p, *[0.0] * (width - len(p))] for p in profiles])
-        d = np.abs(x[:, None, :] - x[None, :, :]).sum(axis=2)
-        n = len(x)
-        label, alive = np.arange(n), np.ones(n, dtype=bool)
-        d[np.tril_indices(n)] = np.inf
-        while True:
-            i, j = divmod(int(d.argmin()), n)
-            if not d[i, j] < threshold:
-                break
-            for k in np.flatnonzero(alive):
-                if k not in (i, j):
-                    a, b = (min(i, k), max(i, k)), (min(j, k), max(j, k))
-                    d[a] = max(d[a], d[b])
-            alive[j] = False
-            d[j, :] = d[:, j] = np.inf
-            label[label == j] = i
-        nodes = table.column("node").to_numpy()
-        return pa.table([table.column(by), pa.array(nodes), pa.array(nodes[label])], names=[by, "node", "label"])
-
-    return states.select(by, "node", "profile").groupBy(by).applyInArrow(run, f"{by} string, node long, label long")
+        found = merged_pairs(*(table.column(c).to_pylist() for c in ("a", "b", "distance")))
+        return pa.table([pa.array([table.column(by)[0].as_py()] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["of", "member", "label"])
+
+    merged = dealt.select(by, "part", "a", "b", "distance").groupBy(by, "part").applyInArrow(run, "of string, member long, label long")
+    return joined.select(by, "node").join(merged, (F.col(by) == F.col("of")) & (F.col("node") == F.col("member")), "left").select(by, "node", F.coalesce("label", "node").alias("label"))
 
 
 def summaries(states: DataFrame, labels: DataFrame, policy: Neighborhood = Neighborhood(), by: str = KEY) -> DataFrame:
@@ -100,7 +136,7 @@ def summaries(states: DataFrame, labels: DataFrame, policy: Neighborhood = Neigh
 
 def cluster_id(stream: str, segment: str, centroid: list[float], index: int) -> str:
     """The id under which a cluster is stored; it hashes the rounded centroid."""
-    text = ",".join(str(int(np.floor(x * 1e4 + 0.5))) for x in centroid)
+    text = ",".join(str(math.floor(x * 1e4 + 0.5)) for x in centroid)
     return f"BN:{stream}:{segment}:c{index}:{fnv32a(text)}"
 
 
@@ -114,3 +150,24 @@ def nearest(states: DataFrame, clusters: DataFrame, threshold: float | None = No
         return best
     near = F.col("distance") <= threshold
     return best.withColumns({"nearest": F.when(near, F.col("nearest")), "distance": F.when(near, F.col("distance"))})
+
+
+def rebuilt(states: DataFrame, stored: DataFrame | None, frames: DataFrame, policy: Neighborhood = Neighborhood(), segments: list[str] | None = None, by: str = KEY) -> tuple[DataFrame, DataFrame]:
+    """(the clusters after those of some segments are made anew, the frames with these segments assigned again).
+
+    ``stored`` has the columns of ``summaries``; other segments' clusters and
+    frames stay as they are.  ``frames`` has ``node, profile, nearest, distance``.
+    Segments without a state are refused.
+    """
+    if segments is not None:
+        states = states.where(F.col(by).isin(segments))
+        have = {r[by] for r in states.select(by).distinct().collect()}  # as many as are named
+        if lost := [x for x in segments if x not in have]:
+            raise ValueError(f"NO_STATES: no committed states found for {', '.join(lost)}")
+    link = single_link if policy.linkage == "single_link" else complete_link
+    new = written(summaries(states, link(states, policy.similarity_threshold, by), policy, by))
+    touched = states.select(by).distinct()
+    clusters = new if stored is None else stored.join(touched, by, "left_anti").unionByName(new)
+    again = frames.join(touched, by, "left_semi").drop("nearest", "distance")
+    placed = nearest(again, new.select(by, "label", "centroid"), policy.similarity_threshold, by)
+    return clusters, frames.join(touched, by, "left_anti").unionByName(placed.select(*frames.columns))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import ship
 from ..functions.numbers import wrapped_phase
 from ..functions.vectors import l1
 from ..plans.policies import Anomaly
+from .components import written
 
 EVENT = "array<struct<type:string,freq_hz:double,magnitude_delta:double,phase_delta:double,band_id:int>>"
 
@@ -103,45 +102,116 @@ def compare(pairs: DataFrame, policy: Anomaly = Anomaly()) -> DataFrame:
     ).drop("match")
 
 
-def segments(states: DataFrame, policy: Anomaly = Anomaly()) -> DataFrame:
+def _matched(current: list[dict], base: list[dict], tolerance: float) -> list[tuple[dict, dict]]:
+    """Pairs of bins as ``align_bins`` matches them."""
+    cur, bas = (sorted(x, key=lambda b: b["k"]) for x in (current, base))
+    by_k, used, out = {b["k"]: b for b in reversed(bas)}, set(), []
+    for b in cur:
+        other = by_k.get(b["k"])
+        if other is None and tolerance > 0:
+            other = next((o for o in bas if o["k"] not in used and abs(o["freq_hz"] - b["freq_hz"]) <= tolerance), None)
+        if other is not None:
+            used.add(other["k"])
+            out.append((b, other))
+    return out
+
+
+def _apart(policy: Anomaly) -> tuple[str, Callable]:
+    """(the column that the fold compares, how far two of its values are apart), as ``divergence`` has it."""
+    if policy.invariance_mode == "structural" or policy.divergence_metric == "l2_complex":
+
+        def bins(x: list[dict], y: list[dict]) -> float:
+            pairs = _matched(x, y, policy.frequency_tolerance_hz)
+            moved = sum((a["re"] - b["re"]) ** 2 + (a["im"] - b["im"]) ** 2 for a, b in pairs)
+            power = sum(b["re"] ** 2 + b["im"] ** 2 for _, b in pairs)
+            return (moved / max(power, 1e-12)) ** 0.5 if pairs else 1.0
+
+        return "kept_bins", bins
+    if policy.invariance_mode == "energy" or policy.divergence_metric == "energy_delta":
+        return "energy_raw", lambda x, y: abs(x - y) / max(abs(y), 1e-12)
+
+    def profiles(x: list[float], y: list[float]) -> float:
+        width = max(len(x), len(y))
+        return float(sum(abs(a - b) for a, b in zip([*x, *[0.0] * (width - len(x))], [*y, *[0.0] * (width - len(y))], strict=True)))
+
+    return "profile", profiles
+
+
+def segments(states: DataFrame, policy: Anomaly = Anomaly(), carried: DataFrame | None = None) -> DataFrame:
     """Adds ``epoch``, ``segment_id``, ``base_w`` (null for a baseline), ``divergence`` and ``novelty``.
 
     A stream's states are read in order by one task that holds no more than
     the baseline: the first state of a segment is its baseline, and one that
-    triggers the gate still belongs to the old segment.
+    triggers the gate still belongs to the old segment.  Only what the fold
+    compares goes through it; the rest of a state is joined back.
+
+    ``carried`` continues earlier tables: a row a stream as ``baselines`` gives it.
+
+    Inputs: a state without what is compared (null, or a list that holds null) is no baseline and
+    triggers nothing, its ``base_w`` and ``divergence`` being null; rows with a
+    null ``stream_id`` are a stream of their own; an empty table gives an empty one.
     """
-    if policy.invariance_mode not in ("band_profile", "energy") and policy.divergence_metric not in ("band_l1", "energy_delta"):
-        raise ValueError("the running baseline compares profiles or energies; use compare() for structural divergence")
-    by_energy = policy.invariance_mode == "energy" or policy.divergence_metric == "energy_delta"
+    what, apart = _apart(policy)
     spark = states.sparkSession
     ship(spark)
-    extra = [T.StructField("epoch", T.LongType()), T.StructField("base_w", T.LongType()), T.StructField("divergence", T.DoubleType()), T.StructField("novelty", T.BooleanType())]
-    schema = T.StructType([*states.schema.fields, *extra])
+    kind = states.schema[what].dataType
+    states = written(states.withColumn("__row", F.monotonically_increasing_id()))
+    narrow = states.select("__row", "stream_id", F.col("w").cast("long").alias("w"), "t_start", "t_end", what, F.lit(None).cast("long").alias("epoch"), F.lit(1).alias("__kind"))
+    if carried is not None:
+        before = carried.select(F.lit(None).cast("long").alias("__row"), "stream_id", F.col("w").cast("long").alias("w"), "t_start", "t_end", F.col(what).cast(kind).alias(what), "epoch", F.lit(0).alias("__kind"))
+        narrow = narrow.unionByName(before)
     threshold, least = policy.threshold_value, policy.novelty_min_duration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, epoch, base = object(), 0, None
         for batch in batches:
-            field = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
             out: list[tuple] = []
-            for s, w, a, z, e, p in zip(field("stream_id"), field("w"), field("t_start"), field("t_end"), field("energy_raw"), field("profile"), strict=True):
+            for row, s, w, a, z, x, known, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != stream:
                     stream, epoch, base = s, 0, None
-                if base is None:
-                    base = (w, e, np.asarray(p))
-                    out.append((epoch, None, None, False))
-                    continue
-                d = abs(e - base[1]) / max(abs(base[1]), 1e-12) if by_energy else float(sum(abs(x - y) for x, y in zip(p, base[2].tolist(), strict=False)))
-                new = d > threshold and z - a >= least
-                out.append((epoch, base[0], d, new))
-                if new:
-                    epoch, base = epoch + 1, None
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True))], names=schema.names)
-
-    ordered = states.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream_id").sortWithinPartitions("stream_id", "w")
-    folded = ordered.mapInArrow(run, schema)
-    return folded.withColumn("segment_id", F.concat(F.lit("seg:"), F.col("stream_id"), F.lit(":"), F.col("epoch").cast("string")))
+                usable = x is not None and not (isinstance(x, list) and None in x)
+                if row is None:  # what an earlier table left: its epoch, and the baseline if there is one
+                    epoch, base = known, (w, x) if usable else None
+                elif not usable:
+                    out.append((row, epoch, None, None, False))
+                elif base is None:
+                    base = (w, x)
+                    out.append((row, epoch, None, None, False))
+                else:
+                    d = apart(x, base[1])
+                    new = d > threshold and a is not None and z is not None and z - a >= least
+                    out.append((row, epoch, base[0], d, new))
+                    if new:
+                        epoch, base = epoch + 1, None
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["__row", "epoch", "base_w", "divergence", "novelty"])
+
+    ordered = narrow.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream_id").sortWithinPartitions("stream_id", "__kind", "w")
+    folded = ordered.mapInArrow(run, "__row long, epoch long, base_w long, divergence double, novelty boolean")
+    return states.join(folded, "__row").drop("__row").withColumn("segment_id", F.concat(F.lit("seg:"), F.col("stream_id"), F.lit(":"), F.col("epoch").cast("string")))
+
+
+def baselines(segmented: DataFrame, policy: Anomaly = Anomaly(), carried: DataFrame | None = None) -> DataFrame:
+    """A row a stream: where its fold stands after these states, for ``segments`` to go on from."""
+    what, _ = _apart(policy)
+    key = ["stream_id", "w", "t_start", "t_end", what, "epoch"]
+    order = Window.partitionBy("stream_id").orderBy(F.desc("w"))
+    last = segmented.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    # after a state that triggered the gate the next segment is open and has no baseline yet
+    opened = last.where("novelty").withColumns({"epoch": F.col("epoch") + 1, what: F.lit(None).cast(segmented.schema[what].dataType)}).select(*key)
+    rest = last.where("not novelty").select("stream_id", F.col("epoch").alias("__epoch"))
+    first = segmented.where(F.col("base_w").isNull() & F.col(what).isNotNull()).groupBy("stream_id", "epoch").agg(F.min_by(F.struct(*key), "w").alias("b")).select("b.*")
+    kept = first.join(rest.withColumnRenamed("stream_id", "__s"), F.col("stream_id").eqNullSafe(F.col("__s")) & (F.col("epoch") == F.col("__epoch")), "right")
+    own = kept.where("epoch is not null").select(*key)
+    waiting = kept.where("epoch is null").select(F.col("__s").alias("stream_id"), F.col("__epoch").alias("epoch"))
+    if carried is None:
+        none = segmented.schema
+        return opened.unionByName(own).unionByName(waiting.select("stream_id", *[F.lit(None).cast(none[c].dataType).alias(c) for c in key[1:5]], "epoch"))
+    # a segment that goes on keeps its baseline, and a stream without new states its place
+    old = carried.select(*key)
+    going = old.join(waiting.select(F.col("stream_id").alias("__s")), F.col("stream_id").eqNullSafe(F.col("__s")), "left_semi")
+    quiet = old.join(last.select(F.col("stream_id").alias("__s")), F.col("stream_id").eqNullSafe(F.col("__s")), "left_anti")
+    return opened.unionByName(own).unionByName(going).unionByName(quiet)
 
 
 def transitions(segmented: DataFrame) -> DataFrame:

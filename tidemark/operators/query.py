@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, l1
 from ..plans.policies import Query
+from .components import written
 
 
 class QueryError(ValueError):
@@ -50,6 +51,37 @@ def scoped(states: DataFrame, scope: Scope, check: bool = True) -> DataFrame:
     return out
 
 
+#: What is wrong with a corpus entry, in the order in which it is looked for (fixed texts).
+FAULTS = ("all corpus entries must have valid state_id", "all corpus entries must have valid stream_id", "all corpus entries must have valid segment_id", "all corpus entries must have valid window_span", "all corpus entries must have valid grid", "all corpus entries must have kept_bins[]")
+
+
+def corpus_fault(columns: list[str]) -> Column:
+    """The first fault of a corpus entry, null if it has none; a column that the table lacks counts as null."""
+    col = lambda c, kind="string": F.col(c) if c in columns else F.lit(None).cast(kind)
+    blank = lambda c: F.coalesce(col(c) == "", F.lit(True))
+    odd = lambda c: F.coalesce(F.isnan(col(c, "double")) | (F.abs(col(c, "double")) == float("inf")), F.lit(True))
+    checks = (blank("state_id"), blank("stream_id"), blank("segment_id"), odd("t_start") | odd("t_end"), odd("rate") | odd("size"), col("kept_bins", "array<int>").isNull())
+    return F.coalesce(*[F.when(bad, F.lit(why)) for bad, why in zip(checks, FAULTS, strict=True)])
+
+
+def checked(states: DataFrame) -> DataFrame:
+    """The corpus, refused if an entry has a fault."""
+    found = {r[0] for r in states.select(corpus_fault(states.columns).alias("f")).where("f is not null").distinct().collect()}  # six texts at most
+    if found:
+        raise QueryError("INVALID_CORPUS", next(why for why in FAULTS if why in found))
+    return states
+
+
+def corpus(states: DataFrame, segment_id: str | None = None, stream_id: str | None = None, artifact_class: str | None = None) -> DataFrame:
+    """Committed states that a query looks at; refused if there is none."""
+    for column, wanted in (("segment_id", segment_id), ("stream_id", stream_id), ("artifact_class", artifact_class)):
+        if wanted is not None:
+            states = states.where(F.col(column) == wanted)
+    if states.isEmpty():
+        raise QueryError("EMPTY_CORPUS", "no committed states match the query opts filters")
+    return states
+
+
 def complex_distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two sparse spectra, frequencies that one lacks counting as 0."""
     square = lambda x: x * x
@@ -89,18 +121,28 @@ def explanation(mode: str, policy: Query, a: Column, b: Column) -> Column:
     return F.struct(F.lit(policy.scoring).alias("metric"), l1(a["profile"], b["profile"]).alias("band_profile_l1"))
 
 
-def _ranked(rows: DataFrame, limit: int | None, *order: Column) -> DataFrame:
-    """Ranks from 1; a limited list is cut before it is numbered, so only its rows are sorted in one place."""
-    if limit is not None:
-        rows = rows.orderBy(*order).limit(limit)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+def _ranked(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """Ranks from 1; the list is cut before it is numbered, so only its rows are sorted in one place."""
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Ranks of all rows, ascending: dealt to ranges, numbered inside each, and moved on by the rows of the ranges before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    first = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__at", inside).join(F.broadcast(first), "__range").withColumn("rank", (F.col("__first") + F.col("__at")).cast("int")).drop("__range", "__first", "__at")
 
 
 _ITEM = ("ref", "score", "artifact_class", "stream_id", "segment_id", "t_start", "t_end", "explain")
 
 
-def similarity(states: DataFrame, query: DataFrame, scope: Scope, mode: str, policy: Query, check: bool = True) -> DataFrame:
-    """The states most like the one state of ``query``."""
+def similarity(states: DataFrame, query: DataFrame | None, scope: Scope, mode: str, policy: Query, check: bool = True, waveform: DataFrame | None = None) -> DataFrame:
+    """The states most like the one state of ``query``; a waveform must have been made a state before."""
+    if query is None:
+        raise QueryError("INVALID_QUERY", "a waveform must be transformed to a state first" if waveform is not None else "a similarity query requires a state or a waveform")
     corpus = scoped(states, scope, check)
     one = query.limit(1).select(F.struct(*query.columns).alias("q"))
     rows = corpus.select(F.struct(*corpus.columns).alias("s")).join(F.broadcast(one))  # one row, by construction
@@ -134,12 +176,16 @@ def band_lookup(states: DataFrame, band: str, scope: Scope, policy: Query, check
 def energy_trend(states: DataFrame, scope: Scope, check: bool = True) -> DataFrame:
     """All states in scope by time, with their energy."""
     rows = scoped(states, scope, check).withColumns({"ref": F.col("state_id"), "score": F.col("energy_raw"), "explain": F.struct("energy_raw")})
-    return _ranked(rows.select(*_ITEM), None, F.asc("t_start"), F.asc("ref"))
+    return _numbered(rows.select(*_ITEM), "t_start", "ref")
 
 
 def compare(states: DataFrame, baseline: str, current: str, scope: Scope, mode: str, policy: Query, check: bool = True) -> DataFrame:
-    """How alike two states of the scope are; no row if either isn't there."""
+    """How alike two states of the scope are; if either isn't there, refused with ``check``, else no row."""
+    if not baseline or not current:
+        raise QueryError("INVALID_QUERY", "compare requires query.baseline_ref and query.current_ref")
     corpus = scoped(states, scope, check)
+    if check and corpus.where(F.col("state_id").isin(baseline, current)).select("state_id").distinct().count() < len({baseline, current}):
+        raise QueryError("REF_NOT_FOUND", "baseline_ref/current_ref not found in scoped corpus")
     side = lambda ref, name: corpus.where(F.col("state_id") == ref).limit(1).select(F.struct(*corpus.columns).alias(name))
     rows = side(baseline, "a").join(side(current, "b"))  # a row each
     a, b = F.col("a"), F.col("b")

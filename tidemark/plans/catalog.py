@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import language, probes
+from ..functions import language, probes, schemas
 from ..functions import receipts as checks
 from ..operators import align, digest, frames, graph, ingest, merge, neighborhoods, novelty, posture, reduce, replay, runs, spectrum, trajectory
 from ..operators import query as q
@@ -359,11 +359,11 @@ def novelty_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir, Anomaly(invariance_mode="structural", divergence_metric="l2_complex")).select(*rounded("stream_id", "w", "divergence_score~", "bins_compared"))
 
 
-@query(f"WITH {sql.STATES} {_MATCHED}, ev AS (SELECT stream_id, w, 'new_frequency' AS type, cf AS freq_hz, cm AS magnitude_delta, NULL::INTEGER AS band_id FROM matched WHERE bk IS NULL AND cm >= 0.5 UNION ALL SELECT stream_id, w, 'vanished_frequency', bf, -bm, NULL FROM matched WHERE ck IS NULL AND bm >= 0.5 UNION ALL SELECT stream_id, w, 'drift', cf, cm - bm, NULL FROM matched WHERE ck = bk AND k NOT IN (0, 32) AND greatest(cm, bm) >= 0.5 UNION ALL SELECT stream_id, w, 'energy_shift', NULL, d, CAST(band AS INTEGER) FROM (SELECT stream_id, w, unnest(range(len(cp))) AS band, unnest(list_transform(list_zip(cp, bp), lambda p: p[1] - p[2])) AS d FROM paired) WHERE abs(d) >= 0.002) SELECT stream_id, w, type, {r('freq_hz')}, {r('magnitude_delta')}, band_id FROM ev")
+@query(f"WITH {sql.STATES} {_MATCHED}, ev AS (SELECT stream_id, w, 'new_frequency' AS type, cf AS freq_hz, cm AS magnitude_delta, NULL::INTEGER AS band_id FROM matched WHERE bk IS NULL AND cm >= 0.5 UNION ALL SELECT stream_id, w, 'vanished_frequency', bf, -bm, NULL FROM matched WHERE ck IS NULL AND bm >= 0.5 UNION ALL SELECT stream_id, w, 'drift', cf, cm - bm, NULL FROM matched WHERE ck = bk AND (k NOT IN (0, 32) OR (cre < 0) <> (bre < 0)) AND greatest(cm, bm) >= 0.5 UNION ALL SELECT stream_id, w, 'energy_shift', NULL, d, CAST(band AS INTEGER) FROM (SELECT stream_id, w, unnest(range(len(cp))) AS band, unnest(list_transform(list_zip(cp, bp), lambda p: p[1] - p[2])) AS d FROM paired) WHERE abs(d) >= 0.002) SELECT stream_id, w, type, {r('freq_hz')}, {r('magnitude_delta')}, band_id FROM ev")
 def detected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = Anomaly(dominant_bin_threshold=0.5, new_frequency_threshold=0.5, vanished_frequency_threshold=0.5, energy_shift_threshold=0.002)
     rows = _neighbours(spark, sf_dir, policy).select("stream_id", "w", F.explode("detected_events").alias("e")).select("stream_id", "w", "e.*")
-    return rows.where("type <> 'drift' or (freq_hz > 0 and freq_hz < 0.5)").select(*rounded("stream_id", "w", "type", "freq_hz~", "magnitude_delta~", "band_id"))
+    return rows.select(*rounded("stream_id", "w", "type", "freq_hz~", "magnitude_delta~", "band_id"))
 
 
 @query()
@@ -671,6 +671,54 @@ def legitimacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.legitimacy(rows).select("o_orderkey", (F.size("reasons") == 0).alias("ok"), F.size("reasons").alias("reason_count"))
 
 
+@query(f"""WITH {_VECS}, pairs AS (SELECT 'MO:' || a.state_id AS "from", 'MO:' || b.state_id AS "to" FROM vecs a JOIN vecs b ON a.commit_idx < b.commit_idx WHERE round({_DISTANCE}, 9) <= 0.13 AND a.artifact_class = 'H1' AND b.artifact_class = 'H1')
+SELECT 'GDE:0:structural_similarity:' || "from" || ':' || "to" AS edge_id, 'structural_similarity' AS edge_type, 'L2' AS layer, "from", "to" FROM pairs WHERE "from" = (SELECT min("from") FROM pairs)""")
+def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of one node: the first that has any."""
+    found = written(graph.similarity_edges(_vecs(spark, sf_dir), graph.Similarity(spectral_threshold=0.13, artifact_class="H1")))
+    first = found.agg(F.min("from")).first()[0]
+    return graph.derived_edges(found, edge_type="structural_similarity", layer="L2", start=first or "").select("edge_id", "edge_type", "layer", "from", "to")
+
+
+_ENTRIES = """e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 <> 0 THEN 'S' || o_orderkey END AS state_id, CASE WHEN o_orderkey % 13 <> 0 THEN 'T' END AS stream_id, CASE WHEN o_orderkey % 5 <> 0 THEN 'G' END AS segment_id, CASE WHEN o_orderkey % 3 = 0 THEN 'nan'::DOUBLE ELSE 0 END AS t_start, CASE WHEN o_orderkey % 17 = 0 THEN 'inf'::DOUBLE ELSE 1 END AS rate, o_orderkey % 4 = 0 AS no_bins FROM orders)"""
+
+
+@query(f"""WITH {_ENTRIES} SELECT o_orderkey, CASE WHEN coalesce(state_id, '') = '' THEN 'all corpus entries must have valid state_id' WHEN stream_id IS NULL THEN 'all corpus entries must have valid stream_id' WHEN segment_id IS NULL THEN 'all corpus entries must have valid segment_id' WHEN NOT isfinite(t_start) THEN 'all corpus entries must have valid window_span' WHEN NOT isfinite(rate) THEN 'all corpus entries must have valid grid' WHEN no_bins THEN 'all corpus entries must have kept_bins[]' END AS fault FROM e""")
+def query_corpus_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k, F.when(k % 7 == 0, F.lit("")).when(k % 11 != 0, F.concat(F.lit("S"), k.cast("string"))).alias("state_id"), F.when(k % 13 != 0, F.lit("T")).alias("stream_id"), F.when(k % 5 != 0, F.lit("G")).alias("segment_id"),
+        F.when(k % 3 == 0, F.lit(float("nan"))).otherwise(0.0).alias("t_start"), F.lit(1.0).alias("t_end"), F.when(k % 17 == 0, F.lit(float("inf"))).otherwise(1.0).alias("rate"), F.lit(64).alias("size"), F.when(k % 4 != 0, F.array(F.lit(1))).alias("kept_bins"),
+    )
+    return rows.select("o_orderkey", q.corpus_fault(rows.columns).alias("fault"))
+
+
+#: A log entry of each order, with a field each that may be missing, null, of another type, empty or unknown.
+_LOGGED = """d AS (SELECT o_orderkey, '{"pass_id": ' || CASE o_orderkey % 4 WHEN 0 THEN '""' WHEN 1 THEN '7' ELSE '"p"' END || ', "role": "r", "active_subject_id": "s", "state_before": "a", "state_after": "b"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ', "accepted_changes": ' || CASE o_orderkey % 5 WHEN 0 THEN '[""]' WHEN 1 THEN 'null' WHEN 2 THEN '["x", 1]' ELSE '["x"]' END END || ', "rejected_changes": [], "live_tensions": []' || CASE WHEN o_orderkey % 7 = 0 THEN ', "more": 1' ELSE '' END || ', "recommended_next_role": "q"}' AS doc FROM orders)"""
+
+
+@query(f"""WITH {_LOGGED}, b AS (SELECT o_orderkey, o_orderkey % 4 < 2 AS pass, o_orderkey % 3 = 0 OR o_orderkey % 5 < 3 AS accepted, list_contains(json_keys(doc), 'more') AS more FROM d) SELECT o_orderkey, array_to_string(list_filter([CASE WHEN pass THEN 'pass_id' END, CASE WHEN accepted THEN 'accepted_changes' END, CASE WHEN more THEN 'more' END], lambda x: x IS NOT NULL), ' ') AS broken FROM b""")
+def format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    case = lambda n, *texts: F.element_at(F.array(*map(F.lit, texts)), (k % n + 1).cast("int"))
+    accepted = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(', "accepted_changes": '), case(5, '[""]', "null", '["x", 1]', '["x"]', '["x"]')))
+    doc = F.concat(F.lit('{"pass_id": '), case(4, '""', "7", '"p"', '"p"'), F.lit(', "role": "r", "active_subject_id": "s", "state_before": "a", "state_after": "b"'), accepted, F.lit(', "rejected_changes": [], "live_tensions": []'), F.when(k % 7 == 0, F.lit(', "more": 1')).otherwise(F.lit("")), F.lit(', "recommended_next_role": "q"}'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc")).select("o_orderkey", F.array_join(schemas.broken(F.col("doc"), "cycle_log_entry"), " ").alias("broken"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'per_run_rows' WHEN 1 THEN 'per_cohort_rows' WHEN 2 THEN 'labeled_replay.per_run_rows' ELSE 'none' END AS path, o_orderkey % 6 AS n, CASE o_orderkey % 3 WHEN 0 THEN 'probe_summary' WHEN 1 THEN 'cross_family_summary' ELSE 'none' END AS summary, o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AS not_canon FROM orders)
+SELECT o_orderkey, path, CAST(CASE WHEN path = 'none' THEN 0 ELSE n END AS INTEGER) AS row_count, summary AS summary_path, summary <> 'none' AS available, not_canon, CAST(n AS INTEGER) AS comparisons FROM r""")
+def probe_report_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    items = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), (k % 6).cast("int")), ","), F.lit("]"))
+    rows = F.when(k % 4 == 0, F.concat(F.lit('"per_run_rows": '), items)).when(k % 4 == 1, F.concat(F.lit('"per_cohort_rows": '), items)).when(k % 4 == 2, F.concat(F.lit('"labeled_replay": {"per_run_rows": '), items, F.lit("}"))).otherwise(F.lit('"x": 1'))
+    canon = F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit('"true"'))
+    summary = F.when(k % 3 == 0, F.lit('"probe_summary": {}')).when(k % 3 == 1, F.concat(F.lit('"cross_family_summary": {"not_canon": '), canon, F.lit("}"))).otherwise(F.lit('"probe_summary": null'))
+    report = F.concat(F.lit("{"), rows, F.lit(", "), summary, F.lit(', "comparisons": '), items, F.lit("}"))
+    made = table(spark, sf_dir, "orders").select("o_orderkey", schemas.probe_receipt(report).alias("r"))
+    return made.select("o_orderkey", F.col("r.row_surface.path").alias("path"), F.col("r.row_surface.row_count").alias("row_count"), F.col("r.summary_surface.path").alias("summary_path"), F.col("r.summary_surface.available").alias("available"), F.col("r.posture_flags.not_canon_evidence").alias("not_canon"), F.col("r.counts.comparison_count").alias("comparisons"))
+
+
 # --- runs ----------------------------------------------------------------------------------------------------------------
 
 _SIG = "sig AS (SELECT user_id % 12 AS run_idx, 'run_' || (user_id % 12) AS run_label, count(*) FILTER (event_type = 'click') AS h1_count, count(*) FILTER (event_type = 'view') AS m1_count, count(*) FILTER (event_type = 'purchase') AS anomaly_count, count(*) AS state_count, count(DISTINCT event_type) AS segment_count, avg(value) AS dominant_frequency_hz_mean, avg(value) / 100 AS recurrence_mean, [avg(value) / 500, 1 - avg(value) / 500] AS h1_band_profile_mean FROM events GROUP BY user_id % 12)"
@@ -739,6 +787,14 @@ def cycle_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.deltas(_cycles(spark, sf_dir), "session")
 
 
+@query(f"WITH {_CYCLES}, l AS (SELECT *, lag(cycle_index) OVER w AS p, lag(state_count) OVER w AS ps, lag(recurrence) OVER w AS pr, lag(convergence) OVER w AS pc FROM cycles WINDOW w AS (PARTITION BY session ORDER BY cycle_index)) SELECT session, cycle_index, chr(10) || 'Cycle ' || cycle_index || chr(10) || '  run_label: -' || chr(10) || '  stream_id: ' || coalesce(stream_id, '-') || chr(10) || chr(10) || '  run_health:' || chr(10) || '    states=' || state_count || '  basins=0  segments=0  skipped=0  merge_failures=0' || chr(10) || chr(10) || '  structure:' || chr(10) || '    convergence=' || coalesce(convergence, '-') || chr(10) || '    motion=-' || chr(10) || '    occupancy=-' || chr(10) || '    recurrence=' || coalesce(recurrence, '-') || chr(10) || '    continuity=-' || chr(10) || chr(10) || '  delta_vs_prev:' || chr(10) || '    state_count=' || CASE WHEN p IS NULL THEN 'n/a' WHEN state_count IS NOT DISTINCT FROM ps THEN 'no_change' ELSE 'changed' END || chr(10) || '    convergence=' || CASE WHEN p IS NULL THEN 'n/a' WHEN convergence IS NOT DISTINCT FROM pc THEN 'no_change' ELSE 'changed' END || chr(10) || '    recurrence=' || CASE WHEN p IS NULL THEN 'n/a' WHEN recurrence IS NOT DISTINCT FROM pr THEN 'no_change' ELSE 'changed' END || chr(10) || '    cross_run_count=0' || chr(10) AS text FROM l")
+def cycle_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cycles(spark, sf_dir)
+    changes = digest.deltas(rows, "session").select("session", "cycle_index", "state_count_changed", "convergence_changed", "recurrence_changed")
+    both = rows.select("session", "cycle_index", "stream_id", "state_count", "convergence", "recurrence").join(changes, ["session", "cycle_index"])
+    return both.select("session", "cycle_index", digest.summary_text(both.columns).alias("text"))
+
+
 @query(f"WITH {_CYCLES} SELECT session, cycle_index, row_number() OVER (PARTITION BY session ORDER BY cycle_index DESC) > 20 AS pruned, 'receipt_cycle_' || CASE WHEN cycle_index < 10000 THEN lpad(cycle_index::VARCHAR, 4, '0') ELSE cycle_index::VARCHAR END || '_run_' || session || '.json' AS file_name FROM cycles")
 def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = digest.retained(_cycles(spark, sf_dir), "session", 20)

@@ -84,3 +84,18 @@ def bundle(summary: DataFrame, **tables: DataFrame) -> DataFrame:
         rows = df.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "stream_id"]))).alias(name))
         out = out.join(rows, "stream_id", "left")
     return out.select("stream_id", F.to_json(F.struct("summary", *tables)).alias("document"))
+
+
+def bundles(spark: SparkSession, root: str, cases: set[str] | None = None, name: str = "workbench.json") -> list[tuple[str, str]]:
+    """(case, path) of the bundles under a folder by case: its own is ``default``, a subfolder's has the subfolder's name."""
+    fs, top = _fs(spark, root)
+    if not fs.exists(top):
+        return []
+    found = [("default", f"{root.rstrip('/')}/{name}")] + [(s.getPath().getName(), f"{root.rstrip('/')}/{s.getPath().getName()}/{name}") for s in fs.listStatus(top) if s.isDirectory()]
+    return sorted((case, path) for case, path in found if (not cases or case in cases) and fs.exists(_fs(spark, path)[1]))
+
+
+def run_stamp(at: Column) -> Column:
+    """A time as part of a folder's name: ISO 8601 in UTC with milliseconds, ``:`` and ``.`` as ``-``."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")

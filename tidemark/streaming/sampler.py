@@ -30,7 +30,7 @@ def step(last: float | None, t: np.ndarray, v: np.ndarray) -> tuple[float | None
     return (float(max(floor, known.max())) if len(t) and max(floor, known.max()) > -np.inf else last), kept
 
 
-def _accept(size: int, hop: int, finish: bool) -> Callable:
+def _accept(size: int, hop: int, idle_ms: int | None) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, accepted, started, ts, vs = state.get if state.exists else (None, 0, 0, [], [])
         ts, vs = list(ts), list(vs)
@@ -46,24 +46,31 @@ def _accept(size: int, hop: int, finish: bool) -> Callable:
         while len(ts) >= size:
             out.append((key[0], started, ts[0], size, vs[:size], False))
             ts, vs, started = ts[hop:], vs[hop:], started + 1
-        if finish and state.hasTimedOut and ts:
+        if state.hasTimedOut and ts:
+            # the stream has ended, or pauses: what is left of the buffer comes out as a last, shorter frame
             out.append((key[0], started, ts[0], len(ts), vs, True))
-            state.remove()
-        else:
-            state.update((last, accepted, started, ts, vs))
+            ts, vs, started = [], [], started + 1
+        state.update((last, accepted, started, ts, vs))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "w", "t0", "size", "raw", "last"])
 
     return run
 
 
-def framed(samples: DataFrame, size: int, hop: int) -> DataFrame:
-    """Sliding frames (tumbling chunks where ``hop`` is ``size``) of a stream of samples, as soon as they are full."""
+def framed(samples: DataFrame, size: int, hop: int, idle_ms: int | None = None) -> DataFrame:
+    """Sliding frames (tumbling chunks where ``hop`` is ``size``) of a stream of samples, as soon as they are full.
+
+    A key without a sample for ``idle_ms`` of processing time gives what its
+    buffer still holds as a shorter frame whose ``last`` is true; null: never.
+    """
     ship(samples.sparkSession)
-    return samples.groupBy("stream_id").applyInPandasWithState(_accept(size, hop, False), FRAMES, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return samples.groupBy("stream_id").applyInPandasWithState(_accept(size, hop, idle_ms), FRAMES, STATE, "append", timeout)
 
 
-def chunked(samples: DataFrame, size: int) -> DataFrame:
-    return framed(samples, size, size)
+def chunked(samples: DataFrame, size: int, idle_ms: int | None = None) -> DataFrame:
+    return framed(samples, size, size, idle_ms)
 
 
 def commit_batches(states: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
