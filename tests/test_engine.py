@@ -139,6 +139,44 @@ def test_lane_is_the_batch_chain(spark, tmp_path):
 # --- sources
 
 
+def test_sampler_faults(spark):
+    rows = spark.createDataFrame([("s", "m", 1.0), ("", "m", 0.0), (None, " ", float("nan"))], "a string, b string, c double")
+    got = [r[0] for r in rows.select(sampler.config_faults(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert [len(x) for x in got] == [0, 2, 3]
+    some = spark.createDataFrame([("x", i, float(i), float(i * i)) for i in range(10)], "stream_id string, seq long, t double, v double")
+    assert sampler.flush(some).count() == 10 and sampler.flush(some, 4).count() == 4
+    for code, call in (("BUFFER_EMPTY", lambda: sampler.flush(some.limit(0))), ("EMPTY_IMPORT", lambda: sampler.imported(some.limit(0))), ("INVALID_CONFIG", lambda: sampler.rms_envelope(some, 0, 1.0))):
+        with pytest.raises(sampler.SamplerError, match=code):
+            call()
+    assert [r["t"] for r in sampler.imported(some.drop("t"), 2.0, 5.0).orderBy("seq").limit(3).collect()] == [5.0, 5.5, 6.0]
+    one = sampler.described(some, "src", "sound", 8.0, clock_policy_id="c").first()
+    assert one["values"] == [float(i * i) for i in range(10)] and one["source"]["Fs_nominal"] == 8.0 and one["faults"] == []
+
+
+def test_live_cycles(spark, tmp_path):
+    from tidemark.plans import live, policies, session
+
+    with pytest.raises(ValueError, match="unsupported source mode"):
+        live.source(spark, "radio")
+    one = session.Session(spark, policies.bench_policies())
+    rows = list(live.cycles(one, live.source(spark, "sampler_flush_chunk", chunk=1024), str(tmp_path / "live"), str(tmp_path / "receipts"), number=3, keep=2, mode="sampler_flush_chunk"))
+    assert [r["cycle_index"] for r in rows] == [1, 2, 3] and rows[0]["state_count_changed"] == "n/a" and rows[1]["state_count_changed"] in ("changed", "no_change")
+    assert sorted(p.name for p in (tmp_path / "live").iterdir()) == ["cycle_02", "cycle_03"]
+    assert [c for c, _ in files.list_receipts(spark, str(tmp_path / "receipts"))] == [2, 3]
+    assert (tmp_path / "live/cycle_03/summary.txt").read_text() == rows[2]["text"] and "Cycle 3" in rows[2]["text"]
+    assert spark.read.json(str(tmp_path / "live/cycle_03/workbench")).count() == 1
+
+
+def test_prompts(spark, tmp_path):
+    view = {"scope": {"stream_id": "s"}, "x": [1]}
+    text = reviews.prompt(view, "answer")
+    assert text.splitlines()[1] == reviews.INSTRUCTIONS[0] and text.endswith(json.dumps(view, indent=2))
+    body = text.split("matching this template:\n")[1].split("\n\nLM input")[0]
+    assert json.loads(body) == reviews.template("answer", "s") and json.loads(body)["authority_posture"] == language.POSTURE
+    paths = reviews.stage(spark, view, str(tmp_path / "stage"), "answer")
+    assert json.loads((tmp_path / "stage/lm_input.json").read_text()) == view and (tmp_path / "stage/lm_prompt.txt").read_text() == text + "\n" and "lm_output" in paths
+
+
 def test_bundles_and_stamps(spark, tmp_path):
     for case in ("b", "a", "empty"):
         (tmp_path / "w" / case).mkdir(parents=True)

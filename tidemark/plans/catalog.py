@@ -532,11 +532,11 @@ def neighborhood_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighborhoods.summaries(nodes, labels, Neighborhood(min_member_count=2), "stream_id").select(*rounded("stream_id", "label", "member_count", "centroid_energy_raw~", "radius~", "mean_distance~", "total_duration_sec~", "t_start~", "t_end~"))
 
 
-@query(f"{_CENTRES}, d AS (SELECT s.stream_id, s.w AS node, c.label AS nearest, {sql.l1('s.profile', 'c.centroid')} AS distance FROM states s JOIN centres c ON c.stream_id = s.stream_id), b AS (SELECT *, row_number() OVER (PARTITION BY stream_id, node ORDER BY distance, nearest) AS n FROM d) SELECT stream_id, node, CASE WHEN distance <= 0.003 THEN nearest END AS nearest, {r('CASE WHEN distance <= 0.003 THEN distance END', 'distance')} FROM b WHERE n = 1")
+@query(f"{_CENTRES}, d AS (SELECT s.stream_id, s.w AS node, c.label AS nearest, {sql.l1('s.profile', 'c.centroid')} AS distance FROM states s JOIN centres c ON c.stream_id = s.stream_id), b AS (SELECT *, row_number() OVER (PARTITION BY stream_id, node ORDER BY distance, nearest) AS n FROM d) SELECT stream_id, node, CASE WHEN distance <= 0.05 THEN nearest END AS nearest, {r('CASE WHEN distance <= 0.05 THEN distance END', 'distance')} FROM b WHERE n = 1")
 def nearest_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     clusters = neighborhoods.summaries(nodes, neighborhoods.single_link(nodes, sql.NEAR, "stream_id"), Neighborhood(), "stream_id")
-    return neighborhoods.nearest(nodes.select("stream_id", "node", "profile"), clusters.select("stream_id", "label", "centroid"), 0.003, "stream_id").select(*rounded("stream_id", "node", "nearest", "distance~"))
+    return neighborhoods.nearest(nodes.select("stream_id", "node", "profile"), clusters.select("stream_id", "label", "centroid"), 0.05, "stream_id").select(*rounded("stream_id", "node", "nearest", "distance~"))
 
 
 # --- trajectory ----------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from ..sources.signals import EPOCH_US
 MULTIPLIER, SIZE, HOP, MISSING, BUDGET = 8, 64, 32, 0.25, 8
 EDGES = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 THRESHOLD = 0.012
-NEAR = 0.004
+NEAR = 0.07
 
 SAMPLES = f"""samples AS (SELECT event_type AS stream_id, event_id AS seq, (epoch_us(ts) - {EPOCH_US})::DOUBLE / 3.6e9 AS t, value AS v FROM events)"""
 
