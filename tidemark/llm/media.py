@@ -58,14 +58,19 @@ def encode(payload: bytes, width: int = WIDTH, level: int = 3) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def _paeth(line: np.ndarray, above: np.ndarray) -> None:
-    a = c = 0
-    for i in range(len(line)):
-        b = int(above[i])
+def _diagonals(kind: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Undoes any mix of filters along the image's diagonals: a sample needs those to its left and above, which are one or two diagonals before."""
+    height, width = out.shape
+    done = np.zeros((height + 1, width + 1), dtype=np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height - 1, d) + 1)
+        x = d - y
+        a, b, c = done[y + 1, x], done[y, x + 1], done[y, x]
         p = a + b - c
-        near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        a = (int(line[i]) + near) & 255
-        line[i], c = a, b
+        pa, pb, pc_ = np.abs(p - a), np.abs(p - b), np.abs(p - c)
+        near = np.where((pa <= pb) & (pa <= pc_), a, np.where(pb <= pc_, b, c))
+        done[y + 1, x + 1] = (out[y, x] + np.choose(kind[y], (np.zeros_like(a), a, b, (a + b) >> 1, near))) & 255
+    return done[1:, 1:].astype(np.uint8)
 
 
 def unfilter(lines: np.ndarray) -> np.ndarray:
@@ -73,20 +78,13 @@ def unfilter(lines: np.ndarray) -> np.ndarray:
     kind, out = lines[:, 0], lines[:, 1:].copy()
     if kind.size and kind.max() > 4:
         raise ValueError("unknown filter")
+    if (kind >= 3).any():
+        return _diagonals(kind, out)
     sub = kind == 1
     out[sub] = np.cumsum(out[sub], axis=1, dtype=np.uint64).astype(np.uint8)
-    rest = np.flatnonzero(kind >= 2)
-    blank = np.zeros(out.shape[1], dtype=np.uint8)
-    for y in rest.tolist():
-        above = out[y - 1] if y else blank
-        if kind[y] == 2:
-            out[y] += above
-        elif kind[y] == 3:
-            left = 0
-            for x in range(out.shape[1]):
-                left = out[y, x] = (int(out[y, x]) + (left + int(above[x])) // 2) & 255
-        else:
-            _paeth(out[y], above)
+    for y in np.flatnonzero(kind == 2).tolist():
+        if y:
+            out[y] += out[y - 1]
     return out
 
 

@@ -111,10 +111,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     given = pick(rules, "host", "path", "verdict").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null and host <> ''")
     known = given.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(host_key(F.col("host")).alias("node"), "path", F.concat("host", "path").alias("rule"), "verdict")
     urls = pick(pages, page_id=id_col, url=url_col).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    places = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).select("host", "path")
+    places = urls.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).select("host", "path")
     hosts = places.select("host").distinct().select("host", host_key(F.col("host")).cast("binary").alias("key"))
     enclosed = sweep(hosts, _host_boundaries(known)).where(F.size("stack") > 0).select("host", "stack")
     inner = places.join(enclosed, "host").select("host", "path", F.explode("stack").alias("node"))
     swept = sweep(inner.select("host", "path", _path_key(F.col("node"), F.col("path")).alias("key")), _path_boundaries(known))
     best = swept.where("stack.rule is not null").groupBy("host", "path").agg(F.max_by("stack", F.struct(F.length("stack.rule"), "stack.rule")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # pages without a url have no rule: they are dealt by their ids, not all by one empty host
+    spread = F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id"), F.lit(1 << 20))).otherwise(F.lit(0)).alias("__spread")
+    some = urls.select("page_id", "host", "path", spread).join(best.withColumn("__spread", F.lit(0).cast("long")), ["host", "path", "__spread"], "left")
+    return some.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
