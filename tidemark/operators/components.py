@@ -4,24 +4,57 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows from a table in the folder that driver and executors share: their lineage ends there."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """This application's own folder in the one that driver and executors share; it goes when the application ends.
+
+    A local session that names no shared folder gets one; a cluster must name one.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        path = spark.sparkContext.getCheckpointDir()
-    path = f"{path.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        path = context.getCheckpointDir()
+    own = f"{path.rstrip('/')}/tidemark-{context.applicationId}"
+    if own not in _LEAVING:
+        fs, at = _fs(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _LEAVING.add(own)
+    return own
+
+
+#: Folders that are marked to go with their application.
+_LEAVING: set[str] = set()
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder: their lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    if path := getattr(df, "_written_at", None):
+        fs, at = _fs(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
@@ -38,5 +71,8 @@ def components(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
         up = lower.select(by, F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(lower.join(up, [by, "label"], "left").select(by, "node", F.least("label", "up").alias("label")))
         if new.join(labels.withColumnRenamed("label", "old"), [by, "node"]).where("label <> old").isEmpty():
+            discard(both)
+            discard(labels)
             return new
+        discard(labels)
         labels = new
