@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..operators.components import discard, written
+
+__all__ = ["cut", "discard", "lean", "partitions", "pick", "place", "prepare", "runs", "share_of", "size_of"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,25 +52,8 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return safe.select(*[F.col(f"__c{place(have, old)}").alias(new) for new, old in [*((n, n) for n in names), *renamed.items()]])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A local session that names none gets one of its own; a cluster must name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to a table in the shared folder and reads it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes the rows to a table in the shared folder and reads it back: its lineage ends there.
+cut = written
 
 
 def partitions(spark: SparkSession) -> int:
