@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,53 +35,63 @@ PLACED = PIECES + ", sequence_id long, offset long"
 
 #: Texts of these characters alone are split here, and a word's ids looked up; all others go to the tokenizer whole.
 PLAIN = r"[\t\n\r\x20-\x7e¡-§©«-¬°-±¶-·»¿-ÖØ-öø-ÿ]*"
-#: The word pattern of the vocabulary file, over those characters.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
+#: The word pattern of the vocabulary file, over those characters; what most words are is tried first.
+PIECE = r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of words' ids (about 200 bytes each)."""
+    """Token ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, end_id: int, limit: int = 200_000) -> None:
+    A batch's different words are looked up, and the new ones encoded, together.
+    Words are kept in two tables of half the bounded number (about 200 bytes a
+    word): a full one takes the place of the older, whose words move on when
+    they are seen again.
+    """
+
+    def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.plain = re.compile(PLAIN).fullmatch
         self.split = re.compile(PIECE).findall
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words, encoded as one text: a space keeps words apart."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = 4 * (np.flatnonzero(np.diff(found.word_ids)) + 1)
-        if len(ends) != len(words) - 1:
+        """Ids of single words, encoded as one text: a space keeps words apart, and the vocabulary marks a word's last id."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(words):
             return self._ids(words)
-        data = np.array(found.ids, dtype="<u4").tobytes()
-        cuts = [0, *ends.tolist(), len(data)]
+        data = ids.tobytes()
+        cuts = [0, *ends.tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if "<|" in text or not self.plain(text):
-                out.append(self._ids([text])[0] + self.end)
-                continue
-            words = self.split(text.lower())
-            if missing := [w for w in set(words) if w not in self.known]:
-                if len(self.known) + len(missing) > self.limit:
-                    self.known.clear()
-                    missing = list(set(words))
-                self.known.update(zip(missing, self._words(missing), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, words)) + self.end)
-        return out
+        lists = [None if "<|" in text or not self.plain(text) else self.split(text.lower()) for text in texts]
+        different = set().union(*filter(None, lists))
+        if len(self.known) + len(different) > self.limit // 2:
+            self.known, self.older = {}, self.known
+        known = self.known
+        new = different.difference(known)
+        moved = {w: self.older[w] for w in new if w in self.older}
+        known.update(moved)
+        if missing := list(new.difference(moved)):
+            known.update(zip(missing, self._words(missing), strict=True))
+        # two words at least, for ``itemgetter`` of one gives no tuple
+        found = lambda words: itemgetter(*words)(known) if len(words) > 1 else [known[w] for w in words]
+        return [(self._ids([text])[0] if words is None else b"".join(found(words))) + self.end for text, words in zip(texts, lists, strict=True)]
 
 
 def cut_lengths(tokens: int, window: int) -> list[tuple[int, int]]:
