@@ -196,7 +196,7 @@ def test_summary_text(spark):
     assert text.startswith("\nCycle 3\n  run_label: r\n  stream_id: -\n") and "    states=5  basins=0  segments=0  skipped=0  merge_failures=0\n" in text and "    convergence=-\n" in text and text.endswith("cross_run_count=0\n")
 
 
-def test_formats(spark):
+def test_formats(spark, tmp_path):
     from tidemark.functions import schemas
 
     entry = {"pass_id": "p", "role": "r", "active_subject_id": "s", "state_before": "a", "state_after": "b", "accepted_changes": [], "rejected_changes": ["x"], "live_tensions": [], "recommended_next_role": "q"}
@@ -227,6 +227,12 @@ def test_formats(spark):
     assert made.select(schemas.broken(F.col("r"), "probe_receipt", receipt_type="runtime:probe_report_receipt", receipt_version="0.1.0").alias("b")).where("size(b) > 0").count() == 0
     with pytest.raises(ValueError, match="needs a value"):
         schemas.broken(F.col("d"), "model_output")
+    kinds = {"receipt_type": "runtime:probe_report_receipt", "receipt_version": "0.1.0"}
+    path = str(tmp_path / "receipt.json")
+    assert files.write_checked(spark, path, first, "probe_receipt", **kinds) == first
+    assert files.read_checked(spark, path, "probe_receipt", **kinds) == (first, [])
+    with pytest.raises(ValueError, match="INVALID_PROBE_RECEIPT: probe_type"):
+        files.write_checked(spark, path, first | {"probe_type": ""}, "probe_receipt", **kinds)
 
 
 

@@ -719,6 +719,23 @@ def probe_report_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("o_orderkey", F.col("r.row_surface.path").alias("path"), F.col("r.row_surface.row_count").alias("row_count"), F.col("r.summary_surface.path").alias("summary_path"), F.col("r.summary_surface.available").alias("available"), F.col("r.posture_flags.not_canon_evidence").alias("not_canon"), F.col("r.counts.comparison_count").alias("comparisons"))
 
 
+@query("""WITH s AS (SELECT o_orderkey, o_custkey::VARCHAR AS state_id, o_orderkey % 6 <> 0 AND o_orderkey % 10 <> 0 AS ok FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY state_id, ok ORDER BY o_orderkey) AS n FROM s)
+SELECT o_orderkey, CASE WHEN NOT ok THEN 'LEGITIMACY_FAILURE' WHEN n > 1 THEN 'DUPLICATE' ELSE 'COMMITTED' END AS outcome, CASE WHEN ok AND n = 1 THEN 'MO:' || state_id END AS memory_object_id FROM n""")
+def commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States named by customer: the gate first, then the first of each name."""
+    k = F.col("o_orderkey")
+    fixed = {"artifact_class": F.lit("H1"), "stream_id": F.lit("s"), "t_start": F.lit(0.0), "t_end": F.lit(1.0), "profile": F.array(F.lit(1.0)), "compression_policy_id": F.lit("c"), "clock_policy_id": F.lit("c"), "input_refs": F.array(F.lit("r")), "rate": F.lit(1.0), "size": F.lit(8), "df": F.lit(0.1), "uncertainty_time": F.lit("t"), "kept_bins": F.array(F.struct(F.lit(1).alias("k"))), "confidence": F.lit(1.0)}
+    rows = table(spark, sf_dir, "orders").select(k.alias("commit_idx"), F.col("o_custkey").cast("string").alias("state_id"), F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("seg")).alias("segment_id"), F.when(k % 10 != 0, F.col("o_totalprice")).alias("energy_raw"), *[c.alias(n) for n, c in fixed.items()])
+    added, rest = graph.committed(rows)
+    none = F.lit(None).cast("string")
+    return added.select(F.col("commit_idx").alias("o_orderkey"), F.lit("COMMITTED").alias("outcome"), "memory_object_id").unionByName(rest.select(F.col("commit_idx").alias("o_orderkey"), "outcome", none.alias("memory_object_id")))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%S-%gZ') AS stamp FROM events")
+def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", files.run_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
 # --- runs ----------------------------------------------------------------------------------------------------------------
 
 _SIG = "sig AS (SELECT user_id % 12 AS run_idx, 'run_' || (user_id % 12) AS run_label, count(*) FILTER (event_type = 'click') AS h1_count, count(*) FILTER (event_type = 'view') AS m1_count, count(*) FILTER (event_type = 'purchase') AS anomaly_count, count(*) AS state_count, count(DISTINCT event_type) AS segment_count, avg(value) AS dominant_frequency_hz_mean, avg(value) / 100 AS recurrence_mean, [avg(value) / 500, 1 - avg(value) / 500] AS h1_band_profile_mean FROM events GROUP BY user_id % 12)"

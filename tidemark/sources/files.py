@@ -99,3 +99,30 @@ def run_stamp(at: Column) -> Column:
     """A time as part of a folder's name: ISO 8601 in UTC with milliseconds, ``:`` and ``.`` as ``-``."""
     utc = F.to_utc_timestamp(at, F.current_timezone())
     return F.date_format(utc, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
+
+
+def faults(spark: SparkSession, document: dict, name: str, **constants: str) -> list[str]:
+    """The paths of one document that break the format ``name``."""
+    import json
+
+    from ..functions.schemas import broken
+
+    return spark.createDataFrame([(json.dumps(document),)], "document string").select(broken(F.col("document"), name, **constants)).first()[0]
+
+
+def write_checked(spark: SparkSession, path: str, document: dict, name: str, **constants: str) -> dict:
+    """Writes a document that keeps its format; refuses one that breaks it."""
+    import json
+
+    if found := faults(spark, document, name, **constants):
+        raise ValueError(f"INVALID_{name.upper()}: {', '.join(found)}")
+    write_text(spark, path, json.dumps(document, indent=2) + "\n")
+    return document
+
+
+def read_checked(spark: SparkSession, path: str, name: str, **constants: str) -> tuple[dict, list[str]]:
+    """(a document, the paths that break its format)."""
+    import json
+
+    document = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+    return document, faults(spark, document, name, **constants)
