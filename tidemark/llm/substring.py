@@ -7,23 +7,27 @@ a document with a smaller id is a repeat, and all words it covers go.
    windows have equal anchors, and only about 2 in ``window - gram`` n-grams
    are one.  Anchors in two documents or more are counted; only the stretches
    around those go further.
-2. *Passages.* The windows of one anchor make up a stretch of words, or, where
-   an anchor is in over ``HOT`` documents, are stretches of their own.  A
-   stretch is known by a 128-bit BLAKE2 digest of its words; equal ones of a
-   batch of documents are one row, with its least and greatest document.
-3. *Automata.* Stretches are dealt to shards by anchor.  A shard confirms
-   what recurs across documents, word by word: an anchor's only stretch as a
-   whole, windows where an anchor has several.  It compiles that to an
-   Aho-Corasick automaton (a word is a symbol) valued with the first document,
-   and streams its stretches through it to locate each occurrence.
-4. *Documents.* Each place of a stretch in a document gets the occurrences
-   located in the stretch; where an occurrence's first document is smaller,
-   its windows' words are removed.
-
-A shard works through its anchors in bounded lots.  The documents are
-shuffled once; the three passes over them share that exchange.  The automata
-see each different stretch once, not each document: a passage of a million
-documents is streamed once, and its places are joined.
+2. *Passages.* The windows of one anchor make up a stretch of words.  Stretches
+   are dealt to shards by anchor, equal ones of a batch of documents as one row
+   with its places: document, text and word.
+3. *Automata.* A shard confirms what recurs across documents, word by word: an
+   anchor's only stretch as a whole, windows where an anchor has several.  It
+   compiles that to an Aho-Corasick automaton (a word is a symbol) valued with
+   the first document, and streams its documents' stretches through it to
+   locate each occurrence.
+4. *Documents.* Where an occurrence's first document is smaller than the
+   document, its windows' words are removed.
+
+A shard works through its anchors in bounded lots, for an anchor is in ``HOT``
+documents at most.  The windows of anchors that are in more are known by
+128-bit BLAKE2 digests instead: their first documents are aggregated before
+and after a shuffle and joined to their places, which splits over tasks however
+common a passage is.  The documents are shuffled once; the passes over them
+share that exchange.
+
+A document goes to the shards that own its anchors, not to all of them: no
+other shard's automaton could find anything in it, and streaming everything
+through everything would grow with the square of the corpus.
 
 Inputs: null and empty texts have no words; a document of fewer words than a
 window keeps them all; a null ``doc_id`` neither loses words nor makes others
@@ -52,7 +56,7 @@ GRAM = 5
 LOT = 40_000
 CHUNK = 2 << 20
 #: Documents beyond which an anchor's windows are dealt each by its own words.
-HOT = 2_000
+HOT = 20_000
 
 
 class Stretches:
@@ -107,37 +111,23 @@ def _anchors(window: int, gram: int):
     return run
 
 
+#: Where a stretch is: document, hash of its text, word.
+PLACE = np.dtype([("of", "<i8"), ("tag", "<i8"), ("begin", "<i4")])
+MARKS = "of long, tag long, begin int, bits long"
+
+
 class Recurring:
-    """The stretches of a batch's named rows with a recurring anchor of their row, in order of anchor, digest and document."""
+    """The stretches of a batch's named rows with a recurring anchor of their row; ``hot`` tells those of very common anchors."""
 
     def __init__(self, some: pa.RecordBatch, window: int, gram: int) -> None:
         some = some.filter(some.column(0).is_valid())
-        words = words_of(some.column(1))
-        found = Stretches(words, window, gram)
+        self.words = words_of(some.column(1))
+        self.window = window
+        found = Stretches(self.words, window, gram)
         kept = np.flatnonzero(np.isin(self._pair(found.row, found.anchor), self._listed(some.column("anchors"))))
-        row, begin, windows, anchor = (x[kept] for x in (found.row, found.begin, found.windows, found.anchor))
-        hot = np.isin(self._pair(row, anchor), self._listed(some.column("hot")))
-        if hot.any():
-            sizes = windows[hot]
-            ends = np.cumsum(sizes)
-            single = np.arange(ends[-1]) + np.repeat(begin[hot] - (ends - sizes), sizes)
-            own = np.repeat(anchor[hot], sizes) ^ gram_hashes(words.hashes(), window)[single]
-            row, begin = np.append(row[~hot], np.repeat(row[hot], sizes)), np.append(begin[~hot], single)
-            windows, anchor = np.append(windows[~hot], np.ones(len(single), np.int64)), np.append(anchor[~hot], own)
-        data, last = words.raw.tobytes(), begin + windows + window - 2
-        texts = [b" ".join(data[a:b].split()) for a, b in zip(words.start[begin].tolist(), words.end[last].tolist(), strict=True)]
-        digests = b"".join([blake2b(t, digest_size=16).digest() for t in texts])
-        halves = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
-        ids = some.column(0).to_numpy()[row]
-        order = np.lexsort((ids, halves[:, 1], halves[:, 0], anchor))
-        self.anchor, self.ids = anchor[order], ids[order]
-        self.tags, self.begin = some.column("tag").to_numpy()[row][order], (begin - words.first[row])[order]
-        halves = halves[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (halves[1:] != halves[:-1]).any(axis=1)
-        self.first = np.flatnonzero(new)
-        self.print = [digests[16 * i : 16 * i + 16] for i in order[self.first].tolist()]
-        self.texts = [texts[i] for i in order[self.first].tolist()]
+        self.row, self.begin, self.windows, self.anchor = (x[kept] for x in (found.row, found.begin, found.windows, found.anchor))
+        self.hot = np.isin(self._pair(self.row, self.anchor), self._listed(some.column("hot")))
+        self.ids, self.tags = some.column(0).to_numpy(), some.column("tag").to_numpy()
 
     @staticmethod
     def _pair(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -148,60 +138,119 @@ class Recurring:
         offsets = np.asarray(lists.offsets)
         return self._pair(np.repeat(np.arange(len(lists)), np.diff(offsets)), lists.flatten().to_numpy().view(np.uint64))
 
+    def texts(self, begin: np.ndarray, windows: np.ndarray) -> list[bytes]:
+        """The stretches' words, joined by one space."""
+        data, last = self.words.raw.tobytes(), begin + windows + self.window - 2
+        return [b" ".join(data[a:b].split()) for a, b in zip(self.words.start[begin].tolist(), self.words.end[last].tolist(), strict=True)]
+
+    def places(self, row: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row), dtype=PLACE)
+        out["of"], out["tag"], out["begin"] = self.ids[row], self.tags[row], begin - self.words.first[row]
+        return out
+
 
-def _passages(window: int, gram: int):
-    """(anchor, print, words, least and greatest document) of recurring stretches, equal ones of a batch once."""
+def _blobs(places: np.ndarray, lists: list[list[int]]) -> pa.Array:
+    """A binary value for each list of places."""
+    flat = places[np.fromiter((i for x in lists for i in x), dtype=np.int64)]
+    ends = np.cumsum([0, *map(len, lists)]) * PLACE.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def _stretches(window: int, gram: int):
+    """(anchor, words, places) of recurring stretches, equal ones of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", CHUNK):
                 found = Recurring(some, window, gram)
-                if len(found.first):
-                    last = np.append(found.first[1:], len(found.ids)) - 1
-                    yield pa.RecordBatch.from_arrays([_signed(found.anchor[found.first]), pa.array(found.print, pa.binary()), pa.array(found.texts, pa.binary()), pa.array(found.ids[found.first]), pa.array(found.ids[last])], names=["anchor", "print", "words", "least", "most"])
+                cold = ~found.hot
+                if not cold.any():
+                    continue
+                groups: dict[tuple[int, bytes], list[int]] = {}
+                for i, key in enumerate(zip(found.anchor[cold].view(np.int64).tolist(), found.texts(found.begin[cold], found.windows[cold]), strict=True)):
+                    groups.setdefault(key, []).append(i)
+                anchors, texts = zip(*groups, strict=True)
+                places = _blobs(found.places(found.row[cold], found.begin[cold]), list(groups.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(texts, pa.binary()), places], names=["anchor", "words", "places"])
 
     return run
 
 
-def _places(window: int, gram: int):
-    """(anchor, print, places) of recurring stretches, equal ones of a batch once; a place is a document, its text's tag and a word."""
+def _hot_windows(window: int, gram: int):
+    """(print, least, most, places) of the windows of very common anchors, equal ones of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in chunks(batch, "text", CHUNK):
                 found = Recurring(some, window, gram)
-                if len(found.first):
-                    places = pa.StructArray.from_arrays([pa.array(found.ids), pa.array(found.tags), pa.array(found.begin.astype(np.int32))], names=["of", "tag", "begin"])
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(found.first, len(found.ids)), pa.int32()), places)
-                    yield pa.RecordBatch.from_arrays([_signed(found.anchor[found.first]), pa.array(found.print, pa.binary()), lists], names=["anchor", "print", "places"])
+                if not found.hot.any():
+                    continue
+                sizes = found.windows[found.hot]
+                ends = np.cumsum(sizes)
+                begin = np.arange(ends[-1]) + np.repeat(found.begin[found.hot] - (ends - sizes), sizes)
+                places = found.places(np.repeat(found.row[found.hot], sizes), begin)
+                groups: dict[bytes, list[int]] = {}
+                for i, text in enumerate(found.texts(begin, np.ones(len(begin), np.int64))):
+                    groups.setdefault(text, []).append(i)
+                lists = list(groups.values())
+                flat = places["of"][np.fromiter((i for x in lists for i in x), dtype=np.int64)]
+                starts = np.cumsum([0, *map(len, lists)])[:-1]
+                prints = [blake2b(t, digest_size=16).digest() for t in groups]
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(np.minimum.reduceat(flat, starts)), pa.array(np.maximum.reduceat(flat, starts)), _blobs(places, lists)], names=["print", "least", "most", "places"])
 
     return run
 
 
-def _locate(window: int):
-    """Confirms a lot's recurring windows, compiles them and streams the lot's stretches through the automaton."""
+def _hot_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of windows with their ``owner``, in each document after it."""
+    for batch in batches:
+        places, owner = _unpack(batch.column(0)), batch.column(1).to_numpy()
+        sizes = pc.binary_length(batch.column(0)).to_numpy() // PLACE.itemsize
+        yield _marked(places[places["of"] > np.repeat(owner, sizes)])
+
+
+def _unpack(blobs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), dtype=PLACE)
+
+
+def _marked(places: np.ndarray, bits: np.ndarray | None = None) -> pa.RecordBatch:
+    bits = np.ones(len(places), dtype=np.int64) if bits is None else bits
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(places[c])) for c in PLACE.names] + [pa.array(bits)], names=["of", "tag", "begin", "bits"])
+
+
+def _locate(window: int, lot_words: int):
+    """Confirms a lot's recurring windows, compiles them, streams the lot's stretches through the automaton, and marks their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        for lot in runs(batches, ["anchor"], LOT // window):
+        for lot in runs(batches, ["anchor"], max(1, lot_words // window)):
+            blobs = lot.column("places").combine_chunks()
+            places, sizes = _unpack(blobs), pc.binary_length(blobs).to_numpy().astype(np.int64) // PLACE.itemsize
+            starts = np.cumsum(sizes) - sizes
+            # equal stretches of several batches are one from here on
+            kinds: dict[tuple[int, bytes], int] = {}
+            kind = np.array([kinds.setdefault(key, len(kinds)) for key in zip(lot.column("anchor").to_pylist(), lot.column("words").to_pylist(), strict=True)])
+            least, most = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+            np.minimum.at(least, kind, np.minimum.reduceat(places["of"], starts))
+            np.maximum.at(most, kind, np.maximum.reduceat(places["of"], starts))
             numbers: dict[bytes, int] = {}
-            texts = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")] for text in lot.column("words").to_pylist()]
+            texts = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")] for _, text in kinds]
             # a symbol a word; two from disjoint alphabets where there are too many words for one
             wide = 1 if len(numbers) <= 0x100000 else 2
             symbol = [chr(0x10000 + i) if wide == 1 else chr(0x10000 + (i >> 19)) + chr(0x90000 + (i & 0x7FFFF)) for i in range(len(numbers))]
             lines = ["".join(map(symbol.__getitem__, text)) for text in texts]
-            anchor = lot.column("anchor").to_numpy()
-            least, most = lot.column("least").to_pylist(), lot.column("most").to_pylist()
+            anchor = np.array([a for a, _ in kinds])
             other = np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])
+            alone = other[:-1] & other[1:]
+            first, last = least.tolist(), most.tolist()
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
             step = wide * window
-            for row in np.flatnonzero(other[:-1] & other[1:]).tolist():
-                if least[row] < most[row]:
-                    automaton.add_word(lines[row], (len(lines[row]) // wide - window, least[row]))
+            for row in np.flatnonzero(alone & (least < most)).tolist():
+                automaton.add_word(lines[row], (len(lines[row]) // wide - window, first[row]))
             seen: dict[str, tuple[int, int]] = {}
-            for row in np.flatnonzero(~(other[:-1] & other[1:])).tolist():
-                line, lo, hi = lines[row], least[row], most[row]
+            for row in np.flatnonzero(~alone).tolist():
+                line, lo, hi = lines[row], first[row], last[row]
                 for k in range(0, len(line) - step + 1, wide):
                     phrase = line[k : k + step]
                     known = seen.get(phrase)
@@ -212,20 +261,25 @@ def _locate(window: int):
             if not len(automaton):
                 continue
             automaton.make_automaton()
-            rows, owners = [], []
+            hits: list[tuple[int, int, int]] = []  # stretch, window, first document
             for row, line in enumerate(lines):
-                own = None
                 for end, (more, owner) in automaton.iter(line):
-                    if own is None:
-                        own = [None] * (len(line) // wide - window + 1)
-                    last = (end + 1) // wide - window
-                    own[last - more : last + 1] = [owner] * (more + 1)
-                if own is not None:
-                    rows.append(row)
-                    owners.append(own)
-            picked = lot.select(["anchor", "print"]).take(pa.array(rows, pa.int64())).combine_chunks()
-            for part in picked.append_column("owners", pa.array(owners, pa.list_(pa.int64()))).to_batches():
-                yield part
+                    at = (end + 1) // wide - window
+                    hits += [(row, k, owner) for k in range(at - more, at + 1)]
+            if not hits:
+                continue
+            row, window_at, owner = (np.array(x, dtype=np.int64) for x in zip(*hits, strict=True))
+            # each hit meets each place of its stretch
+            place_kind = np.repeat(kind, sizes)
+            order = np.argsort(place_kind, kind="stable")
+            begins, counts = np.searchsorted(place_kind[order], row), np.bincount(place_kind, minlength=len(kinds))[row]
+            ends = np.cumsum(counts)
+            place = order[np.arange(ends[-1]) + np.repeat(begins - (ends - counts), counts)]
+            later = places["of"][place] > np.repeat(owner, counts)
+            bits = np.zeros(len(places), dtype=np.int64)
+            np.bitwise_or.at(bits, place[later], np.int64(1) << np.repeat(window_at, counts)[later])
+            some = np.flatnonzero(bits)
+            yield _marked(places[some], bits[some])
 
     return run
 
@@ -291,17 +345,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     lists = cut(both.agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")))
 
     candidates = dealt.join(lists.hint("shuffle_hash"), F.col("home") == F.col("of")).select("doc_id", "text", "tag", "anchors", "hot", *carried)
-    passages = candidates.mapInArrow(lean(_passages(window, gram)), "anchor long, print binary, words binary, least long, most long")
-    passages = passages.repartition(n, "anchor").groupBy("anchor", "print", "words").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    owners = passages.sortWithinPartitions("anchor").mapInArrow(lean(_locate(window)), "anchor long, print binary, owners array<long>")
-    places = candidates.mapInArrow(lean(_places(window, gram)), "anchor long, print binary, places array<struct<of:long,tag:long,begin:int>>")
-    hits = places.join(owners, ["anchor", "print"]).select("owners", F.explode("places").alias("place")).select("owners", "place.*")
-    bits = F.aggregate(
-        F.transform("owners", lambda o, i: F.when(o < F.col("of"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"),
-        lambda a, b: a.bitwiseOR(b),
-    )
-    marks = hits.select("of", "tag", "begin", bits.alias("bits")).where("bits <> 0").groupBy("of").agg(F.collect_list(F.struct("tag", "begin", "bits")).alias("marks"))
+    cold = candidates.mapInArrow(lean(_stretches(window, gram)), "anchor long, words binary, places binary").repartition(n, "anchor").sortWithinPartitions("anchor")
+    marks = cold.mapInArrow(lean(_locate(window, LOT)), MARKS)
+    if not lists.where("size(hot) > 0").isEmpty():
+        hot = candidates.where("size(hot) > 0").mapInArrow(lean(_hot_windows(window, gram)), "print binary, least long, most long, places binary")
+        owners = hot.groupBy("print").agg(F.min("least").alias("owner"), F.max("most").alias("most")).where("owner < most").select("print", "owner")
+        marks = marks.unionByName(hot.select("print", "places").join(owners, "print").select("places", "owner").mapInArrow(lean(_hot_marks), MARKS))
+    marks = marks.groupBy("of").agg(F.collect_list(F.struct("tag", "begin", "bits")).alias("marks"))
     joined = dealt.join(marks, F.col("home") == F.col("of"), "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("marks")).alias("marks"), "tag", *carried)
     extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     done = joined.mapInArrow(lean(_remove(window, gram, tuple(carried))), "doc_id long, n_words long, n_removed long, kept binary" + extra)
