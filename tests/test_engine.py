@@ -167,6 +167,25 @@ def test_live_cycles(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "live/cycle_03/workbench")).count() == 1
 
 
+def test_published_cases_as_bundles(spark, tmp_path):
+    from tidemark.plans import live
+
+    rows = live.workbench(spark, str(tmp_path / "bench"), ("clean",)).collect()
+    assert [(r["case_name"], r["state_count"], r["segment_transition_count"]) for r in rows] == [("clean", 28, 0)]
+    assert files.bundles(spark, str(tmp_path / "bench")) == [("clean", str(tmp_path / "bench/clean/workbench.json"))]
+    assert json.loads((tmp_path / "bench/clean/workbench.json").read_text())["summary"]["state_count"] == 28
+
+
+def test_scales(spark):
+    from tidemark.functions import probes
+
+    rows = spark.createDataFrame([(1, 0.1, True), (1, 0.3, False), (1, 0.2, True), (2, 0.5, True), (2, 0.4, False), (2, 0.1, False), (3, 0.2, True)], "scale int, value double, similar boolean")
+    got = {r["scale"]: (round(r["threshold"], 9), r["clean_gap"]) for r in probes.scale_thresholds(rows).collect()}
+    assert got == {1: (0.25, True), 2: (0.4, False), 3: (0.6, True)}
+    cases = spark.createDataFrame([(0.0, 0.0, "flat", 3), (1.0, 0.01, "flat", 3), (1.0, 0.1, "flat", 3), (0.5, 0.0, "up", 3), (1.0, 0.0, "flat", 1)], "c double, s double, d string, n int")
+    assert [r[0] for r in cases.select(probes.scale_behaviour(F.col("c"), F.col("s"), F.col("d"), F.col("n"))).collect()] == ["collapse", "persistence", "lawful_transformation", "fragmentation_consolidation", "insufficient_scales"]
+
+
 def test_prompts(spark, tmp_path):
     view = {"scope": {"stream_id": "s"}, "x": [1]}
     text = reviews.prompt(view, "answer")

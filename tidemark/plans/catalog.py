@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import language, probes, schemas
+from ..functions import guards, language, probes, schemas
 from ..functions import receipts as checks
 from ..operators import align, digest, frames, graph, ingest, merge, neighborhoods, novelty, posture, reduce, replay, runs, spectrum, trajectory
 from ..operators import query as q
@@ -879,6 +879,27 @@ def probe_multiscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("stream_id").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("d"), F.regr_slope("mean", "s").alias("slope"), F.min_by("s", "std").alias("steadiest")).select("stream_id", F.col("m").alias("mean"), F.col("d").alias("std"), "slope", "steadiest").select(*rounded("stream_id", "mean~", "std~", "slope~", "steadiest"))
 
 
+@query("""WITH p AS (SELECT o_orderkey, o_totalprice / 300000 AS d, 1 + (o_orderkey % 8) / 10.0 AS r, o_orderkey % 5 AS n, 4 AS total FROM orders)
+SELECT o_orderkey, CASE WHEN d > 0.2 THEN 'separated' WHEN d > 0.08 THEN 'borderline' ELSE 'similar' END AS distance_class, CASE WHEN r >= 1.5 THEN 'separated' WHEN r >= 1.1 THEN 'borderline' ELSE 'similar' END AS ratio_class, CASE n WHEN 4 THEN 'always_separated' WHEN 0 THEN 'always_similar' WHEN 3 THEN 'mostly_separated' WHEN 1 THEN 'mostly_similar' ELSE 'mixed' END AS pattern FROM p""")
+def probe_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    ratio = F.element_at(F.array(*[F.lit(1 + i / 10) for i in range(8)]), (k % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", probes.separation("band_profile_distance", F.col("o_totalprice") / 300000).alias("distance_class"), probes.separation("absolute_energy_ratio", ratio).alias("ratio_class"), probes.scale_pattern(k % 5, F.lit(4)).alias("pattern"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'M1' ELSE 'H1' END AS cls, CASE WHEN o_orderkey % 5 <> 0 THEN 'c' ELSE '' END AS comp, CASE WHEN o_orderkey % 7 <> 0 THEN 'k' END AS clock, o_orderkey % 11 <> 0 AS rate_ok, CASE WHEN o_orderkey % 2 = 0 THEN 'm' END AS merge FROM orders)
+SELECT o_orderkey, CASE WHEN NOT rate_ok THEN 'state.grid.Fs_target must be a positive finite number' WHEN comp = '' THEN 'state.policies.compression_policy_id must be a valid policy reference' WHEN clock IS NULL THEN 'state.policies.clock_policy_id must be a valid policy reference' WHEN cls = 'M1' AND merge IS NULL THEN 'M1 replay requires state.policies.merge_policy_id' END AS reason,
+  CASE WHEN clock IS NULL THEN 'all inputs must have valid policies.clock_policy_id' WHEN comp = '' THEN 'all inputs must have valid policies.compression_policy_id' END AS merge_reason FROM s""")
+def operator_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k, F.when(k % 3 == 0, F.lit("M1")).otherwise(F.lit("H1")).alias("artifact_class"), F.when(k % 5 != 0, F.lit("c")).otherwise(F.lit("")).alias("compression_policy_id"), F.when(k % 7 != 0, F.lit("k")).alias("clock_policy_id"),
+        F.when(k % 11 != 0, F.lit(1.0)).otherwise(F.lit(float("inf"))).alias("rate"), F.lit(8).alias("size"), F.lit(0.0).alias("t_start"), F.array(F.lit(1)).alias("kept_bins"), F.when(k % 2 == 0, F.lit("m")).alias("merge_policy_id"),
+        *[F.lit("x").alias(c) for c in ("grid_policy_id", "window_policy_id", "transform_policy_id")],
+    )
+    return rows.select("o_orderkey", guards.fault("replay", rows.columns)["reason"].alias("reason"), guards.fault("merge", rows.columns)["reason"].alias("merge_reason"))
+
+
 @query("""WITH t(role, a, b) AS (VALUES ('constructor', 'seeded', 'tension_held'), ('constructor', 'seeded', 'compressed'), ('constructor', 'seeded', 'gate_pending'), ('reflector', 'compressed', 'compressed'), ('reflector', 'compressed', 'gate_pending')),
 s AS (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'constructor' ELSE 'reflector' END AS role, CASE o_orderkey % 3 WHEN 0 THEN 'seeded' ELSE 'compressed' END AS state_before, CASE o_orderkey % 4 WHEN 0 THEN 'gate_pending' WHEN 1 THEN 'compressed' ELSE 'released' END AS state_after FROM orders)
 SELECT * FROM s ANTI JOIN t ON s.role = t.role AND s.state_before = t.a AND s.state_after = t.b""")

@@ -6,6 +6,7 @@ goes to a folder of its own.  Both keep the newest cycles only.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -15,8 +16,26 @@ from pyspark.sql import functions as F
 
 from ..operators import digest
 from ..sources import files, sampler, signals
+from .policies import bench_policies
 from .session import Session
 
+#: The published cases: profile, seed, noise, novelty threshold (fixed values).
+CASES = {"baseline": ("baseline", 42, 0.03, 0.15), "rough": ("rough", 123, 0.08, 0.08), "clean": ("clean", 42, 0.01, 0.20)}
+
+
+def workbench(spark: SparkSession, root: str, cases: tuple[str, ...] = tuple(CASES)) -> DataFrame:
+    """Runs published cases, each into a folder of its own with its bundle; a row a case with its counts."""
+    rows = []
+    for case in cases:
+        profile, seed, noise, threshold = CASES[case]
+        session = Session(spark, bench_policies(threshold))
+        run = session.ingest(signals.samples_of(spark, case, *signals.synthetic(profile, seed, noise)), case)
+        documents = [r["document"] for r in session.bundle().collect()]  # one stream
+        files.write_text(spark, f"{root.rstrip('/')}/{case}/workbench.json", documents[0] + "\n")
+        rows.append(run.summary.withColumn("case_name", F.lit(case)))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 #: Where a cycle's samples come from (fixed values).
 MODES = ("synthetic", "sampler_flush_all", "sampler_flush_chunk")
 
