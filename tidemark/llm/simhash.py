@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, partitions, pick, runs
+from .common import cut, discard, lean, partitions, pick, runs
 from .textkernel import chunks, mix64
 
 SEED = 42
@@ -152,47 +152,79 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def within(different: np.ndarray, radius: int, every: int = 12) -> np.ndarray:
-    """Which of (pairs x lanes) differences have at most ``radius`` bits."""
-    out = np.zeros(len(different), dtype=bool)
-    width = max(2, int(different.shape[1] * 64).bit_length())
-    for at in range(0, len(different), BLOCK):
-        planes = _planes(different[at : at + BLOCK])
-        n = min(BLOCK, len(different) - at)
-        every_pair = np.packbits(np.ones(n, dtype=bool))
-        counter = [np.zeros(planes.shape[1], dtype=np.uint8) for _ in range(width)]
-        for k in range(0, len(planes) - 2, 3):
-            a, b, c = planes[k : k + 3]
+def _near(planes: np.ndarray, radius: int, wanted: np.ndarray, every: int = 12) -> np.ndarray:
+    """Which of the wanted pairs (one bit each) differ in at most ``radius`` of their planes.
+
+    Three planes at a time go into the bit-sliced counters as a sum and a carry;
+    a block of pairs is left once all wanted ones of it are beyond the radius.
+    """
+    out = np.zeros_like(wanted)
+    width = max(2, len(planes).bit_length())
+    step = BLOCK // 8
+    for at in range(0, planes.shape[1], step):
+        part, want = planes[:, at : at + step], wanted[at : at + step]
+        if not want.any():
+            continue
+        counter = [np.zeros(part.shape[1], dtype=np.uint8) for _ in range(width)]
+
+        def add(carry: np.ndarray, level: int, counter: list[np.ndarray] = counter) -> None:
+            while level < width and carry.any():
+                counter[level], carry = counter[level] ^ carry, counter[level] & carry
+                level += 1
+
+        for k in range(0, len(part) - 2, 3):
+            a, b, c = part[k : k + 3]
             half = a ^ b
-            for level, carry in ((0, half ^ c), (1, (a & b) | (half & c))):
-                while level < width and carry.any():
-                    counter[level], carry = counter[level] ^ carry, counter[level] & carry
-                    level += 1
-            if k % every == 0 and k >= 2 * radius and (_above(counter, radius) & every_pair == every_pair).all():
+            add(half ^ c, 0)
+            add((a & b) | (half & c), 1)
+            if k % every == 0 and k >= 2 * radius and not (want & ~_above(counter, radius)).any():
                 break
         else:
-            for plane in planes[len(planes) - len(planes) % 3 :]:
-                carry, level = plane, 0
-                while level < width and carry.any():
-                    counter[level], carry = counter[level] ^ carry, counter[level] & carry
-                    level += 1
-            out[at : at + n] = ~np.unpackbits(_above(counter, radius))[:n].astype(bool)
+            for plane in part[len(part) - len(part) % 3 :]:
+                add(plane, 0)
+            out[at : at + step] = want & ~_above(counter, radius)
+    return out
+
+
+def within(different: np.ndarray, radius: int) -> np.ndarray:
+    """Which of (pairs x lanes) differences have at most ``radius`` bits."""
+    out = np.zeros(len(different), dtype=bool)
+    for at in range(0, len(different), BLOCK):
+        part = different[at : at + BLOCK]
+        found = _near(_planes(part), radius, np.packbits(np.ones(len(part), dtype=bool)))
+        out[at : at + len(part)] = np.unpackbits(found)[: len(part)].astype(bool)
     return out
 
 
 def _forest(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Links that join what the radius joins inside a large bucket: each reached class is compared with those not reached."""
+    """Links that join what the radius joins inside a large bucket: each reached class is compared with those not reached.
+
+    The bucket's bit planes are stored vertically once; a probe turns over the
+    planes in which it has a bit, and what is left of them are the differences.
+    They are packed anew when half of the classes have been reached.
+    """
     left, right, rest = [], [], np.arange(len(prints))
+    frontier: list[int] = []
     while len(rest):
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
+        planes = np.concatenate([_planes(prints[rest[at : at + BLOCK]]) for at in range(0, len(rest), BLOCK)], axis=1)
+        open_bits = np.packbits(np.ones(len(rest), dtype=bool))
+        number = enough = len(rest)
+        while number and 2 * number > enough:
+            if not frontier:
+                seed = int(np.argmax(np.unpackbits(open_bits)))
+                open_bits[seed >> 3] &= 0xFF ^ (0x80 >> (seed & 7))
+                frontier, number = [int(rest[seed])], number - 1
+                continue
             probe = frontier.pop()
-            near = within(prints[rest] ^ prints[probe], radius)
-            found = rest[near]
-            rest = rest[~near]
-            frontier += found.tolist()
-            left += [int(probe)] * len(found)
-            right += found.tolist()
+            own = np.unpackbits(np.ascontiguousarray(prints[probe]).view(np.uint8))
+            found = _near(planes ^ (own * np.uint8(0xFF))[:, None], radius, open_bits)
+            open_bits &= ~found
+            near = rest[np.flatnonzero(np.unpackbits(found)[: len(rest)])].tolist()
+            number -= len(near)
+            frontier += near
+            left += [probe] * len(near)
+            right += near
+        rest = rest[np.flatnonzero(np.unpackbits(open_bits)[: len(rest)])]
     return left, right
 
 
@@ -280,7 +312,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = cut(small)
+        before, edges = edges, cut(small)
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.groupBy("u").agg(F.min("v").alias("component"))
