@@ -78,7 +78,7 @@ def test_url_parts_and_odd_rules(spark):
     assert got[10] == ("net", "/", "net/", "block")
     assert got[11][2:] == ("net/", "block")
     assert got[12][2:] == ("example.net/en/a", "block")
-    assert urlfilter.judge(df.limit(0), rules).count() == 0
+    assert len(got) == len(urls) and urlfilter.judge(df.limit(0), rules).count() == 0
     assert urlfilter.judge(df, rules.limit(0)).where("verdict <> 'allow' or rule is not null").count() == 0
 
 
@@ -196,13 +196,38 @@ def test_media_query(spark, texts):
     assert all(len(v) == 1 for v in same.values())
 
 
-@pytest.mark.parametrize("kind", range(5))
+def test_hash_against_a_plain_transform(texts):
+    """The bits of a cosine transform written out in floating point, but for coefficients that lie at the median."""
+    import math
+
+    certain = 0
+    for i, t in sorted(texts.items())[:25]:
+        payload = media.pad(t.encode())
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 192).astype(float)
+        small = image
+        for axis in (0, 1):
+            n = small.shape[axis]
+            edges = [k * n // 32 for k in range(33)]
+            small = np.stack([small.take(range(edges[k], edges[k + 1]), axis).mean(axis) if n >= 32 else small.take(edges[k], axis) for k in range(32)], axis)
+        low = [[sum(small[y, x] * math.cos(math.pi / 32 * u * (y + 0.5)) * math.cos(math.pi / 32 * v * (x + 0.5)) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+        flat = np.array(low).ravel()
+        middle = np.sort(flat[1:])[31]
+        bits = np.unpackbits(np.frombuffer(media.cosine_hash(media.decode(media.encode(payload))), np.uint8)).astype(bool)
+        sure = np.abs(flat - middle) > 1.0
+        assert (bits == (flat > middle))[sure].all(), i
+        certain += sure.sum()
+    assert certain > 25 * 40  # an image of one row has but 8 coefficients that are not zero
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4, None])
 def test_png_filters(kind):
-    """Every filter of the format, applied sample by sample and undone."""
-    rng = np.random.default_rng(kind)
+    """Every filter of the format, and a mix of all, applied sample by sample and undone."""
+    rng = np.random.default_rng(kind or 9)
     image = rng.integers(0, 256, (9, 24), dtype=np.uint8)
     lines = np.zeros((9, 25), dtype=np.uint8)
+    mix = kind is None
     for y in range(9):
+        kind = y % 5 if mix else kind
         lines[y, 0] = kind
         for x in range(24):
             a = int(image[y, x - 1]) if x else 0
@@ -305,21 +330,8 @@ def test_substring_hot_anchors(spark, monkeypatch):
 
 
 def test_substring_small_lots(spark, texts, monkeypatch):
-    import pyarrow as pa
-
     monkeypatch.setattr(substring, "LOT", 13 * 7)
-    rows = sorted(texts.items())
-    batch = pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([t.encode() for _, t in rows], pa.binary())], names=["doc_id", "text"])
-    pairs = pa.Table.from_batches(list(substring._anchors(13, 5)(iter([batch])))).to_pylist()
-    docs_of = defaultdict(set)
-    for p in pairs:
-        docs_of[p["anchor"]].add(p["doc_id"])
-    lists = [[p["anchor"] for p in pairs if p["doc_id"] == i and len(docs_of[p["anchor"]]) > 1] for i, _ in rows]
-    none, tags = pa.array([[]] * len(rows), pa.list_(pa.int64())), pa.array(range(len(rows)), pa.int64())
-    some = batch.append_column("tag", tags).append_column("anchors", pa.array(lists, pa.list_(pa.int64()))).append_column("hot", none)
-    found = pa.Table.from_batches(list(substring._passages(13, 5)(iter([some])))).group_by(["anchor", "print", "words"]).aggregate([("least", "min"), ("most", "max")]).rename_columns(["anchor", "print", "words", "least", "most"]).sort_by("anchor")
-    owners = [o for b in substring._locate(13)(iter(found.to_batches(max_chunksize=11))) for o in b.to_pylist()]
-    assert len(owners) > 10 and all(any(x is not None for x in o["owners"]) for o in owners)
+    removed(spark, sorted(texts.items())[:60])
 
 
 # 5 mixing
@@ -620,6 +632,55 @@ def test_restoration_is_linear(alphabet):
     assert time.process_time() - began < 12
 
 
+def test_toxicity_scores_against_plain_python(texts):
+    """Features counted word by word, and the weighted sum written out."""
+    import math
+
+    import pyarrow as pa
+
+    some = [t.lower()[:4000] for _, t in sorted(texts.items())[:40]] + ["", "ab", "abcdefghij abcdefghij abcde"]
+
+    def found(text):
+        out = Counter()
+        for w in re.findall(rb"[a-z\x80-\xff]+", text.encode()):
+            out[w] += 1
+            for k in toxicity.PREFIXES:
+                if len(w) > k:
+                    out[b"-" + w[:k]] += 1  # a beginning is another feature than the same word
+        return out
+
+    def hashed(words):
+        rows, h = toxicity.features(pa.array([w.decode() for w in words]))
+        return dict(zip((words[r] for r in rows[: len(words)]), h[: len(words)].tolist(), strict=True))
+
+    seen = sorted({w for t in some for w in found(t) if not w.startswith(b"-")})
+    whole = hashed(seen)
+    rng = np.random.default_rng(3)
+    chosen = {w: h for w, h in whole.items() if rng.random() < 0.3}
+    begun = {}
+    for w in seen:
+        for k in toxicity.PREFIXES:
+            if len(w) > k and rng.random() < 0.2:
+                _, h = toxicity.features(pa.array([w.decode()]))
+                at = 1 + [x for x in toxicity.PREFIXES if len(w) > x].index(k)
+                begun[b"-" + w[:k]] = int(h[at])
+    names = {h: w for w, h in (chosen | begun).items()}
+    hashes = np.array(sorted(names), dtype=np.uint64)
+    weights, sure = rng.normal(size=len(hashes) + 1), rng.random(len(hashes)) < 0.05
+    model = toxicity.Model(_char_model(), hashes, sure, weights, -0.3)
+    plain = [t for t in some if not len(toxicity.suspects(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))]
+    assert len(plain) > 10
+    got = model.score(pa.array(plain), {})
+    for text, score in zip(plain, got.tolist(), strict=True):
+        counts, z, marked = found(text), -0.3, False
+        for h, w, is_sure in zip(hashes.tolist(), weights, sure, strict=False):
+            n = counts[names[h]]
+            z += w * math.log1p(n)
+            marked |= bool(is_sure and n)
+        z += weights[-1] * toxicity.SURE_INPUT * marked
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (6, None, 1), (7, 3, 1), (9, 0, 1)], "doc_id long, toxic int, quality int")

@@ -62,24 +62,31 @@ def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), norm, np.abs(turned).sum(axis=1) / np.sqrt(wide)
 
 
-def estimates(query: np.ndarray, packed: np.ndarray, norm: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimate, error bound) of a query's inner products, from codes and scalars alone."""
-    wide = 64 * packed.shape[1]
-    turned = query @ rotation_of(wide)[: len(query)]
-    low, high = turned.min(), turned.max()
-    step = (high - low) / ((1 << QUERY_BITS) - 1) or 1.0
-    levels = np.rint((turned - low) / step).astype(np.uint8)
-    common = np.zeros(len(packed), dtype=np.int64)
-    for k in range(QUERY_BITS):
-        plane = np.packbits(levels >> k & 1, bitorder="little").view(np.uint64)
-        common += np.bitwise_count(packed & plane).sum(axis=1, dtype=np.int64) << k
-    ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
-    # sum over set bits of the rounded query, twice, less its whole sum
-    signed = 2 * (low * ones + step * common) - (low * wide + step * int(levels.sum()))
-    estimate = norm * signed / np.sqrt(wide) / code
-    length = np.sqrt(query @ query)
-    spread = length * np.sqrt(np.maximum(0.0, 1 - code**2)) / code / np.sqrt(max(1, wide - 1)) + step / np.sqrt(12) / code
-    return estimate, CONFIDENCE * norm * spread
+class Coded:
+    """A block's codes and scalars, its packed words stored one after the other."""
+
+    def __init__(self, packed: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> None:
+        self.wide = 64 * packed.shape[1]
+        self.words = np.ascontiguousarray(packed.T)
+        self.ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+        self.scale = norm / np.sqrt(self.wide) / fit
+        self.spread = CONFIDENCE * norm * np.sqrt(np.maximum(0.0, 1 - fit**2)) / fit / np.sqrt(max(1, self.wide - 1))
+        self.rounding = CONFIDENCE * norm / np.sqrt(12) / fit
+
+    def estimates(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate, error bound) of a query's inner products, from codes and scalars alone."""
+        turned = query @ rotation_of(self.wide)[: len(query)]
+        low, high = turned.min(), turned.max()
+        step = (high - low) / ((1 << QUERY_BITS) - 1) or 1.0
+        levels = np.rint((turned - low) / step).astype(np.uint8)
+        common = np.zeros(self.words.shape[1], dtype=np.int32)
+        for k in range(QUERY_BITS):
+            plane = np.packbits(levels >> k & 1, bitorder="little").view(np.uint64)
+            for word, mask in zip(self.words, plane, strict=True):
+                common += np.left_shift(np.bitwise_count(word & mask), k, dtype=np.int32)
+        # sum over set bits of the rounded query, twice, less its whole sum
+        signed = 2 * (low * self.ones + step * common) - (low * self.wide + step * int(levels.sum()))
+        return self.scale * signed, np.sqrt(query @ query) * self.spread + step * self.rounding
 
 
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -128,15 +135,16 @@ def _search(k: int):
             ids = block.column("vec_id").combine_chunks()
             ids, none = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
             packed = np.frombuffer(b"".join(block.column("code").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-            norm, fit = block.column("norm").to_numpy(), block.column("fit").to_numpy()
+            coded = Coded(packed, block.column("norm").to_numpy(), block.column("fit").to_numpy())
+            places = np.arange(len(ids))
             for row, (own, query) in enumerate(zip(queries.column("at").to_numpy().tolist(), _matrix(queries.column("vector"), dim), strict=True)):
-                estimate, error = estimates(query, packed, norm, fit)
-                other = at != own
-                near = np.flatnonzero(other)
-                if len(near) > max(k, LEAD):
-                    lead = near[np.argpartition(estimate[near], -max(k, LEAD))[-max(k, LEAD) :]]
+                estimate, error = coded.estimates(query)
+                estimate[at == own] = -np.inf
+                near = places[np.isfinite(estimate)] if len(places) <= max(k, LEAD) + 1 else None
+                if near is None:
+                    lead = np.argpartition(estimate, -max(k, LEAD))[-max(k, LEAD) :]
                     bar = kth(vectors[lead] @ query, k)
-                    near = np.flatnonzero(other & (estimate + error >= bar))
+                    near = np.flatnonzero(estimate + error >= bar)
                 if len(near) > k:
                     rough = (vectors @ query)[near] if 4 * len(near) > len(ids) else vectors[near] @ query
                     near = near[rough >= kth(rough, k)]
