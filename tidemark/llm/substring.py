@@ -56,7 +56,7 @@ GRAM = 5
 LOT = 40_000
 CHUNK = 2 << 20
 #: Documents beyond which an anchor's windows are dealt each by its own words.
-HOT = 20_000
+HOT = 2_000
 
 
 class Stretches:
@@ -113,7 +113,9 @@ def _anchors(window: int, gram: int):
 
 #: Where a stretch is: document, hash of its text, word.
 PLACE = np.dtype([("of", "<i8"), ("tag", "<i8"), ("begin", "<i4")])
-MARKS = "of long, tag long, begin int, bits long"
+#: A place with the windows from its word on that go, one bit each.  Marks travel many to a row, by the document's bucket.
+MARK = np.dtype([*PLACE.descr, ("bits", "<i8")])
+MARKS = "bucket long, marks binary"
 
 
 class Recurring:
@@ -201,24 +203,49 @@ def _hot_windows(window: int, gram: int):
     return run
 
 
-def _hot_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_marks(buckets: int):
     """Marks of windows with their ``owner``, in each document after it."""
-    for batch in batches:
-        places, owner = _unpack(batch.column(0)), batch.column(1).to_numpy()
-        sizes = pc.binary_length(batch.column(0)).to_numpy() // PLACE.itemsize
-        yield _marked(places[places["of"] > np.repeat(owner, sizes)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, owner = _unpack(batch.column(0), PLACE), batch.column(1).to_numpy()
+            sizes = pc.binary_length(batch.column(0)).to_numpy() // PLACE.itemsize
+            yield _packed(places[places["of"] > np.repeat(owner, sizes)], np.int64(1), buckets)
+
+    return run
+
+
+def _unpack(blobs: pa.Array, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(x or b"" for x in blobs.to_pylist()), dtype=kind)
+
+
+def _packed(places: np.ndarray, bits: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row of marks for each bucket of documents."""
+    marks = np.empty(len(places), dtype=MARK)
+    for c in PLACE.names:
+        marks[c] = places[c]
+    marks["bits"] = bits
+    return _runs_of(marks, (mix64(marks["of"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), "bucket")
 
 
-def _unpack(blobs: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs.to_pylist()), dtype=PLACE)
+def _runs_of(marks: np.ndarray, key: np.ndarray, name: str) -> pa.RecordBatch:
+    """Rows (key, its marks)."""
+    order = np.argsort(key, kind="stable")
+    key, data = key[order], marks[order].tobytes()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    ends = (np.append(first, len(key)) * MARK.itemsize).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(key[first]), lists], names=[name, "marks"])
 
 
-def _marked(places: np.ndarray, bits: np.ndarray | None = None) -> pa.RecordBatch:
-    bits = np.ones(len(places), dtype=np.int64) if bits is None else bits
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(places[c])) for c in PLACE.names] + [pa.array(bits)], names=["of", "tag", "begin", "bits"])
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of, marks): one row a document, from rows sorted by bucket."""
+    for some in runs(batches, ["bucket"], 256):
+        marks = _unpack(some.column("marks").combine_chunks(), MARK)
+        yield _runs_of(marks, marks["of"].astype(np.int64), "of")
 
 
-def _locate(window: int, lot_words: int):
+def _locate(window: int, lot_words: int, buckets: int):
     """Confirms a lot's recurring windows, compiles them, streams the lot's stretches through the automaton, and marks their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +253,7 @@ def _locate(window: int, lot_words: int):
 
         for lot in runs(batches, ["anchor"], max(1, lot_words // window)):
             blobs = lot.column("places").combine_chunks()
-            places, sizes = _unpack(blobs), pc.binary_length(blobs).to_numpy().astype(np.int64) // PLACE.itemsize
+            places, sizes = _unpack(blobs, PLACE), pc.binary_length(blobs).to_numpy().astype(np.int64) // PLACE.itemsize
             starts = np.cumsum(sizes) - sizes
             # equal stretches of several batches are one from here on
             kinds: dict[tuple[int, bytes], int] = {}
@@ -279,7 +306,7 @@ def _locate(window: int, lot_words: int):
             bits = np.zeros(len(places), dtype=np.int64)
             np.bitwise_or.at(bits, place[later], np.int64(1) << np.repeat(window_at, counts)[later])
             some = np.flatnonzero(bits)
-            yield _marked(places[some], bits[some])
+            yield _packed(places[some], bits[some], buckets)
 
     return run
 
@@ -294,11 +321,11 @@ def _remove(window: int, gram: int, keep: tuple[str, ...]):
                 cover = np.zeros(len(words) + 1, dtype=np.int32)
                 marks = some.column("marks")
                 if marks.null_count < len(marks):
-                    flat, lengths = marks.flatten(), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)
+                    flat, lengths = _unpack(marks, MARK), pc.fill_null(pc.binary_length(marks), 0).to_numpy(zero_copy_only=False) // MARK.itemsize
                     owner = np.repeat(np.arange(len(marks)), lengths)
                     # of rows that share an id each has its own marks
-                    mine = flat.field(0).to_numpy() == some.column("tag").to_numpy()[owner]
-                    at, bits = (words.first[owner] + flat.field(1).to_numpy())[mine], flat.field(2).to_numpy().view(np.uint64)[mine]
+                    mine = flat["tag"] == some.column("tag").to_numpy()[owner]
+                    at, bits = (words.first[owner] + flat["begin"])[mine], flat["bits"][mine].view(np.uint64)
                     for k in range(window - gram + 1):
                         begin = at[(bits >> np.uint64(k)) & np.uint64(1) == 1] + k
                         np.add.at(cover, begin, 1)
@@ -346,12 +373,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 
     candidates = dealt.join(lists.hint("shuffle_hash"), F.col("home") == F.col("of")).select("doc_id", "text", "tag", "anchors", "hot", *carried)
     cold = candidates.mapInArrow(lean(_stretches(window, gram)), "anchor long, words binary, places binary").repartition(n, "anchor").sortWithinPartitions("anchor")
-    marks = cold.mapInArrow(lean(_locate(window, LOT)), MARKS)
+    buckets = 4 * n
+    marks = cold.mapInArrow(lean(_locate(window, LOT, buckets)), MARKS)
     if not lists.where("size(hot) > 0").isEmpty():
         hot = candidates.where("size(hot) > 0").mapInArrow(lean(_hot_windows(window, gram)), "print binary, least long, most long, places binary")
         owners = hot.groupBy("print").agg(F.min("least").alias("owner"), F.max("most").alias("most")).where("owner < most").select("print", "owner")
-        marks = marks.unionByName(hot.select("print", "places").join(owners, "print").select("places", "owner").mapInArrow(lean(_hot_marks), MARKS))
-    marks = marks.groupBy("of").agg(F.collect_list(F.struct("tag", "begin", "bits")).alias("marks"))
+        marks = marks.unionByName(hot.select("print", "places").join(owners, "print").select("places", "owner").mapInArrow(lean(_hot_marks(buckets)), MARKS))
+    marks = marks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_gather), "of long, marks binary")
     joined = dealt.join(marks, F.col("home") == F.col("of"), "left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("marks")).alias("marks"), "tag", *carried)
     extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     done = joined.mapInArrow(lean(_remove(window, gram, tuple(carried))), "doc_id long, n_words long, n_removed long, kept binary" + extra)
