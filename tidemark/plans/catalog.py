@@ -489,7 +489,7 @@ def query_energy_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CORPUS} SELECT c.state_id AS ref, {r('1 / (1 + ' + sql.l1('c.profile', 'o.profile') + ')', 'score')}, 1 AS rank FROM corpus c, one o WHERE c.state_id = 'click:004'")
 def query_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.compare(written(_corpus(spark, sf_dir)), "click:002", "click:004", q.Scope(stream_id="click"), "BAND_PROFILE", Query(scoring="band_l1")).select(*rounded("ref", "score~", "rank"))
+    return q.compare(written(_corpus(spark, sf_dir)), "click:002", "click:004", q.Scope(stream_id="click"), "BAND_PROFILE", Query(scoring="band_l1"), check=False).select(*rounded("ref", "score~", "rank"))
 
 
 @query(f"{_CORPUS} SELECT 'energy_trend' AS kind, 'Q0_observation' AS query_class, 'L0_descriptive_only' AS claim_ceiling, CASE WHEN count(*) > 0 THEN 'descriptive_match_set' ELSE 'descriptive_no_match' END AS answer_posture, count(*) AS result_count FROM corpus WHERE stream_id = 'click'")
