@@ -782,6 +782,21 @@ def test_encoder_agrees_with_tokenizer():
     assert encoder.encode(odd) == want
 
 
+def test_encoder_looks_words_up_once():
+    encoder, asked = packing.Encoder(queries.tokenizer_path(), 1, limit=8), []
+    words = encoder._words
+    encoder._words = lambda some: asked.append(sorted(some)) or words(some)
+    first = encoder.encode(["one two one", "two three", "one"])
+    assert encoder.encode(["four five"]) and encoder.encode(["one two one", "two three", "one"]) == first
+    assert asked == [["one", "three", "two"], ["five", "four"]] and isinstance(encoder.known, packing.Words)
+    assert encoder.encode(["six"]) and encoder.encode(["seven eight"]) and "four" not in encoder.known.older | encoder.known
+    encoder._words = lambda some: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        encoder.encode(["nine one"])
+    encoder._words = words
+    assert encoder.encode(["nine one"]) == [encoder._ids(["nine one"])[0] + encoder.end]
+
+
 def test_best_fit_is_tightest():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 101, 500))[::-1]

@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +38,43 @@ PLAIN = r"[\t\n\r\x20-\x7e¡-§©«-¬°-±¶-·»¿-ÖØ-öø-ÿ]*"
 PIECE = r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 
 
+class Words(dict):
+    """Ids of words, with an older table behind it whose words move on when they are seen again.
+
+    A word that neither has gets room in ``new``, still empty: a text's ids are
+    looked up once, and those of its new words come before they are joined.
+    """
+
+    def __init__(self, older: dict[str, bytes]) -> None:
+        self.older = older
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        ids = self.older.get(word)
+        if ids is None:
+            return self.new.setdefault(word, bytearray())
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    A batch's different words are looked up, and the new ones encoded, together.
-    Words are kept in two tables of half the bounded number (about 200 bytes a
-    word): a full one takes the place of the older, whose words move on when
-    they are seen again.
+    A batch's words are looked up, and the new ones encoded together.  Words are
+    kept in two tables of half the bounded number (about 200 bytes a word): one
+    that is full after a batch takes the place of the older.
     """
 
     def __init__(self, path: str, end_id: int, limit: int = 400_000) -> None:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for words that are split and lower-cased here
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -62,15 +82,14 @@ class Encoder:
         self.plain = re.compile(PLAIN).fullmatch
         self.split = re.compile(PIECE).findall
         self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Words({})
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of single words, encoded as one text: a space keeps words apart, and the vocabulary marks a word's last id."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
         if len(ends) != len(words):
             return self._ids(words)
@@ -79,19 +98,19 @@ class Encoder:
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [None if "<|" in text or not self.plain(text) else self.split(text.lower()) for text in texts]
-        different = set().union(*filter(None, lists))
-        if len(self.known) + len(different) > self.limit // 2:
-            self.known, self.older = {}, self.known
         known = self.known
-        new = different.difference(known)
-        moved = {w: self.older[w] for w in new if w in self.older}
-        known.update(moved)
-        if missing := list(new.difference(moved)):
-            known.update(zip(missing, self._words(missing), strict=True))
-        # two words at least, for ``itemgetter`` of one gives no tuple
-        found = lambda words: itemgetter(*words)(known) if len(words) > 1 else [known[w] for w in words]
-        return [(self._ids([text])[0] if words is None else b"".join(found(words))) + self.end for text, words in zip(texts, lists, strict=True)]
+        known.new = {}
+        found = [None if "<|" in text or not self.plain(text) else list(map(known.__getitem__, self.split(text.lower()))) for text in texts]
+        if known.new:
+            ids = self._words(list(known.new))
+            for room, word in zip(known.new.values(), ids, strict=True):
+                room += word
+            known.update(zip(known.new, ids, strict=True))
+        out = [(self._ids([text])[0] if words is None else b"".join(words)) + self.end for text, words in zip(texts, found, strict=True)]
+        if len(known) > self.limit // 2:
+            known.older, known.new = {}, {}
+            self.known = Words(known)
+        return out
 
 
 def cut_lengths(tokens: int, window: int) -> list[tuple[int, int]]:
